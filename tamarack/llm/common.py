@@ -52,3 +52,15 @@ def drop_tables(spark: SparkSession, frames: list[DataFrame]) -> None:
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id as text; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, modulus: int, remainder: int) -> DataFrame:
+    """doc_id, text and `column` of labelled documents that are not held out, at most `rows`, in hash order.
+
+    The bounded list of ids is all that is sent to the texts. Null ids, labels
+    and texts give nothing; of two labels for one id the lower holds.
+    """
+    known = labels.where((F.col(column).isin(0, 1)) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+    known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias(column))
+    chosen = known.orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id").limit(rows)
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -109,9 +109,9 @@ def _emit(ids: list, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [*names, "n_words", "n_hit", "items", "spans"])
 
 
-def _by_automaton(docs: DataFrame, rows: list[tuple[bytes, int, str]]) -> DataFrame:
+def _by_automaton(docs: DataFrame, rows: list[tuple[bytes, int, str]], keep: list[str]) -> DataFrame:
     shared, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def one(text: bytes | None, machine) -> tuple:
         found = words(text)
@@ -132,14 +132,15 @@ def _by_automaton(docs: DataFrame, rows: list[tuple[bytes, int, str]]) -> DataFr
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(key, shared.value)
         for batch in batches:
-            yield _emit([batch.column(0)], [one(t.as_py(), machine) for t in batch.column(1)], ["doc_id"])
+            found = [one(t.as_py(), machine) for t in batch.column(batch.num_columns - 1)]
+            yield _emit(batch.columns[:-1], found, keep)
 
-    return docs.mapInArrow(scan, f"doc_id {kind}, {_SCHEMA}")
+    return docs.select(*keep, "_text").mapInArrow(scan, f"{kinds}, {_SCHEMA}")
 
 
-def _by_join(docs: DataFrame, gathered: DataFrame, width: int) -> DataFrame:
+def _by_join(docs: DataFrame, gathered: DataFrame, keep: list[str]) -> DataFrame:
     """The same result where the windows are too many for an automaton."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     sizes = sorted(r[0] for r in gathered.select("n_words").distinct().collect())  # `width` values at most
     keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
 
@@ -162,35 +163,43 @@ def _by_join(docs: DataFrame, gathered: DataFrame, width: int) -> DataFrame:
         return digest(window)
 
     owners = gathered.withColumn("digest", key("window")).select("digest", "item_id")
-    cuts = keyed.select("row", "text").mapInArrow(cut, "row bigint, start int, n_words int, digest binary")
+    cuts = keyed.select("row", "_text").mapInArrow(cut, "row bigint, start int, n_words int, digest binary")
     met = cuts.join(owners.select("digest").distinct(), "digest")
     runs = met.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias("runs"))
     names = met.select("row", "digest").distinct().join(owners, "digest").select("row", "item_id").distinct()
     names = names.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    joined = keyed.join(runs, "row", "left").join(names, "row", "left").select("doc_id", "text", "runs", "items")
+    joined = keyed.join(runs, "row", "left").join(names, "row", "left").select(*keep, "_text", "runs", "items")
 
     def finish(batches):
         for batch in batches:
             rows = []
-            for text, runs_, items in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, runs_, items in zip(*batch.columns[-3:-2], *(c.to_pylist() for c in batch.columns[-2:])):
                 text = text.as_py()
                 n = len(words(text))
                 marks = _marks(n, [(r["start"], r["n_words"]) for r in runs_ or []])
                 rows.append((n, int(marks.sum()), items or [], _spans(text, marks) if marks.any() else []))
-            yield _emit([batch.column(0)], rows, ["doc_id"])
+            yield _emit(batch.columns[:-3], rows, keep)
 
-    return joined.mapInArrow(finish, f"doc_id {kind}, {_SCHEMA}")
+    return joined.mapInArrow(finish, f"{kinds}, {_SCHEMA}")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, items (sorted ids as text), spans (code points, end exclusive).
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """One row per input row: `keep`, n_words, n_hit, items (sorted ids as text), spans (code points, end exclusive).
 
     Null and empty texts have no words; an empty benchmark hits nothing; items
     of one id count once; repeated documents each give a row. Other columns are ignored.
     """
     gathered = materialize(item_windows(benchmark, width), "windows")
     size = gathered.agg(F.sum(F.length("window") + F.octet_length("item_id") + 64)).first()[0] or 0
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    keep = list(keep)
+    docs = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
     if size > automaton_bytes:
-        return _by_join(docs, gathered, width)
-    return _by_automaton(docs, [(bytes(w), n, i) for w, n, i in gathered.orderBy("window", "item_id").collect()])
+        return _by_join(docs, gathered, keep)
+    return _by_automaton(docs, [(bytes(w), n, i) for w, n, i in gathered.orderBy("window", "item_id").select("window", "n_words", "item_id").collect()], keep)
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], width: int = WIDTH) -> DataFrame:
+    """`columns` of the documents in which no window occurs."""
+    return contamination(docs, benchmark, width, keep=tuple(columns)).where("n_hit = 0").select(*columns)

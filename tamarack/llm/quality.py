@@ -18,14 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import held_out
+from tamarack.llm.common import labelled_sample
 
 #: Bytes compressed at a time; a dictionary's help fades over longer runs.
 BLOCK = 2_048
 #: Blocks of either class that train its dictionary, at most.
 DICTIONARY_BLOCKS = 3_000
-#: Labelled rows that the calibration is fitted on, at most.
-CALIBRATION_ROWS = 4_000
+#: Labelled rows that anything is learned from, at most.
+LABELLED_ROWS = 10_000
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 _COMPRESSORS: dict[int, list] = {}
@@ -87,15 +87,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, blocks: int = DICTIONARY_BLOCKS, rows: int = CALIBRATION_ROWS, modulus: int = 5, remainder: int = 0) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, blocks: int = DICTIONARY_BLOCKS, modulus: int = 5, remainder: int = 0) -> QualityModel:
     """Learn from labelled rows that are not held out, in hash order up to the two bounds.
 
+    Six in ten of them give blocks for the dictionaries, the rest the calibration.
     Rows of a null id, label or text teach nothing. With one class alone, the
     score is its smoothed share throughout.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    known = known.where(~held_out(F.col("doc_id"), modulus, remainder))
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id")
+    texts = labelled_sample(docs, labels, "quality", rows, modulus, remainder).withColumn("text", F.col("text").cast("binary"))
     part = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(10))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(BLOCK)))
     pieces = texts.where(part < 6).withColumn("at", at)
@@ -105,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, blocks: int = DICTIONARY_BLOCKS, row
     if not good or not bad:
         return QualityModel(b"", b"", [], (good + 1) / (good + bad + 2))
     model = QualityModel(_dictionary(samples[1]), _dictionary(samples[0]), [], 0.5)
-    fitted = measure(texts.where(part >= 6).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), model, ["quality"]).collect()
+    fitted = measure(texts.where(part >= 6), model, ["quality", "doc_id"]).orderBy("doc_id").collect()
     y = np.array([r.quality for r in fitted], dtype=float)
     if len(set(y)) < 2:
         model.weights = [0.0, 20.0, 0.0, 0.0, 0.0, 0.0]

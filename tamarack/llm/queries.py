@@ -6,8 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tamarack.llm import decontam, quality, simhash
-from tamarack.llm.common import held_out, table
+from tamarack.llm import (
+    chunk_dedup,
+    decontam,
+    embedding_dedup,
+    mixing,
+    quality,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
+from tamarack.llm.common import held_out, materialize, shared_path, table
+
+
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, take away exact copies, revise counts of texts that a white-space clean-up changes, replay a batch."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tidy = F.trim(F.regexp_replace(text, r"[\x20\t]+", " "))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", text.alias("text"), F.sha2(text, 256).alias("digest"), F.when(tidy != text, tidy).alias("tidy")
+    )
+    facts = ["doc_id", "source", "lang", "digest"]
+    counted = materialize(token_counts.count_tokens(docs, facts), "tokens")
+    changed = docs.where("tidy is not null").select(*facts, F.col("tidy").alias("text"))
+    revised = token_counts.count_tokens(changed, ["doc_id", "digest"]).withColumnRenamed("tokens", "new_tokens")
+    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    placed = counted.join(firsts, "digest")
+    copies = placed.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    kept = placed.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).join(revised, ["doc_id", "digest"])
+    kept = kept.select("source", "lang", F.col("tokens").alias("old_tokens"), F.col("new_tokens").alias("tokens"))
+    rollup = token_counts.TokenRollup(spark, shared_path(spark, "token-rollup"))
+    version = token_counts.VERSION
+    rollup.commit("1-load", token_counts.inserts(counted, version))
+    rollup.commit("2-copies", token_counts.deletes(copies, version))
+    rollup.commit("3-tidy", token_counts.revisions(kept, version))
+    rollup.commit("2-copies", token_counts.deletes(copies, version))
+    return rollup.totals()
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +64,30 @@ def op4_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secret_scan.fit(secret_scan.samples(spark, docs, table(spark, sf_dir, "labels")))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))).cast("long")
+    return secret_scan.scan(docs, model).select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secret_scan.PATTERNS),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,11 +104,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, ["doc_id"])
-    return scored.select(
-        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
-    )
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT body, min(page_id) AS first_id FROM p GROUP BY body)
+SELECT p.page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(((('0x' || substr(h, 1 + CAST(5 * (i // 4) AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id IS NOT DISTINCT FROM f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id IS NOT DISTINCT FROM f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM p JOIN f ON p.body = f.body
+"""
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
@@ -61,10 +143,17 @@ FROM words LEFT JOIN hit USING (rid) LEFT JOIN owned USING (rid)
 """
 
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash_vp": op4_simhash_vp,
+    "op5_chunk_dedup": op5_chunk_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
+    "op8_cap_filters": op8_cap_filters,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op9_decontaminate": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op9_decontaminate": OP9_SQL}
