@@ -12,8 +12,6 @@ the ranges), so a source that holds a third of all rows is never one task's work
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, LEAST_BLOCKS = 1_024, 1_024
 #: Rows that a range of a two-level sum should have.
 RANGE = 32_768
+#: A slot in whole units, so that sums of slots don't depend on their order.
+UNIT = 65_536
 
 
 def _sources(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -71,21 +71,20 @@ def _schedule(plan: DataFrame, cap: int) -> DataFrame:
     part = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     sums = plan.groupBy("part").agg(F.sum("slots").alias("s"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("offset"))
+    offsets = sums.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     ends = plan.join(offsets, "part").withColumn("high", F.col("offset") + F.sum("slots").over(part))
     ends = ends.withColumn("low", F.col("high") - F.col("slots"))
-    total = plan.agg(F.sum("slots")).first()[0] or 0.0
-    count = math.ceil(total)
-    cells = max(1, min(1 << 20, count // 256))
-    cell = lambda x: F.floor(x / F.lit(total or 1.0) * cells)
-    spread = ends.where("slots > 0").select(
-        "number", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(cells)))).alias("cell")
-    )
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    count = -(-total // UNIT)
+    # Slots and sources meet on cells of the scale.
+    width = max(1, total // max(1, min(1 << 20, count // 256)))
+    cell = lambda x: F.floor(x / F.lit(width))
+    spread = ends.where("slots > 0").select("number", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     slot = F.col("id")
     fine = F.pmod(slot, F.lit(1 << 20)) * F.lit(GOLDEN)
     coarse = F.floor(slot / (1 << 20)) * F.lit((GOLDEN * (1 << 20)) % 1)
     point = (fine % 1 + coarse % 1) % 1
-    slots = plan.sparkSession.range(count).select(slot, (point * F.lit(total)).alias("x")).withColumn("cell", cell(F.col("x")))
+    slots = plan.sparkSession.range(count).select(slot, (point * F.lit(float(total))).alias("x")).withColumn("cell", cell(F.col("x")))
     placed = slots.join(spread, "cell").where("x >= low and x < high").select("id", "number", "blocks", F.floor(slot / RANGE).alias("chunk"))
     placed = materialize(placed, "mix-slots")
     sizes = placed.groupBy("number", "chunk").agg(F.count("*").alias("n"))
@@ -112,9 +111,9 @@ def mix(
     rows = materialize(counted.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))), "mix-rows")
     plan = targets(rows, weights, cap)
     wanted = F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(least_blocks))
-    width = F.when(F.col("source_size") > 0, F.ceil(F.col("source_size") / F.least(wanted, "source_size")))
+    width = F.when(F.col("source_size") > 0, F.ceil(F.col("source_size") / F.least(wanted, F.col("source_size"))))
     plan = plan.withColumn("width", width).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")))
-    plan = materialize(plan.withColumn("slots", F.coalesce(F.col("target") * F.col("blocks") / F.col("source_size"), F.lit(0.0))), "mix-plan")
+    plan = materialize(plan.withColumn("slots", F.coalesce(F.round(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0)) * UNIT).cast("long"), F.lit(0))), "mix-plan")
     takes = _schedule(plan, cap)
 
     ranges = max(1, rows.count() // RANGE)

@@ -118,6 +118,30 @@ SELECT p.page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
 FROM p JOIN f ON p.body = f.body
 """
 
+OP6_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix|' || doc_id) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM w GROUP BY source),
+k AS (SELECT *, number % 3 + 1 AS weight FROM s),
+c AS (SELECT *, 3 * ss / weight AS ratio, sum(ss) OVER () AS full_size, sum(weight) OVER () AS full_weight,
+    coalesce(sum(ss) OVER o, 0) AS held, coalesce(sum(weight) OVER o, 0) AS held_weight
+  FROM k WINDOW o AS (ORDER BY 3 * ss / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((full_size - 3 * held) / (full_weight - held_weight), (ratio, number)) AS level FROM c WHERE full_size > 0 AND (full_size - 3 * held) / (full_weight - held_weight) <= ratio),
+t AS (SELECT source, ss, number, least(coalesce(level, 0) * weight, 3.0 * ss)::DOUBLE AS target,
+    CASE WHEN ss > 0 THEN CAST(ceil(ss / least(greatest(ceil(ss / 1024), 1024), ss)) AS BIGINT) END AS width FROM k, l),
+p AS (SELECT *, CAST(ceil(ss / width) AS BIGINT) AS blocks FROM t),
+u AS (SELECT *, coalesce(CAST(round(target * blocks / nullif(ss, 0) * 65536) AS BIGINT), 0) AS slots FROM p),
+e AS (SELECT *, sum(slots) OVER (ORDER BY number)::BIGINT AS high, sum(slots) OVER ()::BIGINT AS total FROM u),
+n AS (SELECT unnest(range(0, CAST(ceil(max(total) / 65536) AS BIGINT))) AS id, max(total) AS total FROM e),
+x AS (SELECT id, ((((id % 1048576) * 0.6180339887498949::DOUBLE) % 1 + ((id // 1048576) * ((0.6180339887498949::DOUBLE * 1048576) % 1)) % 1) % 1) * total::DOUBLE AS x FROM n),
+r AS (SELECT number, blocks, row_number() OVER (PARTITION BY number ORDER BY id) - 1 AS rank FROM x JOIN e ON x >= high - slots AND x < high),
+b AS (SELECT number, rank % blocks AS block, count(*) AS times FROM r WHERE rank < blocks * 3 GROUP BY ALL),
+d AS (SELECT w.*, t.ss, t.target, t.number, t.width, sum(size) OVER (PARTITION BY number ORDER BY h, doc_id, size, rid ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT rid, number, width, upto - size AS a, upto AS z, unnest(range((upto - size) // width, (upto - 1) // width + 1)) AS block FROM d WHERE size > 0),
+m AS (SELECT rid, sum((least(z, (g.block + 1) * width) - greatest(a, g.block * width)) * times)::BIGINT AS taken FROM g JOIN b ON g.number = b.number AND g.block = b.block GROUP BY rid)
+SELECT doc_id, size, ss AS source_size, target, coalesce(taken, 0) AS taken FROM d LEFT JOIN m USING (rid)
+"""
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
@@ -156,4 +180,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op9_decontaminate": OP9_SQL}
