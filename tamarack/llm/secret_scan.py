@@ -75,7 +75,7 @@ def samples(spark: SparkSession, docs: DataFrame, labels: DataFrame, random_rows
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ordinary_rows)
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(good), "doc_id")
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_-]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
-    listed = spark.createDataFrame([(w, 0) for w in IDENTIFIERS for _ in range(20)], "token string, label int")
+    listed = spark.range(20).select(F.explode(F.split(F.lit(" ".join(IDENTIFIERS)), " ")).alias("token"), F.lit(0).alias("label"))
     return drawn.unionByName(words).unionByName(listed)
 
 
