@@ -30,7 +30,9 @@ from tamarack.llm.quality import _logistic
 LABELLED_ROWS = 12_000
 #: Learned entries, at most.
 ENTRIES = 3_000
-PREFIX = range(4, 11)
+PREFIX = range(5, 11)
+#: Toxic documents that a learned entry occurs in at least, as a number and as a share of all.
+LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.03
 
 # Words that count before anything is learned, and phrases in which they don't.
 WORDS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting imbecile dumbass bastard asshole bitch retard jackass scumbag dickhead".split()
@@ -152,33 +154,22 @@ def features(text: str | None, machines) -> list[float]:
 
 
 def _statistics(texts: DataFrame) -> DataFrame:
-    """(toxic, text) -> pattern, and its occurrences and documents in either class."""
+    """(toxic, text) -> pattern, and the documents of either class that have it; the empty pattern counts all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, int], list[int]] = {}
+            seen: Counter = Counter()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own: Counter = Counter()
-                words = Counter(fold(text.as_py())[0].split())
-                own[""] = sum(words.values())
-                for word, k in words.items():
-                    own[f" {word} "] += k
-                    for size in PREFIX:
-                        if size <= len(word):
-                            own[f" {word[:size]}"] += k
-                for pattern, k in own.items():
-                    held = seen.setdefault((pattern, toxic), [0, 0])
-                    held[0] += k
-                    held[1] += 1
-            if seen:
-                rows = [(p, t, k, d) for (p, t), (k, d) in seen.items() if d > 1 or t == 0 or p == ""]
-                columns = list(zip(*rows)) if rows else [[], [], [], []]
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pattern", "toxic", "k", "d"])
-
-    counted = texts.select("toxic", "text").mapInArrow(count, "pattern string, toxic int, k bigint, d bigint")
-    of = lambda c, t: F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0))
-    return counted.groupBy("pattern").agg(of("k", 1).alias("kt"), of("k", 0).alias("kc"), of("d", 1).alias("dt"))
+                words = set(fold(text.as_py())[0].split())
+                own = {""} | {f" {w} " for w in words} | {f" {w[:size]}" for w in words for size in PREFIX if size <= len(w)}
+                seen.update((pattern, toxic) for pattern in own)
+            columns = [[p for p, _ in seen], [t for _, t in seen], list(seen.values())]
+            kinds = (pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["pattern", "toxic", "d"])
+
+    counted = texts.select("toxic", "text").mapInArrow(count, "pattern string, toxic int, d bigint")
+    of = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("d")).otherwise(0))
+    return counted.groupBy("pattern").agg(of(1).alias("dt"), of(0).alias("dc"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, modulus: int = 4, remainder: int = 2) -> ToxicityModel:
@@ -193,13 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, modulus:
     statistics = _statistics(texts.where(first))
     whole = statistics.where("pattern = ''").first()
     entries = {_entry(w): FIXED_WEIGHT for w in WORDS}
-    if whole and whole.kt and whole.kc:
-        rate = F.log((F.col("kt") + 0.5) / whole.kt / ((F.col("kc") + 0.5) / whole.kc))
-        expected = (F.col("kt") + F.col("kc")) * (whole.kt / (whole.kt + whole.kc))
-        learned = statistics.select(
-            "pattern", F.least(rate, F.lit(6.0)).alias("weight"), ((F.col("kt") - expected) / F.sqrt(expected + 1)).alias("z"), "dt"
-        )
-        least = max(3, whole.dt // 100)
+    if whole and whole.dt and whole.dc:
+        rate = F.log((F.col("dt") + 0.5) / whole.dt / ((F.col("dc") + 0.5) / whole.dc))
+        expected = (F.col("dt") + F.col("dc")) * (whole.dt / (whole.dt + whole.dc))
+        learned = statistics.select("pattern", F.least(rate, F.lit(6.0)).alias("weight"), ((F.col("dt") - expected) / F.sqrt(expected + 1)).alias("z"), "dt")
+        least = max(LEAST_DOCUMENTS, LEAST_SHARE * whole.dt)
         learned = learned.where((F.col("pattern") != "") & (F.col("dt") >= least) & (F.col("weight") > 1.1) & (F.col("z") > 4))
         entries |= {r.pattern: r.weight for r in learned.orderBy(F.desc("z"), "pattern").limit(ENTRIES).collect()}
     entries |= {_entry(p): 0.0 for p in EXCEPTIONS}
