@@ -20,12 +20,21 @@ def extract(text: str) -> str:
     return (text[start.start() :] if start else text).strip().rstrip(";")
 
 
+def _writes(plan) -> bool:
+    """Whether a parsed plan, or a part of it, is anything but a query: WITH may stand before an INSERT or MERGE."""
+    kind = plan.getClass()
+    while kind is not None:
+        names = [kind.getSimpleName(), *(i.getSimpleName() for i in kind.getInterfaces())]
+        if any(n.endswith("Command") or n.startswith("Insert") for n in names):
+            return True
+        kind = kind.getSuperclass()
+    parts = plan.children()
+    return any(_writes(parts.apply(i)) for i in range(parts.size()))
+
+
 def check(spark: SparkSession, statement: str) -> str:
     """The statement if it is one query; ValueError else."""
-    if not READS.match(statement):
-        raise ValueError("only SELECT statements are allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    if plan.getClass().getSimpleName() in ("InsertIntoStatement", "CreateTableAsSelect", "ReplaceTableAsSelect") or "Command" in plan.getClass().getSimpleName():
+    if not READS.match(statement) or _writes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)):
         raise ValueError("only SELECT statements are allowed")
     return statement
 
