@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: A Markdown table row, for multi-line search.
 TABLE_ROW = r"(?m)^\s*\|.+\|\s*$"
@@ -162,3 +167,45 @@ def row_text(names: list[str], row: list[Column] | None = None) -> Column:
     """header：value joined by ；, nulls and blanks left out."""
     parts = [F.when(F.length(F.trim(F.col(c).cast("string"))) > 0, F.concat(F.lit(f"{c}："), F.trim(F.col(c).cast("string")))) for c in names]
     return F.array_join(F.filter(F.array(*parts), F.isnotnull), "；")
+
+
+def nfkc_tokens(text: Column) -> Column:
+    """Compatibility-normalised, case-folded words; runs of CJK as single characters and neighbouring pairs. Python, by Arrow batches."""
+    return _nfkc(text)
+
+
+def _folded(value: str | None) -> list[str]:
+    out: list[str] = []
+    for word in re.findall(r"[一-鿿]+|[^\W_一-鿿]+", unicodedata.normalize("NFKC", value or "").casefold()):
+        if "一" <= word[0] <= "鿿":
+            out += [*word, *(a + b for a, b in zip(word, word[1:]))]
+        else:
+            out.append(word)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(_folded)
+
+
+def critical_sentences(text: Column, pattern: str, most: int = 500) -> Column:
+    """Sentences that match, in order and once each, cut to `most` characters with the mark inside."""
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？；\n])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: (F.length(s) > 0) & s.rlike(pattern))
+    return F.array_distinct(F.transform(found, lambda s: trim_within(s, most, "…")))
+
+
+def tool_protocol_leak(text: Column, marks: tuple[str, ...] = ("<tool_call", "<|tool", "<function=", "tool_calls")) -> Column:
+    """Whether a model's text shows tool-call markup, white space aside."""
+    squeezed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
+    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(squeezed, m))
+
+
+def progress_name(name: Column, n: int = 40) -> Column:
+    """A tool's name for display: letters, digits, _ . - only."""
+    return F.left(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^A-Za-z0-9_.-]", ""), F.lit(n))
+
+
+def money(amount: Column, currency: str = "CNY") -> Column:
+    """Six places under a hundredth, else four; a dash where there is no amount."""
+    return F.when(amount.isNull(), "-").otherwise(F.concat(F.lit(f"{currency} "), F.when(F.abs(amount) < 0.01, F.format_number(amount, 6)).otherwise(F.format_number(amount, 4))))

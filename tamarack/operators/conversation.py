@@ -15,7 +15,6 @@ def _thread():
     return Window.partitionBy("thread_id").orderBy("idx")
 
 
-
 def turns(messages: DataFrame) -> DataFrame:
     """With turn: a new one where a human message follows none or a non-human; leading others are turn 1."""
     human = F.col("type") == "human"
@@ -142,3 +141,40 @@ def compaction_prefix(messages: DataFrame, limit: int, recent: int = 3, overhead
     back = Window.partitionBy("thread_id").orderBy(F.desc("turn"))
     rows = sizes.withColumn("_sum", F.sum("tokens").over(ahead)).withColumn("_end", F.row_number().over(back))
     return rows.select("thread_id", "turn", "tokens", ((F.col("_end") > recent) & (F.col("_sum") <= limit)).alias("compact"))
+
+
+def completed_history(messages: DataFrame) -> DataFrame:
+    """Completed turns without tools: their human messages and the last AI text of each."""
+    rows = completed(messages)
+    spoken = rows.where(F.col("type").isin("human", "ai") & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
+    last = F.max(F.when(F.col("type") == "ai", F.col("idx"))).over(Window.partitionBy("thread_id", "turn"))
+    return spoken.withColumn("_last", last).where((F.col("type") == "human") | (F.col("idx") == F.col("_last"))).drop("_last")
+
+
+def without_controls(messages: DataFrame, names: list[str]) -> DataFrame:
+    """Without messages that only steer the run, known by their name."""
+    return messages.where(~F.coalesce(F.col("name").isin(names), F.lit(False)))
+
+
+def context_report(messages: DataFrame, limit: int, overhead: int = 4) -> DataFrame:
+    """Tokens of a thread by role, of its current turn and of its history, and whether all is within `limit`."""
+    rows = turns(messages).withColumn("_t", token_estimate(F.col("content")) + overhead).withColumn("_last", F.max("turn").over(Window.partitionBy("thread_id")))
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_t"))), F.lit(0))
+    kinds = {k: of(F.col("type") == k).alias(f"{k}_tokens") for k in ("human", "ai", "tool", "system")}
+    current = F.col("turn") == F.col("_last")
+    return rows.groupBy("thread_id").agg(
+        F.sum("_t").alias("total_tokens"), *kinds.values(), of(current).alias("current_tokens"), of(~current).alias("history_tokens"), (F.sum("_t") <= limit).alias("within")
+    )
+
+
+def summary_valid(messages: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(thread_id, ids) of summarised messages -> thread_id, valid: they are exactly the first ones, up to the end of a turn."""
+    own = turns(messages)
+    last = F.lead("turn").over(_thread())
+    rows = own.withColumn("_n", F.row_number().over(_thread())).withColumn("_ends", F.coalesce(last != F.col("turn"), F.lit(True)))
+    met = rows.join(summaries.select("thread_id", "ids", F.size("ids").alias("_size")), "thread_id").where(F.col("_n") <= F.col("_size"))
+    checked = met.groupBy("thread_id").agg(
+        F.count("*").alias("n"), F.first("_size").alias("size"), F.bool_and(F.get("ids", F.col("_n") - 1).eqNullSafe(F.col("idx"))).alias("same"), F.max_by("_ends", "_n").alias("ends")
+    )
+    all_of = summaries.select("thread_id").join(checked, "thread_id", "left")
+    return all_of.select("thread_id", F.coalesce((F.col("n") == F.col("size")) & F.col("same") & F.col("ends"), F.lit(False)).alias("valid"))

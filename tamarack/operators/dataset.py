@@ -115,3 +115,33 @@ def manifest(records: DataFrame) -> DataFrame:
         F.count_if(F.array_contains("content_types", "table")).alias("table_cases"),
         F.count_if(F.col("review_status") == "pending").alias("pending_review"),
     )
+
+
+def seeded_sample(rows: DataFrame, key: str, size: int, seed: str = "0") -> DataFrame:
+    """`size` rows in a seeded order; all of them if there are no more."""
+    return rows.orderBy(shuffle_key(key, seed=seed), key).limit(size)
+
+
+def disjoint_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (source_file, a, b) of neighbours, taken in order, that share no chunk with a taken one.
+
+    Pairs of neighbours form chains, and the sequential choice takes every other
+    pair of a chain.
+    """
+    order = Window.partitionBy("source_file").orderBy("a", "b")
+    fresh = (~F.coalesce(F.lag("b").over(order) == F.col("a"), F.lit(False))).cast("int")
+    rows = pairs.withColumn("_chain", F.sum(fresh).over(order))
+    place = F.row_number().over(Window.partitionBy("source_file", "_chain").orderBy("a", "b"))
+    return rows.withColumn("_n", place).where("_n % 2 = 1").drop("_n", "_chain")
+
+
+def rejections(checked: DataFrame) -> DataFrame:
+    """(accepted, reasons) -> reason, n; a reason's details after the colon don't count."""
+    return checked.where("not accepted").select(F.explode("reasons").alias("r")).groupBy(F.split_part("r", F.lit(":"), F.lit(1)).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def with_verdicts(records: DataFrame, verdicts: DataFrame, fallback: Column) -> DataFrame:
+    """Records with the judge's behavior for their case_id; where it has none, `fallback` of the record. judged tells which."""
+    found = verdicts.where("behavior is not null").groupBy("case_id").agg(F.min("behavior").alias("_verdict"))
+    met = records.join(found, "case_id", "left")
+    return met.withColumn("judged", F.col("_verdict").isNotNull()).withColumn("behavior", F.coalesce("_verdict", fallback)).drop("_verdict")

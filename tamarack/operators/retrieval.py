@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,15 +41,23 @@ def bm25_topk(
     """query_id, doc_id, score, rank: the k best of positive score, ties by id.
 
     Okapi BM25 over all query tokens, repeats included. With `epsilon`, negative
-    idf values become epsilon times the mean idf of all terms. Postings outside the
-    queries' vocabulary are left out before the join, and a query term meets only
-    documents that have it.
+    idf values become epsilon times the mean idf of all terms.
+    """
+    return score_postings(queries, postings(docs, *doc), corpus_statistics(docs, *doc), k, k1, b, epsilon, query)
+
+
+def score_postings(
+    queries: DataFrame, posts: DataFrame, statistics: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = None, query: tuple[str, str] = ("query_id", "query")
+) -> DataFrame:
+    """BM25 from postings and their one row of statistics.
+
+    Postings outside the queries' vocabulary are left out before the join, and a
+    query term meets only documents that have it.
     """
     wanted = queries.select(F.col(query[0]).alias("query_id"), F.explode(tokens(F.col(query[1]))).alias("term"))
     wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     vocabulary = wanted.select("term").distinct()
-    posts = postings(docs, *doc)
-    whole = corpus_statistics(docs, doc[0], doc[1]).select("n_docs", "avgdl").first()
+    whole = statistics.select("n_docs", "avgdl").first()
     n, avgdl = whole.n_docs, whole.avgdl or 1.0
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if epsilon is not None:
@@ -61,6 +70,37 @@ def bm25_topk(
     return ranked(scored.select("query_id", F.col("doc").alias("doc_id"), F.round("score", PLACES).alias("score")).where("score > 0"), k)
 
 
+class LexicalIndex:
+    """Postings and corpus statistics on disk, one folder for each fingerprint of corpus version and tokenizer.
+
+    A reader pins the fingerprint it asks for; an index of another version is no
+    match and is built anew. Postings are clustered by term, so that a query reads
+    the row groups of its own terms.
+    """
+
+    TOKENIZER = "lower;[\\p{L}\\p{N}]+;1"
+
+    def __init__(self, spark, path: str, version: str):
+        self.spark = spark
+        self.fingerprint = hashlib.sha256(f"{version}\n{self.TOKENIZER}".encode()).hexdigest()[:16]
+        self.path = f"{path}/{self.fingerprint}"
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/statistics/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def build(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        """Postings first, statistics last: an index is whole once these are there."""
+        if self.exists():
+            return
+        posts = postings(docs, key, text).repartition("term").sortWithinPartitions("term", "doc")
+        posts.write.mode("overwrite").parquet(f"{self.path}/postings")
+        corpus_statistics(docs, key, text).write.mode("overwrite").parquet(f"{self.path}/statistics")
+
+    def topk(self, queries: DataFrame, k: int, **options) -> DataFrame:
+        return score_postings(queries, self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/statistics"), k, **options)
+
+
 def ranked(scored: DataFrame, k: int, query: str = "query_id", ties: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), ties)
@@ -160,3 +200,26 @@ def project(ranked_rows: DataFrame, limit: int, content_limit: int = 800) -> Dat
     return ranked_rows.where((F.col("rank") <= limit) & (F.length(content) > 0)).select(
         "query_id", "rank", "chunk_id", "source_file", trim_after(content, content_limit).alias("content")
     )
+
+
+def paginate(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page of rows with total and has_more; a limit of 1 and an offset of 0 at least."""
+    limit, offset = max(1, limit), max(0, offset)
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    page = rows.orderBy(*order).offset(offset).limit(limit)
+    return page.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def requests(rows: DataFrame, most: int = 2_000) -> DataFrame:
+    """(query, top_k, mode) trimmed, top_k in 1..10, the mode one of hybrid, bm25 and vector; empty and overlong queries are left out."""
+    query, mode = F.trim("query"), F.lower(F.trim(F.coalesce("mode", F.lit("hybrid"))))
+    kept = rows.where(F.length(query).between(1, most) & mode.isin("hybrid", "bm25", "vector"))
+    return kept.withColumns({"query": query, "top_k": F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce("top_k", F.lit(5)))), "mode": mode})
+
+
+def hash_embedding(text: Column, size: int = 64) -> Column:
+    """A deterministic stand-in for an embedding model: signed counts of hashed words, unit length; null without words."""
+    places = F.transform(tokens(F.lower(text)), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("p"), F.when(F.pmod(F.xxhash64(w, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(places, lambda x: x["p"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
+    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, v: acc + v * v))
+    return F.when(norm > 0, F.transform(sums, lambda v: (v / norm).cast("float")))

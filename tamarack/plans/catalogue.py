@@ -1,6 +1,6 @@
 """Named queries over the test tables and the DuckDB SQL that states their results."""
 
-from tamarack.plans import evaluation_queries, operations_queries, retrieval_queries
+from tamarack.plans import agent_queries, evaluation_queries, operations_queries, retrieval_queries
 
-QUERIES = retrieval_queries.QUERIES | evaluation_queries.QUERIES | operations_queries.QUERIES
-ORACLES = retrieval_queries.ORACLES | evaluation_queries.ORACLES | operations_queries.ORACLES
+QUERIES = retrieval_queries.QUERIES | evaluation_queries.QUERIES | operations_queries.QUERIES | agent_queries.QUERIES
+ORACLES = retrieval_queries.ORACLES | evaluation_queries.ORACLES | operations_queries.ORACLES | agent_queries.ORACLES

@@ -23,7 +23,7 @@ def test_query_agrees_with_its_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_the_known_ones():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"semantic_dedup_keep", "split_text"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"semantic_dedup_keep", "split_text", "nfkc_tokens"}
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
 
 
