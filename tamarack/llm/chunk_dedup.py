@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.llm.common import materialize
+
 #: One byte in RATE is a cut before the least distance; runs over MOST bytes are cut anyway.
 RATE, LEAST, MOST = 20, 10, 256
 #: Words that a shared passage has at least.
@@ -49,9 +51,11 @@ def cuts(data: np.ndarray, rate: int = RATE, least: int = LEAST, most: int = MOS
 
 
 def chunk_table(docs: DataFrame, strong: bool) -> DataFrame:
-    """(doc_id, text) -> doc_id, h, start, end (code points), n_words and, if `strong`, digest.
+    """(doc_id, text) -> doc_id, h and, if `strong`, h2 and place of each chunk.
 
-    h is the first half of the digest. Null and empty texts have no chunks.
+    h and h2 are the halves of a 128-bit digest. place packs a chunk's start,
+    length (both in code points) and words into one number, for narrow shuffles;
+    see :func:`_unpacked`. Null and empty texts have no chunks.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -59,7 +63,7 @@ def chunk_table(docs: DataFrame, strong: bool) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                rows, digests, spans, counts = [], [], [], []
+                rows, digests, places = [], [], []
                 for row, text in enumerate(part.column(1)):
                     raw = text.as_py() or b""
                     data = np.frombuffer(raw, np.uint8)
@@ -72,37 +76,41 @@ def chunk_table(docs: DataFrame, strong: bool) -> DataFrame:
                         letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                         space = np.concatenate([[True], _SPACE[data]])
                         words = np.concatenate([[0], np.cumsum(space[:-1] & ~space[1:])])
-                        spans.append(np.stack([letters[begins], letters[ends]]))
-                        counts.append(words[ends] - words[begins])
+                        places.append((letters[begins] << 20) + ((letters[ends] - letters[begins]) << 10) + words[ends] - words[begins])
                     rows.append(np.full(len(ends), row))
                 if not rows:
                     continue
                 ids = part.column(0).take(pa.array(np.concatenate(rows)))
-                packed = b"".join(digests)
-                h = pa.array(np.frombuffer(packed, "<i8")[::2])
-                if not strong:
-                    yield pa.RecordBatch.from_arrays([ids, h], ["doc_id", "h"])
-                    continue
-                at = np.concatenate(spans, axis=1).astype(np.int32)
-                columns = [ids, h, pa.array(at[0]), pa.array(at[1]), pa.array(np.concatenate(counts).astype(np.int32)), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "start", "end", "n_words", "digest"])
+                halves = np.frombuffer(b"".join(digests), "<i8")
+                columns = [ids, pa.array(halves[::2])] + ([pa.array(halves[1::2]), pa.array(np.concatenate(places))] if strong else [])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", "place"][: len(columns)])
 
-    more = ", start int, end int, n_words int, digest binary" if strong else ""
+    more = ", h2 bigint, place bigint" if strong else ""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, h bigint{more}")
 
 
+def _unpacked(chunks: DataFrame) -> DataFrame:
+    """place as start, end and n_words."""
+    start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+    found = {"start": start, "end": start + size, "n_words": F.col("place").bitwiseAND(F.lit(1023))}
+    return chunks.withColumns({name: value.cast("int") for name, value in found.items()}).drop("place")
+
+
 def shared_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks that documents of different ids share: doc_id, start, end, n_words, digest, first_doc_id.
+    """Chunks that documents of different ids share: doc_id, start, end, n_words, digest (hex), first_doc_id.
 
-    Half digests are grouped first, which picks the few rows that a strong digest
-    and its join are worth. Rows without an id take no part; rows of one id are one document.
+    Half digests are grouped first, which picks the few rows that a whole digest
+    and its join are worth; those rows are written, so that texts are cut twice
+    and no more. Rows without an id take no part; rows of one id are one document.
     """
     docs = docs.where("doc_id is not null")
     both = [F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")]
     halves = chunk_table(docs, strong=False).groupBy("h").agg(*both).where("first_doc_id <> last_doc_id").select("h")
-    likely = chunk_table(docs, strong=True).join(halves, "h", "left_semi")
-    known = likely.groupBy("digest").agg(*both).where("first_doc_id <> last_doc_id").select("digest", "first_doc_id")
-    return likely.join(known, "digest").select("doc_id", "start", "end", "n_words", "digest", "first_doc_id").distinct()
+    likely = materialize(chunk_table(docs, strong=True).join(halves, "h", "left_semi"), "chunks")
+    known = likely.groupBy("h", "h2").agg(*both).where("first_doc_id <> last_doc_id").drop("last_doc_id")
+    met = likely.join(materialize(known, "shared-chunks"), ["h", "h2"])
+    digest = F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("h", "h2"))))
+    return _unpacked(met).select("doc_id", "start", "end", "n_words", digest.alias("digest"), "first_doc_id").distinct()
 
 
 def passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -121,9 +129,9 @@ def passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
         F.sum("n_words").alias("n_words"),
         F.count("*").alias("n_chunks"),
         F.min("first_doc_id").alias("first_doc_id"),
-        F.array_sort(F.collect_list(F.struct("start", F.hex("digest").alias("d")))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("parts"),
     )
-    digest = F.sha2(F.array_join(F.transform("parts", lambda p: p["d"]), ""), 256)
+    digest = F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256)
     return found.where(F.col("n_words") >= least_words).select(
         "doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", digest.alias("passage_digest")
     )
