@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block at most, and blocks that a source is cut into at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1_024, 1_024
 #: Rows that a range of a two-level sum should have.
-RANGE = 32_768
+RANGE = 4_096
 #: A slot in whole units, so that sums of slots don't depend on their order.
 UNIT = 65_536
 
