@@ -1,16 +1,16 @@
 """SimHash near-duplicates found through vantage-point trees.
 
 Two 64-bit fingerprints that differ in at most `radius` bits differ in at most
-radius // 2 bits in one of their two 32-bit halves. So each half has a
-vantage-point tree of its own, whose distances are those of that half: a
+radius // parts bits in one of their `parts` equal parts. So each part has a
+vantage-point tree of its own, whose distances are those of that part: a
 fingerprint lives in one leaf and also visits every leaf whose shell lies
-within radius // 2 of it by the triangle inequality. All links are found, and a
+within radius // parts of it by the triangle inequality. All links are found, and a
 level repeats about a quarter of the rows where full 64-bit distances would
 repeat more than half. The tree is fitted on a bounded sample; every fingerprint
 is routed through it.
 
 A leaf task compares its visitors with its members and returns a spanning
-forest of what it found, never all pairs. Leaves with more rows than `block` are
+forest of what it found, made of links that it found, never all pairs. Leaves with more rows than `block` are
 dealt out over a grid of block pairs, so no task holds more than two blocks.
 """
 
@@ -74,8 +74,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp bigint")
 
 
-def _halves(prints: np.ndarray) -> list[np.ndarray]:
-    return [(prints & np.uint64(0xFFFFFFFF)).astype(np.uint32), (prints >> np.uint64(32)).astype(np.uint32)]
+def _parts(prints: np.ndarray, parts: int) -> list[np.ndarray]:
+    width = 64 // parts
+    return [((prints >> np.uint64(width * i)) & np.uint64((1 << width) - 1)).astype(np.uint32) for i in range(parts)]
 
 
 def _grow(sample: np.ndarray, depth: int, rng: np.random.Generator, leaves: list) -> tuple:
@@ -122,30 +123,39 @@ def _pairs(queries: np.ndarray, members: np.ndarray, q: np.ndarray, m: np.ndarra
             yield int(some[k]), m[np.flatnonzero(close[k])]
 
 
-def forest(prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between all rows and the home rows, thinned to each row and its component's root."""
+def forest(prints: np.ndarray, home: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links between all rows and the home rows, thinned to a spanning forest and, if asked, each row's nearest other."""
     root = np.arange(len(prints))
     members = np.flatnonzero(home)
+    rows, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row, found in _pairs(prints, prints, np.arange(len(prints)), members, radius):
-        roots = np.unique(root[np.append(found, row)])
-        if len(roots) > 1:
-            root[np.isin(root, roots)] = roots[0]
-    moved = np.flatnonzero(root != np.arange(len(prints)))
-    return prints[moved], prints[root[moved]]
+        if nearest and len(found) > 1:
+            others = found[found != row]
+            rows.append(np.array([row]))
+            to.append(others[[np.bitwise_count(prints[others] ^ prints[row]).argmin()]])
+        roots, first = np.unique(root[found], return_index=True)
+        fresh = roots != root[row]
+        if fresh.any():
+            rows.append(np.full(fresh.sum(), row))
+            to.append(found[first[fresh]])
+            root[np.isin(root, roots[fresh])] = root[row]
+    return prints[np.concatenate(rows)], prints[np.concatenate(to)]
 
 
-def near_links(prints: DataFrame, radius: int = 3, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """Distinct (fp) -> (a, b): links that connect whatever lies within `radius` bits, one tree of links per shard.
+def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, nearest: bool = False, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """Distinct (fp) -> (a, b): links that connect whatever lies within `radius` bits, one forest of links per shard.
+
+    With `nearest`, also a link from each fingerprint to the nearest that a shard has.
 
     `prints` should be a written table: it is read for its count, the sample and the routing.
     """
-    spark, slack = prints.sparkSession, radius // 2
+    spark, slack = prints.sparkSession, radius // parts
     total = prints.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf))))
     chosen = prints.where(F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(8)) == 0).orderBy(F.xxhash64("fp"), "fp").limit(sample)
     seeds = np.array([r[0] for r in chosen.collect()] if depth else [], dtype=np.int64).view(np.uint64)
     trees, first = [], 0
-    for codes in _halves(seeds):
+    for codes in _parts(seeds, parts):
         leaves: list[int] = []
         trees.append((first, _grow(codes, depth, np.random.default_rng(7), leaves)))
         first += len(leaves)
@@ -153,7 +163,7 @@ def near_links(prints: DataFrame, radius: int = 3, sample: int = SAMPLE, leaf: i
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.asarray(batch.column(0)).view(np.uint64)
-            for (start, tree), codes in zip(trees, _halves(rows)):
+            for (start, tree), codes in zip(trees, _parts(rows, parts)):
                 found: list = []
                 _route(tree, codes, np.arange(len(rows)), np.ones(len(rows), bool), slack, found)
                 for number, some, home in found:
@@ -178,27 +188,61 @@ def near_links(prints: DataFrame, radius: int = 3, sample: int = SAMPLE, leaf: i
     )
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius)
+        a, b = forest(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius, nearest)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return cells.groupBy("shard", "i", "j").applyInPandas(link, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+def shingles(text: bytes | None, width: int) -> set[bytes]:
+    """Distinct word shingles, by the fingerprint's rules."""
+    words = (text or b"").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def alike(docs: DataFrame, firsts: DataFrame, links: DataFrame, least: float, width: int) -> DataFrame:
+    """Links (a, b) whose texts share `least` or more of their distinct shingles.
+
+    firsts (fp, first_id) names a document of each fingerprint. Only texts that a link
+    needs are read again, and each link meets its two texts by shuffle joins.
+    """
+    needed = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = firsts.join(needed, "fp", "left_semi").select("fp", F.col("first_id").alias("doc_id"))
+    texts = docs.where("doc_id is not null").join(wanted, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = materialize(texts.select("fp", F.col("text").cast("binary").alias("text")), "linked-texts")
+    side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
+    met = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, other = shingles(x.as_py(), width), shingles(y.as_py(), width)
+                kept.append(len(one & other) >= least * len(one | other))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return met.mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, parts: int = 2, least: float | None = None) -> DataFrame:
     """One row per input row: doc_id, fp (signed long), component_id.
 
     component_id is the least doc_id reachable over links of at most `radius`
-    differing bits, texts without words (fingerprint zero) included. Null ids
+    differing bits, texts without words (fingerprint zero) included. With `least`,
+    a link also needs that share of common shingles; held against it are a
+    spanning forest of each leaf and each text's nearest other. Null ids
     keep their rows and are never a component's id unless it has no other.
     Repeated rows each give a row; columns other than doc_id and text are ignored.
     """
     rows = materialize(fingerprints(docs, width), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    links = near_links(firsts.select("fp"), radius)
+    links = near_links(firsts.select("fp"), radius, parts, nearest=least is not None)
+    if least is not None:
+        links = alike(docs.select("doc_id", "text"), firsts, materialize(links.distinct(), "links"), least, width)
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
     placed = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = placed.join(least, "root").select("fp", "component_id")
+    lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_print = placed.join(lowest, "root").select("fp", "component_id")
     return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 

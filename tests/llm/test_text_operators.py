@@ -80,18 +80,38 @@ def test_tree_search_is_exact_whatever_its_shape(spark):
                 p ^= 1 << int(b)
             prints.add(p)
     frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp bigint")
-    want = brute_components(prints)
-    groups = {}
-    for p, r in want.items():
-        groups.setdefault(r, set()).add(p)
     from tamarack.llm.graph import connected_components
 
-    for leaf, block in ((40, 10**6), (100, 60), (10**6, 100)):
-        links = simhash.near_links(frame, leaf=leaf, block=block)
+    def components(want):
+        groups = {}
+        for p, r in want.items():
+            groups.setdefault(r, set()).add(p)
+        return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+    for leaf, block, radius, parts in ((40, 10**6, 3, 2), (100, 60, 3, 2), (10**6, 100, 3, 2), (40, 10**6, 7, 4), (100, 60, 7, 4)):
+        links = simhash.near_links(frame, radius, parts, leaf=leaf, block=block)
+        unsigned = lambda v: int(np.int64(v).astype(np.uint64))
+        assert all((unsigned(r.a) ^ unsigned(r.b)).bit_count() <= radius for r in links.collect())
         got = {}
         for r in connected_components(links).collect():
-            got.setdefault(r.root, set()).add(int(np.int64(r.node).astype(np.uint64)))
-        assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+            got.setdefault(r.root, set()).add(unsigned(r.node))
+        assert sorted(map(sorted, got.values())) == components(brute_components(prints, radius))
+
+
+def test_links_are_held_against_shingles(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(12):
+        body = words(rng, 400, 5000).split()
+        rows.append((10 * k, " ".join(body)))
+        rows.append((10 * k + 1, " ".join(body[:200] + ["changed"] + body[201:])))  # five of about 800 shingles
+        rows.append((10 * k + 2, " ".join(body) + " " + words(rng, 300, 5000)))
+    rows += [(1000, "same " * 50), (1001, "same " * 50 + "same"), (1002, None), (1003, ""), (None, "lone text of a null id")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), radius=12, width=5, parts=4, least=0.8).collect()}
+    assert len(got) == len(rows)
+    for k in range(12):
+        assert got[10 * k] == got[10 * k + 1] == 10 * k and got[10 * k + 2] == 10 * k + 2
+    assert got[1001] == 1000 and got[1003] == 1002 and got[None] is None
 
 
 def test_simhash_of_an_empty_table(spark):
