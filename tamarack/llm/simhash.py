@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,14 +44,22 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     empty and blank texts give zero; with fewer words than `width` the whole
     sequence is the one shingle.
     """
+    return _majority(_hashes(text, width))
+
+
+def _hashes(text: bytes | None, width: int) -> list[int]:
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < width:
-        hashes = [digest(join(words), SEED)]
-    else:
-        hashes = [digest(join(t), SEED) for t in zip(*(words[i:] for i in range(width)))]
+        return [digest(join(words), SEED)]
+    return [digest(join(t), SEED) for t in zip(*(words[i:] for i in range(width)))]
+
+
+def _majority(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     if len(octets) < 64:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0)
@@ -74,6 +81,25 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp bigint")
 
 
+def text_prints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp, digest, size): also a digest of the text and its number of distinct shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, digests, sizes = [], [], []
+            for text in batch.column(1):
+                raw = text.as_py() or b""
+                hashes = _hashes(raw, width)
+                prints.append(_majority(hashes))
+                digests.append(xxhash.xxh64_intdigest(raw, SEED))
+                sizes.append(len(set(hashes)))
+            signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (prints, digests)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(sizes, pa.int32())], ["doc_id", "fp", "digest", "size"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp bigint, digest bigint, size int")
+
+
 def _parts(prints: np.ndarray, parts: int) -> list[np.ndarray]:
     width = 64 // parts
     return [((prints >> np.uint64(width * i)) & np.uint64((1 << width) - 1)).astype(np.uint32) for i in range(parts)]
@@ -123,29 +149,60 @@ def _pairs(queries: np.ndarray, members: np.ndarray, q: np.ndarray, m: np.ndarra
             yield int(some[k]), m[np.flatnonzero(close[k])]
 
 
-def forest(prints: np.ndarray, home: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links between all rows and the home rows, thinned to a spanning forest and, if asked, each row's nearest other."""
+def _found(prints: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, home rows within radius); given sizes, only those that can share `least` of their shingles."""
+    for row, found in _pairs(prints, prints, np.arange(len(prints)), np.flatnonzero(home), radius):
+        if sizes is not None:
+            found = found[np.minimum(sizes[found], sizes[row]) >= least * np.maximum(sizes[found], sizes[row])]
+        yield row, found
+
+
+def forest(prints: np.ndarray, home: np.ndarray, radius: int, sizes: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows, rows) between all rows and the home rows, thinned to a spanning forest."""
     root = np.arange(len(prints))
-    members = np.flatnonzero(home)
+    groups: dict[int, list] = {}
     rows, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for row, found in _pairs(prints, prints, np.arange(len(prints)), members, radius):
-        if nearest and len(found) > 1:
-            others = found[found != row]
-            rows.append(np.array([row]))
-            to.append(others[[np.bitwise_count(prints[others] ^ prints[row]).argmin()]])
+    for row, found in _found(prints, home, radius, sizes, least):
         roots, first = np.unique(root[found], return_index=True)
         fresh = roots != root[row]
         if fresh.any():
             rows.append(np.full(fresh.sum(), row))
             to.append(found[first[fresh]])
-            root[np.isin(root, roots[fresh])] = root[row]
-    return prints[np.concatenate(rows)], prints[np.concatenate(to)]
-
-
-def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, nearest: bool = False, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """Distinct (fp) -> (a, b): links that connect whatever lies within `radius` bits, one forest of links per shard.
-
-    With `nearest`, also a link from each fingerprint to the nearest that a shard has.
+            # The largest group keeps its number, so a row is renumbered few times.
+            names = [int(root[row]), *roots[fresh].tolist()]
+            members = [groups.pop(name, [name]) for name in names]
+            most = max(range(len(names)), key=lambda k: len(members[k]))
+            for k, some in enumerate(members):
+                if k != most:
+                    root[some] = names[most]
+                    members[most].extend(some)
+            groups[names[most]] = members[most]
+    return np.concatenate(rows), np.concatenate(to)
+
+
+def apart(prints: np.ndarray, home: np.ndarray, nodes: np.ndarray, roots: np.ndarray, radius: int, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (rows, rows) of different roots, each from its higher node, in batches."""
+    rows, to, held = [], [], 0
+    for row, found in _found(prints, home, radius, sizes, least):
+        found = found[(roots[found] != roots[row]) & (nodes[found] < nodes[row])]
+        if len(found):
+            rows.append(np.full(len(found), row))
+            to.append(found)
+            held += len(found)
+            if held > 100_000:
+                yield np.concatenate(rows), np.concatenate(to)
+                rows, to, held = [], [], 0
+    if held:
+        yield np.concatenate(rows), np.concatenate(to)
+
+
+def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK, least: float | None = None) -> DataFrame:
+    """(a, b): links that connect whatever lies within `radius` bits, one forest of links per shard.
+
+    `prints` holds distinct fp, which the links name. With `least` it holds rows
+    (node, fp, size), whose nodes the links name, and only rows whose sizes let them
+    share `least` of their shingles are linked; with a column root besides, all
+    links between rows of different roots are given, not a forest.
 
     `prints` should be a written table: it is read for its count, the sample and the routing.
     """
@@ -160,6 +217,9 @@ def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, nearest: bool
         trees.append((first, _grow(codes, depth, np.random.default_rng(7), leaves)))
         first += len(leaves)
 
+    extra = [] if least is None else [c for c in ("node", "size", "root") if c in prints.columns]
+    kinds = "".join(f", {c} {prints.schema[c].dataType.simpleString()}" for c in extra)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.asarray(batch.column(0)).view(np.uint64)
@@ -169,9 +229,10 @@ def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, nearest: bool
                 for number, some, home in found:
                     if len(some):
                         shard = pa.array(np.full(len(some), start + number, np.int32))
-                        yield pa.RecordBatch.from_arrays([shard, pa.array(rows[some].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
+                        taken = [batch.column(k + 1).take(pa.array(some)) for k in range(len(extra))]
+                        yield pa.RecordBatch.from_arrays([shard, pa.array(rows[some].view(np.int64)), pa.array(home), *taken], ["shard", "fp", "home", *extra])
 
-    routed = prints.select("fp").mapInArrow(route, "shard int, fp bigint, home boolean")
+    routed = prints.select("fp", *extra).mapInArrow(route, f"shard int, fp bigint, home boolean{kinds}")
     # As many rows as the trees have leaves.
     sizes = [tuple(r) for r in routed.groupBy("shard").count().collect()]
     large = {s: int(-(-n // block)) for s, n in sizes if n > block}
@@ -179,19 +240,27 @@ def near_links(prints: DataFrame, radius: int = 3, parts: int = 2, nearest: bool
         blocks = F.coalesce(F.create_map([F.lit(x) for pair in large.items() for x in pair])[F.col("shard")], F.lit(1))
     else:
         blocks = F.lit(1)
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp", *extra[:1]), F.col("blocks")).cast("int")
     cells = (
         routed.withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home")
+        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "home", *extra)
     )
 
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy(), radius, nearest)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(batches))
+        column = {c: cell.column(c).to_numpy() for c in ("fp", "home", *extra)}
+        codes, home = column["fp"].view(np.uint64), column["home"].astype(bool)
+        names, sizes = column.get("node", column["fp"]), column.get("size")
+        if "root" in column:
+            found = apart(codes, home, names, column["root"], radius, sizes, least)
+        else:
+            found = [forest(codes, home, radius, sizes, least or 0.0)]
+        for rows, to in found:
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(names[to])], ["a", "b"])
 
-    return cells.groupBy("shard", "i", "j").applyInPandas(link, "a bigint, b bigint")
+    return cells.groupBy("shard", "i", "j").applyInArrow(link, "a bigint, b bigint")
 
 
 def shingles(text: bytes | None, width: int) -> set[bytes]:
@@ -200,17 +269,18 @@ def shingles(text: bytes | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def alike(docs: DataFrame, firsts: DataFrame, links: DataFrame, least: float, width: int) -> DataFrame:
+def alike(docs: DataFrame, texts: DataFrame, links: DataFrame, least: float, width: int) -> DataFrame:
     """Links (a, b) whose texts share `least` or more of their distinct shingles.
 
-    firsts (fp, first_id) names a document of each fingerprint. Only texts that a link
+    texts (node, digest, first_id) names a document of each text. Only texts that a link
     needs are read again, and each link meets its two texts by shuffle joins.
     """
-    needed = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = firsts.join(needed, "fp", "left_semi").select("fp", F.col("first_id").alias("doc_id"))
-    texts = docs.where("doc_id is not null").join(wanted, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-    texts = materialize(texts.select("fp", F.col("text").cast("binary").alias("text")), "linked-texts")
-    side = lambda name: texts.select(F.col("fp").alias(name), F.col("text").alias(f"text_{name}"))
+    needed = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = texts.join(needed, "node", "left_semi").select("node", "digest", "first_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    texts = found.join(wanted, (found["digest"] == wanted["digest"]) & found["doc_id"].eqNullSafe(wanted["first_id"])).groupBy("node").agg(F.min("text").alias("text"))
+    texts = materialize(texts.select("node", F.col("text").cast("binary").alias("text")), "linked-texts")
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
     met = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,26 +294,56 @@ def alike(docs: DataFrame, firsts: DataFrame, links: DataFrame, least: float, wi
     return met.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, parts: int = 2, least: float | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, radius: int = 3, width: int = 3, parts: int = 2, least: float | None = None, leaf: int = LEAF, block: int = BLOCK
+) -> DataFrame:
     """One row per input row: doc_id, fp (signed long), component_id.
 
     component_id is the least doc_id reachable over links of at most `radius`
     differing bits, texts without words (fingerprint zero) included. With `least`,
-    a link also needs that share of common shingles; held against it are a
-    spanning forest of each leaf and each text's nearest other. Null ids
+    a link also needs that share of common shingles; all such links count, and only
+    equal texts are one from the start. Null ids
     keep their rows and are never a component's id unless it has no other.
     Repeated rows each give a row; columns other than doc_id and text are ignored.
     """
-    rows = materialize(fingerprints(docs, width), "fingerprints")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    links = near_links(firsts.select("fp"), radius, parts, nearest=least is not None)
-    if least is not None:
-        links = alike(docs.select("doc_id", "text"), firsts, materialize(links.distinct(), "links"), least, width)
-    roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    placed = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if least is None:
+        keys = ["fp"]
+        rows = materialize(fingerprints(docs, width), "fingerprints")
+        firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("fp")), "prints")
+        links = near_links(firsts.select("fp"), radius, parts, leaf=leaf, block=block)
+    else:
+        keys = ["fp", "digest", "size"]
+        rows = materialize(text_prints(docs, width), "fingerprints")
+        firsts = rows.groupBy(*keys).agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id())
+        firsts = materialize(firsts, "texts")
+        links = alike_links(docs.select("doc_id", "text"), firsts, radius, width, parts, least, leaf, block)
+    roots = connected_components(links)
+    placed = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = placed.join(lowest, "root").select(*keys, "component_id")
+    return rows.join(of_print, keys).select("doc_id", "fp", "component_id")
+
+
+def alike_links(docs: DataFrame, texts: DataFrame, radius: int, width: int, parts: int, least: float, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of nodes that connect all texts within `radius` bits that share `least` of their shingles.
+
+    First a forest of the candidates is held against the texts. Where it leaves a
+    tree in pieces, all other candidates between the pieces follow; a candidate
+    inside a piece would join nothing.
+    """
+    near = lambda prints: near_links(prints, radius, parts, leaf=leaf, block=block, least=least).distinct()
+    first = materialize(near(texts.select("fp", "node", "size")), "links")
+    met = materialize(alike(docs, texts, first, least, width), "alike")
+    trees = connected_components(first).withColumnRenamed("root", "tree")
+    pieces = materialize(trees.join(connected_components(met), "node", "left").withColumn("root", F.coalesce("root", "node")), "pieces")
+    broken = pieces.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tree")
+    rest = texts.select("fp", "node", "size").join(pieces.join(broken, "tree", "left_semi").select("node", "root"), "node")
+    rest = materialize(rest, "open")
+    if rest.isEmpty():
+        return met
+    turned = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).alias("link")
+    more = near(rest).join(first.select(turned).select("link.*"), ["a", "b"], "left_anti")
+    return met.unionByName(alike(docs, texts, materialize(more, "links"), least, width))
 
 
 def hex_fingerprint(column="fp"):

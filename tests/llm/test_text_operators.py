@@ -114,6 +114,43 @@ def test_links_are_held_against_shingles(spark):
     assert got[1001] == 1000 and got[1003] == 1002 and got[None] is None
 
 
+def near_copy(rng, body, share):
+    """`body` with words replaced until it shares just `share` of its five-word shingles or a bit more."""
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want, out = grams(body), list(body)
+    while True:
+        last, out = out, list(out)
+        out[rng.randrange(len(out))] = f"edit{rng.randrange(10**9)}"
+        got = grams(out)
+        if len(got & want) < share * len(got | want):
+            return last
+
+
+def test_links_behind_a_failed_hub_and_equal_fingerprints(spark):
+    rng = random.Random(53)
+    rows = []
+    for k in range(15):
+        hub = words(rng, 240, 10**6).split()
+        copy = near_copy(rng, hub, 0.7)
+        rows += [(10 * k, " ".join(hub)), (10 * k + 1, " ".join(copy)), (10 * k + 2, " ".join(near_copy(rng, copy, 0.85)))]
+    line = "the same line again " * 60
+    own = words(rng, 100, 10**6)
+    rows += [(1000, line + words(rng, 100, 10**6)), (1001, line + own), (1002, line + own.replace("w", "W")), (None, line + own + " tail")]
+    prints = [simhash.fingerprint(t.encode(), 5) for i, t in rows if i is None or i >= 1000]
+    frame = documents(spark, rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, radius=64, width=5, parts=4, least=0.8).collect()}
+    grams = {i: simhash.shingles(t.encode(), 5) for i, t in rows}
+    roots = {i: i for i in grams}
+    for i in sorted(grams, key=lambda i: (i is None, i)):
+        for j in [j for j in grams if j is not None and (i is None or j < i)]:
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = roots[i], roots[j]
+                roots = {n: min(a, b, key=lambda v: (v is None, v)) if r in (a, b) else r for n, r in roots.items()}
+    assert got == roots
+    assert all(got[10 * k + 1] == got[10 * k + 2] for k in range(15)) and got[1001] != got[1000] and got[None] == 1001
+    assert len(set(prints)) < len(prints)
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
