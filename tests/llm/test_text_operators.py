@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tamarack.llm import chunk_dedup, decontam, quality, secret_scan, simhash, token_counts, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, row string, key int"
@@ -126,6 +127,17 @@ def near_copy(rng, body, share):
             return last
 
 
+def test_near_copies_at_the_radius_of_the_pipeline(spark):
+    rng = random.Random(47)
+    rows = []
+    for k in range(150):
+        body = words(rng, 300, 10**6).split()
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(near_copy(rng, body, rng.uniform(0.8, 0.85))))]
+    docs = documents(spark, rows)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept >= set(range(0, 300, 2)) and len(kept) <= 150 + 15
+
+
 def test_links_behind_a_failed_hub_and_equal_fingerprints(spark):
     rng = random.Random(53)
     rows = []
