@@ -114,25 +114,30 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Passages of `least_words` words or more that documents share, wherever they stand.
+    """Passages that documents share, wherever they stand.
 
     doc_id, start, end (code points of the document), n_words, n_chunks,
-    first_doc_id (the least id that has a chunk of the passage) and passage_digest. A document
-    without such a passage has no row. Every sharing document has its rows, the first included.
+    first_doc_id (the least id that has each chunk of the passage) and passage_digest.
+    A passage ends where its first document changes; neighbouring passages have
+    `least_words` words or more together. A document without them has no row.
+    Every sharing document has its rows, the first included.
     """
     own = Window.partitionBy("doc_id").orderBy("start")
     chunks = shared_chunks(docs).withColumn("fresh", F.coalesce((F.lag("end").over(own) != F.col("start")).cast("int"), F.lit(1)))
-    runs = chunks.withColumn("run", F.sum("fresh").over(own))
-    found = runs.groupBy("doc_id", "run").agg(
+    other = F.coalesce((F.lag("first_doc_id").over(own) != F.col("first_doc_id")).cast("int"), F.lit(1))
+    chunks = chunks.withColumn("turn", F.greatest("fresh", other))
+    runs = chunks.withColumns({"run": F.sum("fresh").over(own), "part": F.sum("turn").over(own)})
+    runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    found = runs.where(F.col("run_words") >= least_words).groupBy("doc_id", "part").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("n_words").alias("n_words"),
         F.count("*").alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"),
+        F.min("first_doc_id").alias("first_doc_id"),  # one for all of them
         F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("parts"),
     )
     digest = F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256)
-    return found.where(F.col("n_words") >= least_words).select(
+    return found.select(
         "doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", digest.alias("passage_digest")
     )
 

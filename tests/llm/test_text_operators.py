@@ -359,6 +359,23 @@ def test_shared_passages(spark):
     assert chunk_dedup.passages(documents(spark, [])).count() == 0
 
 
+def test_every_shared_chunk_stays_in_its_first_document(spark):
+    rng = random.Random(61)
+    x = words(rng, 60, 5000)
+    copy = f"{words(rng, 90, 5000)} {x} {words(rng, 90, 5000)}"
+    docs = documents(spark, [(1, f"{words(rng, 80, 5000)} {x} {words(rng, 80, 5000)}"), (2, copy), (4, copy)])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = chunk_dedup.passages(docs).collect()
+    assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] for r in rows)
+    assert {r.first_doc_id for r in rows if r.doc_id == 4} == {1, 2}
+    assert sum(r.end - r.start for r in rows if r.doc_id == 4) == len(copy)
+    kept = {r.doc_id: r.text for r in chunk_dedup.drop_passages(docs).collect()}
+    assert kept[1] == texts[1] and kept[4] == ""
+    for r in chunk_dedup.shared_chunks(docs).collect():
+        if r.doc_id == r.first_doc_id:
+            assert texts[r.doc_id][r.start : r.end] in kept[r.doc_id]
+
+
 def test_token_rollup_is_additive_and_idempotent(spark, tmp_path):
     rng = random.Random(3)
     docs = [(i, words(rng, 10 + i), None if i % 7 == 0 else f"s{i % 3}", "en") for i in range(40)] + [(90, None, "s1", "fr"), (91, "", "s1", None), (92, "long " * 30_000, "s2", "en")]
