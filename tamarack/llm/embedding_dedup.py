@@ -29,6 +29,8 @@ from tamarack.llm.graph import connected_components
 #: Tables of filters, codewords in either half, least inner product with a filter's direction:
 #: at cosine 0.9 in 64 dimensions 97.5 % of pairs share a filter, more above; a vector passes 44 of 524,288.
 TABLES, CODEWORDS, CAP = 2, 512, 0.45
+#: Beyond this size too few pairs share a filter at that cap; larger vectors are all compared, in blocks.
+MOST = 64
 BLOCK = 1_500
 SEED = 11
 _CODES: dict[int, list] = {}
@@ -52,10 +54,10 @@ def _codes(size: int) -> list:
 
 
 def decode(unit: np.ndarray) -> np.ndarray:
-    """All filters that a unit vector passes, ascending. Sizes under 4 have one filter for all."""
+    """All filters that a unit vector passes, ascending. Sizes under 4 or over MOST have one filter for all."""
     size = len(unit)
     base = size * TABLES * CODEWORDS * CODEWORDS
-    if size < 4:
+    if size < 4 or size > MOST:
         return np.array([base])
     out, reach = [], CAP * np.sqrt(2)
     for k, (turn, left, right) in enumerate(_codes(size)):

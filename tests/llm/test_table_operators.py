@@ -172,6 +172,33 @@ def test_recall_at_the_threshold():
     assert met >= 470
 
 
+@pytest.mark.parametrize("size", [32, 96, 128, 384])
+def test_recall_at_other_sizes(size):
+    rng = np.random.default_rng(size)
+    met = 0
+    for _ in range(200):
+        x, z = rng.standard_normal((2, size))
+        x /= np.linalg.norm(x)
+        z -= z @ x * x
+        y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z)
+        met += bool(np.intersect1d(embedding_dedup.decode(x), embedding_dedup.decode(y)).size)
+    assert met > 180
+
+
+def test_links_of_wide_vectors(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(40):
+        x, z = rng.standard_normal((2, 384))
+        x /= np.linalg.norm(x)
+        z -= z @ x * x
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (0.92 * x + np.sqrt(1 - 0.92**2) * z / np.linalg.norm(z)).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for block in (1_500, 10):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame, block=block).collect()}
+        assert got == {i: (1, i - i % 2) for i, _ in rows}
+
+
 def test_embeddings_of_an_empty_table(spark):
     frame = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
     assert embedding_dedup.near_duplicates(frame).count() == 0
