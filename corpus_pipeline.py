@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Fingerprints of five-word shingles within NEAR bits are compared, and texts linked that share ALIKE of their shingles or more.
     """
     # Trees prune little at this radius: large leaves and blocks repeat fewer rows.
-    found = simhash.near_duplicates(docs, radius=NEAR, width=5, parts=4, least=ALIKE, leaf=8_000, block=100_000)
+    found = simhash.near_duplicates(docs, radius=NEAR, width=5, least=ALIKE, leaf=40_000, block=40_000)
     kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
     # One shuffle by doc_id serves the join and the repeats.
     rows = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
