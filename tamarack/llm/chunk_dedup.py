@@ -3,8 +3,10 @@
 A gear hash rolls over the bytes; its low sixteen bits depend on the last sixteen
 bytes alone. A place is a cut where they fall under a bound and no other such
 place lies within the LEAST bytes before it, so cuts depend on nearby content
-only and an insertion shifts nothing beyond it. Chunks are matched by a strong
-digest; neighbouring chunks that other documents share are joined into passages.
+only and an insertion shifts nothing beyond it. From every chunk a window runs
+on over whole chunks until it has PASSAGE_WORDS words. Windows are matched by a
+strong digest, so whatever is found stands as it is, and as long, in one other
+document; overlapping shared windows make up a passage.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import materialize
 
 #: One byte in RATE is a cut before the least distance; runs over MOST bytes are cut anyway.
-RATE, LEAST, MOST = 20, 10, 256
-#: Words that a shared passage has at least.
-PASSAGE_WORDS = 16
+RATE, LEAST, MOST = 16, 8, 256
+#: Words that a shared passage has at least, some forty tokens.
+PASSAGE_WORDS = 24
 _GEAR = np.random.default_rng(20_240_101).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,12 +52,36 @@ def cuts(data: np.ndarray, rate: int = RATE, least: int = LEAST, most: int = MOS
     return ends
 
 
-def chunk_table(docs: DataFrame, strong: bool) -> DataFrame:
-    """(doc_id, text) -> doc_id, h and, if `strong`, h2 and place of each chunk.
+def windows(raw: bytes, least_words: int) -> tuple[np.ndarray, ...] | None:
+    """begin, end (bytes), start, stop (code points), first, last (words), chunk, past (chunks) of every window; None without any.
 
-    h and h2 are the halves of a 128-bit digest. place packs a chunk's start,
-    length (both in code points) and words into one number, for narrow shuffles;
-    see :func:`_unpacked`. Null and empty texts have no chunks.
+    A window is the fewest whole chunks from a cut on that have `least_words`
+    words; the last one also has a twin that runs to the end of the text.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    ends = cuts(data)
+    space = np.concatenate([[True], _SPACE[data]])
+    words = np.concatenate([[0], np.cumsum(space[:-1] & ~space[1:])])
+    begins = np.concatenate([[0], ends[:-1]])
+    past = np.searchsorted(words[ends], words[begins] + least_words)
+    chunk = np.flatnonzero(past < len(ends))
+    if not len(chunk):
+        return None
+    past = past[chunk]
+    if past[-1] < len(ends) - 1:
+        chunk, past = np.append(chunk, chunk[-1]), np.append(past, len(ends) - 1)
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    begin, end = begins[chunk], ends[past]
+    return begin, end, letters[begin], letters[end], words[begin], words[end], chunk, past + 1
+
+
+_PLACE = ["start", "end", "first_word", "last_word", "first_chunk", "last_chunk"]
+
+
+def window_table(docs: DataFrame, strong: bool, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, text) -> doc_id, h and, if `strong`, h2 and the place (code points, words, chunks; ends exclusive) of each window.
+
+    h and h2 are the halves of a 128-bit digest. Null and empty texts, and those of fewer words, have no windows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -65,39 +91,28 @@ def chunk_table(docs: DataFrame, strong: bool) -> DataFrame:
                 part = batch.slice(first, 256)
                 rows, digests, places = [], [], []
                 for row, text in enumerate(part.column(1)):
-                    raw = text.as_py() or b""
-                    data = np.frombuffer(raw, np.uint8)
-                    ends = cuts(data)
-                    if not len(ends):
+                    raw = text.as_py()
+                    found = windows(raw, least_words) if raw else None
+                    if found is None:
                         continue
-                    begins = np.concatenate([[0], ends[:-1]])
-                    digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())]
-                    if strong:
-                        letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                        space = np.concatenate([[True], _SPACE[data]])
-                        words = np.concatenate([[0], np.cumsum(space[:-1] & ~space[1:])])
-                        places.append((letters[begins] << 20) + ((letters[ends] - letters[begins]) << 10) + words[ends] - words[begins])
-                    rows.append(np.full(len(ends), row))
+                    digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(found[0].tolist(), found[1].tolist())]
+                    places.append(found[2:])
+                    rows.append(np.full(len(found[0]), row))
                 if not rows:
                     continue
                 ids = part.column(0).take(pa.array(np.concatenate(rows)))
                 halves = np.frombuffer(b"".join(digests), "<i8")
-                columns = [ids, pa.array(halves[::2])] + ([pa.array(halves[1::2]), pa.array(np.concatenate(places))] if strong else [])
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", "place"][: len(columns)])
+                columns = [ids, pa.array(halves[::2])]
+                if strong:
+                    columns += [pa.array(halves[1::2]), *(pa.array(np.concatenate(c), pa.int32()) for c in zip(*places))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", *_PLACE][: len(columns)])
 
-    more = ", h2 bigint, place bigint" if strong else ""
+    more = ", h2 bigint" + "".join(f", {c} int" for c in _PLACE) if strong else ""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, h bigint{more}")
 
 
-def _unpacked(chunks: DataFrame) -> DataFrame:
-    """place as start, end and n_words."""
-    start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    found = {"start": start, "end": start + size, "n_words": F.col("place").bitwiseAND(F.lit(1023))}
-    return chunks.withColumns({name: value.cast("int") for name, value in found.items()}).drop("place")
-
-
-def shared_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks that documents of different ids share: doc_id, start, end, n_words, digest (hex), first_doc_id.
+def shared_windows(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """Windows that documents of different ids share: doc_id, h, h2, their place, and first_doc_id, the least id that has them.
 
     Half digests are grouped first, which picks the few rows that a whole digest
     and its join are worth; those rows are written, so that texts are cut twice
@@ -105,41 +120,103 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id is not null")
     both = [F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")]
-    halves = chunk_table(docs, strong=False).groupBy("h").agg(*both).where("first_doc_id <> last_doc_id").select("h")
-    likely = materialize(chunk_table(docs, strong=True).join(halves, "h", "left_semi"), "chunks")
+    halves = window_table(docs, False, least_words).groupBy("h").agg(*both).where("first_doc_id <> last_doc_id").select("h")
+    likely = materialize(window_table(docs, True, least_words).join(halves, "h", "left_semi"), "windows")
     known = likely.groupBy("h", "h2").agg(*both).where("first_doc_id <> last_doc_id").drop("last_doc_id")
-    met = likely.join(materialize(known, "shared-chunks"), ["h", "h2"])
-    digest = F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("h", "h2"))))
-    return _unpacked(met).select("doc_id", "start", "end", "n_words", digest.alias("digest"), "first_doc_id").distinct()
+    return likely.join(materialize(known, "shared-windows"), ["h", "h2"])
+
+
+class _Sweep:
+    """Runs through a document's shared windows by start and gives non-overlapping pieces, each of the least first document of the windows over it."""
+
+    def __init__(self, whole: bool):
+        self.whole, self.out, self.open, self.at, self.held = whole, [], [], None, None
+
+    def _piece(self, doc, begin: tuple, end: tuple) -> None:
+        """begin, end: (code point, word, chunk)."""
+        owner = min(w[0] for w in self.open)
+        marks = b"".join(w[3] for w in self.open if w[2] == begin)
+        held = self.held
+        if self.whole and held and held[0] == doc and held[2] == begin and held[3] == owner:
+            held[2] = end
+            held[4].update(marks)
+            return
+        self.close()
+        self.held = [doc, begin, end, owner, hashlib.sha256(marks)]
+
+    def close(self) -> None:
+        if self.held:
+            doc, begin, end, owner, digest = self.held
+            self.out.append((doc, begin[0], end[0], end[1] - begin[1], end[2] - begin[2], owner, digest.hexdigest()))
+        self.held = None
+
+    def upto(self, doc, place: tuple | None) -> None:
+        """Give what lies before `place`, or all of the document."""
+        while self.open and (place is None or self.at < place):
+            nearest = min(w[1] for w in self.open)
+            stop = nearest if place is None else min(nearest, place)
+            if stop > self.at:
+                self._piece(doc, self.at, stop)
+            self.at = stop
+            self.open = [w for w in self.open if w[1] > stop]
+
+    def add(self, doc, owner, begin: tuple, end: tuple, mark: bytes) -> None:
+        if not self.open:
+            self.at = begin
+        if (owner, end, begin, mark) not in self.open[-2:]:
+            self.open.append((owner, end, begin, mark))
+
+
+def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
+    met = shared_windows(docs, least_words).repartition("doc_id").sortWithinPartitions("doc_id", "start", "end")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", "passage_digest"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, doc, kinds = _Sweep(whole), None, None
+        # A row's sort key is its document; only the windows over one place are held.
+
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*state.out))
+            state.out = []
+            types = (kinds[0], pa.int32(), pa.int32(), pa.int64(), pa.int64(), kinds[1], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        for batch in batches:
+            kinds = (batch.column(0).type, batch.column(9).type)
+            halves = np.stack([np.asarray(batch.column(k)) for k in (1, 2)], axis=1).astype("<i8")
+            for row, (own, _, _, a, z, wa, wz, ca, cz, owner) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if own != doc:
+                    state.upto(doc, None)
+                    doc = own
+                state.upto(doc, (a, wa, ca))
+                state.add(doc, owner, (a, wa, ca), (z, wz, cz), halves[row].tobytes())
+            if state.out:
+                yield given()
+        state.upto(doc, None)
+        state.close()
+        if state.out:
+            yield given()
+
+    made = f"doc_id {kind}, start int, end int, n_words bigint, n_chunks bigint, first_doc_id {kind}, passage_digest string"
+    return met.select("doc_id", "h", "h2", *_PLACE, "first_doc_id").mapInArrow(sweep, made)
+
+
+def shared_chunks(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
+    """The shared passages chunk by chunk: doc_id, start, end, n_words, digest, first_doc_id."""
+    return _swept(docs, least_words, False).select("doc_id", "start", "end", "n_words", F.col("passage_digest").alias("digest"), "first_doc_id")
 
 
 def passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """Passages that documents share, wherever they stand.
 
     doc_id, start, end (code points of the document), n_words, n_chunks,
-    first_doc_id (the least id that has each chunk of the passage) and passage_digest.
-    A passage ends where its first document changes; neighbouring passages have
-    `least_words` words or more together. A document without them has no row.
-    Every sharing document has its rows, the first included.
+    first_doc_id and passage_digest. Every place of a passage lies in `least_words` words or
+    more that another document has as they are; first_doc_id is the least id
+    that has such words there, and a passage ends where it changes. A document without
+    passages has no row. Every sharing document has its rows, the first included.
     """
-    own = Window.partitionBy("doc_id").orderBy("start")
-    chunks = shared_chunks(docs).withColumn("fresh", F.coalesce((F.lag("end").over(own) != F.col("start")).cast("int"), F.lit(1)))
-    other = F.coalesce((F.lag("first_doc_id").over(own) != F.col("first_doc_id")).cast("int"), F.lit(1))
-    chunks = chunks.withColumn("turn", F.greatest("fresh", other))
-    runs = chunks.withColumns({"run": F.sum("fresh").over(own), "part": F.sum("turn").over(own)})
-    runs = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    found = runs.where(F.col("run_words") >= least_words).groupBy("doc_id", "part").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum("n_words").alias("n_words"),
-        F.count("*").alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"),  # one for all of them
-        F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("parts"),
-    )
-    digest = F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256)
-    return found.select(
-        "doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", digest.alias("passage_digest")
-    )
+    return _swept(docs, least_words, True)
 
 
 def drop_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
