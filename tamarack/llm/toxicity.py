@@ -4,7 +4,8 @@ Folding lower-cases, turns look-alike letters of other scripts and digits that
 stand for letters into Latin letters, and makes everything else a space, one
 character for one. The lexicon has fixed words and words and word beginnings
 learned from labelled rows, each weighted by how much likelier it is in toxic
-text. Phrases in EXCEPTIONS hide the entries inside them. The hits' weight over
+text. A beginning is learned only where several of its words occur in toxic text
+and it says more than the commonest of them. Phrases in EXCEPTIONS hide the entries inside them. The hits' weight over
 the text's length, with the plain weight, becomes a probability.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import labelled_sample
+from tamarack.llm.common import labelled_sample, materialize
 from tamarack.llm.quality import _logistic
 
 #: Labelled rows that the lexicon and the calibration are learned from, at most.
@@ -33,6 +34,10 @@ ENTRIES = 3_000
 PREFIX = range(5, 11)
 #: Toxic documents that a learned entry occurs in at least, as a number and as a share of all.
 LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.03
+#: Letters that a learned entry has at least: shorter words are common ones, and digits fold into too many of them.
+LETTERS = 4
+#: Toxic documents of a beginning, at least, for one of its commonest word.
+MORE = 1.25
 
 # Words that count before anything is learned, and phrases in which they don't.
 WORDS = "idiot moron stupid scum trash loser clown pathetic worthless disgusting imbecile dumbass bastard asshole bitch retard jackass scumbag dickhead".split()
@@ -154,7 +159,10 @@ def features(text: str | None, machines) -> list[float]:
 
 
 def _statistics(texts: DataFrame) -> DataFrame:
-    """(toxic, text) -> pattern, and the documents of either class that have it; the empty pattern counts all."""
+    """(toxic, text) -> pattern, documents of either class that have it, the toxic ones of its commonest word, and its words in toxic text.
+
+    The empty pattern counts all documents; a whole word is its own only word.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +177,12 @@ def _statistics(texts: DataFrame) -> DataFrame:
 
     counted = texts.select("toxic", "text").mapInArrow(count, "pattern string, toxic int, d bigint")
     of = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("d")).otherwise(0))
-    return counted.groupBy("pattern").agg(of(1).alias("dt"), of(0).alias("dc"))
+    found = materialize(counted.groupBy("pattern").agg(of(1).alias("dt"), of(0).alias("dc")), "toxicity-counts")
+    word = F.rtrim("pattern")
+    begun = F.explode(F.transform(F.sequence(F.lit(PREFIX.start), F.least(F.length(word) - 1, F.lit(PREFIX.stop - 1))), lambda n: F.left(word, n + 1)))
+    whole = found.where(F.endswith("pattern", F.lit(" ")) & (F.col("dt") > 0) & (F.length(word) > PREFIX.start))
+    completed = whole.select(begun.alias("pattern"), F.col("dt").alias("of_word")).groupBy("pattern").agg(F.max("of_word").alias("most"), F.count("*").alias("words"))
+    return found.join(completed, "pattern", "left").withColumns({"most": F.coalesce("most", F.lit(0)), "words": F.coalesce("words", F.lit(1))})
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, modulus: int = 4, remainder: int = 2) -> ToxicityModel:
@@ -187,9 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, modulus:
     if whole and whole.dt and whole.dc:
         rate = F.log((F.col("dt") + 0.5) / whole.dt / ((F.col("dc") + 0.5) / whole.dc))
         expected = (F.col("dt") + F.col("dc")) * (whole.dt / (whole.dt + whole.dc))
-        learned = statistics.select("pattern", F.least(rate, F.lit(6.0)).alias("weight"), ((F.col("dt") - expected) / F.sqrt(expected + 1)).alias("z"), "dt")
+        learned = statistics.select("pattern", F.least(rate, F.lit(6.0)).alias("weight"), ((F.col("dt") - expected) / F.sqrt(expected + 1)).alias("z"), "dt", "most", "words")
         least = max(LEAST_DOCUMENTS, LEAST_SHARE * whole.dt)
         learned = learned.where((F.col("pattern") != "") & (F.col("dt") >= least) & (F.col("weight") > 1.1) & (F.col("z") > 4))
+        learned = learned.where(F.length(F.trim("pattern")) >= LETTERS)
+        learned = learned.where(F.endswith("pattern", F.lit(" ")) | ((F.col("words") > 1) & (F.col("dt") >= MORE * F.col("most"))))
         entries |= {r.pattern: r.weight for r in learned.orderBy(F.desc("z"), "pattern").limit(ENTRIES).collect()}
     entries |= {_entry(p): 0.0 for p in EXCEPTIONS}
     model = ToxicityModel(entries, [-4.0, 1.0, 0.5, 0.5], 0.5)
