@@ -38,15 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.__dict__["_written"] = path
+    return written
 
 
 def drop_tables(spark: SparkSession, frames: list[DataFrame]) -> None:
     """Delete tables written by :func:`materialize` that nothing reads any more."""
     for frame in frames:
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.__dict__.pop("_written"))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id, modulus: int, remainder: int):
@@ -63,4 +64,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     known = labels.where((F.col(column).isin(0, 1)) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias(column))
     chosen = known.orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id").limit(rows)
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Bounded by `rows`; what is fitted reads it more than once.
+    return materialize(found, "labelled")

@@ -18,32 +18,37 @@ from tamarack.llm import (
     toxicity,
     warc,
 )
-from tamarack.llm.common import held_out, materialize, shared_path, table
+from tamarack.llm.common import drop_tables, held_out, materialize, shared_path, table
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, take away exact copies, revise counts of texts that a white-space clean-up changes, replay a batch."""
+    """Load all documents, take away exact copies, revise counts of texts that a white-space clean-up changes, replay a batch.
+
+    Of the rows of one text that of the least doc_id stays, null ids last; every
+    row counts once on its way in. Copies go by signed sums alone: all rows
+    are taken away and one of each text is put back, so no join meets a hot text.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     tidy = F.trim(F.regexp_replace(text, r"[\x20\t]+", " "))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", text.alias("text"), F.sha2(text, 256).alias("digest"), F.when(tidy != text, tidy).alias("tidy")
+        "doc_id", "source", "lang", text.alias("text"), F.sha2(text, 256).alias("digest"), (tidy != text).alias("changed"),
+        F.when(tidy != text, tidy).alias("tidy"),
     )
-    facts = ["doc_id", "source", "lang", "digest"]
-    counted = materialize(token_counts.count_tokens(docs, facts), "tokens")
-    changed = docs.where("tidy is not null").select(*facts, F.col("tidy").alias("text"))
-    revised = token_counts.count_tokens(changed, ["doc_id", "digest"]).withColumnRenamed("tokens", "new_tokens")
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    placed = counted.join(firsts, "digest")
-    copies = placed.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    kept = placed.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).join(revised, ["doc_id", "digest"])
-    kept = kept.select("source", "lang", F.col("tokens").alias("old_tokens"), F.col("new_tokens").alias("tokens"))
+    facts = ["doc_id", "source", "lang", "digest", "changed"]
+    counted = materialize(token_counts.count_tokens(docs, facts, texts={"text": "tokens", "tidy": "new_tokens"}), "tokens")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "source", "lang", "tokens", "changed", "new_tokens")
+    kept = materialize(counted.groupBy("digest").agg(F.min(row).alias("row")).select("row.*"), "kept")
+    revised = kept.where("changed").withColumnsRenamed({"tokens": "old_tokens", "new_tokens": "tokens"})
     rollup = token_counts.TokenRollup(spark, shared_path(spark, "token-rollup"))
     version = token_counts.VERSION
+    copies = token_counts.deletes(counted, version).unionByName(token_counts.inserts(kept, version))
     rollup.commit("1-load", token_counts.inserts(counted, version))
-    rollup.commit("2-copies", token_counts.deletes(copies, version))
-    rollup.commit("3-tidy", token_counts.revisions(kept, version))
-    rollup.commit("2-copies", token_counts.deletes(copies, version))
-    return rollup.totals()
+    rollup.commit("2-copies", copies)
+    rollup.commit("3-tidy", token_counts.revisions(revised, version))
+    rollup.commit("2-copies", copies)
+    totals = rollup.totals()
+    drop_tables(spark, [counted, kept])
+    return totals
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

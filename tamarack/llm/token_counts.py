@@ -10,6 +10,7 @@ half-way is written anew. Totals are the sum of all committed batches.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,27 +27,38 @@ _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
 def _encoder(path: str) -> tiktoken.Encoding:
-    if path not in _ENCODERS:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+    with open(path, "rb") as file:
+        return _built(file.read())
 
 
-def count_tokens(rows: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """`keep` and tokens of each whole text; null and empty texts have none.
+def _built(vocabulary: bytes) -> tiktoken.Encoding:
+    """Built once in each Python worker."""
+    key = hashlib.sha256(vocabulary).hexdigest()
+    if key not in _ENCODERS:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+        _ENCODERS[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
 
-    The vocabulary file must be installed at the same path on every node.
+
+def count_tokens(rows: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, texts: dict[str, str] | None = None) -> DataFrame:
+    """`keep` and the tokens of each whole text; null and empty texts have none.
+
+    texts names the columns to count and the counts, {"text": "tokens"} by default; all
+    are counted in one pass. The driver reads the vocabulary file and sends it
+    out: its size is that of a vocabulary, whatever the table's.
     """
+    texts = texts or {"text": "tokens"}
+    with open(vocabulary, "rb") as file:
+        shared = rows.sparkSession.sparkContext.broadcast(file.read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _built(shared.value).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t.as_py() or "")) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*keep, "tokens"])
+            counts = [pa.array([len(encode(t.as_py() or "")) for t in c], pa.int64()) for c in batch.columns[len(keep) :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *counts], [*keep, *texts.values()])
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, F.col("text").alias("_text")).mapInArrow(scan, f"{schema}, tokens bigint")
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in texts.values())])
+    return rows.select(*keep, *(F.col(c).alias(f"_text{k}") for k, c in enumerate(texts))).mapInArrow(scan, schema)
 
 
 def inserts(counted: DataFrame, version: str) -> DataFrame:
