@@ -48,7 +48,7 @@ BLOCK = 20_000
 #: Bins of a sketch, a byte each.
 BINS = 64
 #: Rows of a group of candidates, with their shingles, that one task holds twice at most.
-GROUP = 4_000
+GROUP = 1_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
