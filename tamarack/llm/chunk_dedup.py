@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def cuts(data: np.ndarray, rate: int = RATE, least: int = LEAST, most: int = MOS
 
 
 def windows(raw: bytes, least_words: int) -> tuple[np.ndarray, ...] | None:
-    """begin, end (bytes), start, stop (code points), first, last (words), chunk, past (chunks) of every window; None without any.
+    """begin, end (bytes), start, size (code points), first word and number of words of every window; None without any.
 
     A window is the fewest whole chunks from a cut on that have `least_words`
     words; the last one also has a twin that runs to the end of the text.
@@ -72,40 +73,57 @@ def windows(raw: bytes, least_words: int) -> tuple[np.ndarray, ...] | None:
         chunk, past = np.append(chunk, chunk[-1]), np.append(past, len(ends) - 1)
     letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     begin, end = begins[chunk], ends[past]
-    return begin, end, letters[begin], letters[end], words[begin], words[end], chunk, past + 1
+    return begin, end, letters[begin], letters[end] - letters[begin], words[begin], words[end] - words[begin]
 
 
-_PLACE = ["start", "end", "first_word", "last_word", "first_chunk", "last_chunk"]
+_PLACE = ["start", "size", "first_word", "n_words"]
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Place of each id among the batch's ids in order."""
+    out = np.empty(len(ids), np.int64)
+    out[np.asarray(pc.array_sort_indices(ids))] = np.arange(len(ids))
+    return out
 
 
 def window_table(docs: DataFrame, strong: bool, least_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, text) -> doc_id, h and, if `strong`, h2 and the place (code points, words, chunks; ends exclusive) of each window.
+    """(doc_id, text) -> doc_id, h and, if `strong`, h2 and the place (in code points and in words) of each window.
 
-    h and h2 are the halves of a 128-bit digest. Null and empty texts, and those of fewer words, have no windows.
+    If not strong, a batch of rows gives the least and the greatest id of each h only. h and h2 are the halves of a 128-bit digest. Null and empty texts, and those of fewer words, have no windows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list] | None:
+        rows, digests, places = [], [], []
+        for row, text in enumerate(part.column(1)):
+            raw = text.as_py()
+            own = windows(raw, least_words) if raw else None
+            if own is not None:
+                digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(own[0].tolist(), own[1].tolist())]
+                places.append(own[2:])
+                rows.append(np.full(len(own[0]), row))
+        return (np.concatenate(rows), np.frombuffer(b"".join(digests), "<i8"), places) if rows else None
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows, digests, places = [], [], []
-                for row, text in enumerate(part.column(1)):
-                    raw = text.as_py()
-                    found = windows(raw, least_words) if raw else None
-                    if found is None:
-                        continue
-                    digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(found[0].tolist(), found[1].tolist())]
-                    places.append(found[2:])
-                    rows.append(np.full(len(found[0]), row))
-                if not rows:
+            rows, hashes = [], []
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                if (own := found(part)) is None:
                     continue
-                ids = part.column(0).take(pa.array(np.concatenate(rows)))
-                halves = np.frombuffer(b"".join(digests), "<i8")
-                columns = [ids, pa.array(halves[::2])]
                 if strong:
-                    columns += [pa.array(halves[1::2]), *(pa.array(np.concatenate(c), pa.int32()) for c in zip(*places))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", *_PLACE][: len(columns)])
+                    columns = [part.column(0).take(pa.array(own[0])), pa.array(own[1][::2]), pa.array(own[1][1::2])]
+                    columns += [pa.array(np.concatenate(c), pa.int32()) for c in zip(*own[2])]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", *_PLACE])
+                else:
+                    rows.append(own[0] + start)
+                    hashes.append(own[1][::2])
+            if rows:  # of a window's rows in a batch the first and the last say whether documents share it
+                rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+                order = np.lexsort((_ranks(batch.column(0))[rows], hashes))
+                turns = np.flatnonzero(np.diff(hashes[order]))
+                kept = np.unique(np.concatenate([order[np.append(0, turns + 1)], order[np.append(turns, len(order) - 1)]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[kept])), pa.array(hashes[kept])], ["doc_id", "h"])
 
     more = ", h2 bigint" + "".join(f", {c} int" for c in _PLACE) if strong else ""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, h bigint{more}")
@@ -120,7 +138,8 @@ def shared_windows(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFra
     """
     docs = docs.where("doc_id is not null")
     both = [F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")]
-    halves = window_table(docs, False, least_words).groupBy("h").agg(*both).where("first_doc_id <> last_doc_id").select("h")
+    # Rows are dealt in the order of their documents, which packs better than partial sums would; common windows are thinned before.
+    halves = window_table(docs, False, least_words).repartition("h").groupBy("h").agg(*both).where("first_doc_id <> last_doc_id").select("h")
     likely = materialize(window_table(docs, True, least_words).join(halves, "h", "left_semi"), "windows")
     known = likely.groupBy("h", "h2").agg(*both).where("first_doc_id <> last_doc_id").drop("last_doc_id")
     return likely.join(materialize(known, "shared-windows"), ["h", "h2"])
@@ -133,21 +152,21 @@ class _Sweep:
         self.whole, self.out, self.open, self.at, self.held = whole, [], [], None, None
 
     def _piece(self, doc, begin: tuple, end: tuple) -> None:
-        """begin, end: (code point, word, chunk)."""
+        """begin, end: (code point, word)."""
         owner = min(w[0] for w in self.open)
-        marks = b"".join(w[3] for w in self.open if w[2] == begin)
+        marks = [w[3] for w in self.open if w[2] == begin]
         held = self.held
         if self.whole and held and held[0] == doc and held[2] == begin and held[3] == owner:
-            held[2] = end
-            held[4].update(marks)
+            held[2], held[5] = end, held[5] + len(marks)
+            held[4].update(b"".join(marks))
             return
         self.close()
-        self.held = [doc, begin, end, owner, hashlib.sha256(marks)]
+        self.held = [doc, begin, end, owner, hashlib.sha256(b"".join(marks)), len(marks)]
 
     def close(self) -> None:
         if self.held:
-            doc, begin, end, owner, digest = self.held
-            self.out.append((doc, begin[0], end[0], end[1] - begin[1], end[2] - begin[2], owner, digest.hexdigest()))
+            doc, begin, end, owner, digest, n = self.held
+            self.out.append((doc, begin[0], end[0], end[1] - begin[1], n, owner, digest.hexdigest()))
         self.held = None
 
     def upto(self, doc, place: tuple | None) -> None:
@@ -160,7 +179,7 @@ class _Sweep:
             self.at = stop
             self.open = [w for w in self.open if w[1] > stop]
 
-    def add(self, doc, owner, begin: tuple, end: tuple, mark: bytes) -> None:
+    def add(self, owner, begin: tuple, end: tuple, mark: bytes) -> None:
         if not self.open:
             self.at = begin
         if (owner, end, begin, mark) not in self.open[-2:]:
@@ -168,9 +187,9 @@ class _Sweep:
 
 
 def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
-    met = shared_windows(docs, least_words).repartition("doc_id").sortWithinPartitions("doc_id", "start", "end")
+    met = shared_windows(docs, least_words).repartition("doc_id").sortWithinPartitions("doc_id", "start", "size")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", "passage_digest"]
+    names = ["doc_id", "start", "end", "n_words", "n_windows", "first_doc_id", "passage_digest"]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, doc, kinds = _Sweep(whole), None, None
@@ -183,14 +202,14 @@ def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         for batch in batches:
-            kinds = (batch.column(0).type, batch.column(9).type)
+            kinds = (batch.column(0).type, batch.column(7).type)
             halves = np.stack([np.asarray(batch.column(k)) for k in (1, 2)], axis=1).astype("<i8")
-            for row, (own, _, _, a, z, wa, wz, ca, cz, owner) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            for row, (own, _, _, at, size, word, n, owner) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 if own != doc:
                     state.upto(doc, None)
                     doc = own
-                state.upto(doc, (a, wa, ca))
-                state.add(doc, owner, (a, wa, ca), (z, wz, cz), halves[row].tobytes())
+                state.upto(doc, (at, word))
+                state.add(owner, (at, word), (at + size, word + n), halves[row].tobytes())
             if state.out:
                 yield given()
         state.upto(doc, None)
@@ -198,7 +217,7 @@ def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
         if state.out:
             yield given()
 
-    made = f"doc_id {kind}, start int, end int, n_words bigint, n_chunks bigint, first_doc_id {kind}, passage_digest string"
+    made = f"doc_id {kind}, start int, end int, n_words bigint, n_windows bigint, first_doc_id {kind}, passage_digest string"
     return met.select("doc_id", "h", "h2", *_PLACE, "first_doc_id").mapInArrow(sweep, made)
 
 
@@ -210,8 +229,8 @@ def shared_chunks(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFram
 def passages(docs: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """Passages that documents share, wherever they stand.
 
-    doc_id, start, end (code points of the document), n_words, n_chunks,
-    first_doc_id and passage_digest. Every place of a passage lies in `least_words` words or
+    doc_id, start, end (code points of the document), n_words, n_windows (that
+    begin in it), first_doc_id and passage_digest. Every place of a passage lies in `least_words` words or
     more that another document has as they are; first_doc_id is the least id
     that has such words there, and a passage ends where it changes. A document without
     passages has no row. Every sharing document has its rows, the first included.
