@@ -31,7 +31,7 @@ def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     tidy = F.trim(F.regexp_replace(text, r"[\x20\t]+", " "))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", text.alias("text"), F.sha2(text, 256).alias("digest"), (tidy != text).alias("changed"),
+        "doc_id", "source", "lang", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"), (tidy != text).alias("changed"),
         F.when(tidy != text, tidy).alias("tidy"),
     )
     facts = ["doc_id", "source", "lang", "digest", "changed"]
