@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import strip
+
 #: Core keys and the older spelling that stands in only where the key is absent, not where it is null.
 ALIASES = {"source_page": "page", "retrieval_score": "score", "source_path": "source"}
 CORE = ["source_file", "source_path", "source_page", "source_pages", "chunk_id", "doc_type", "industry", "retrieval_score", "page", "score", "source"]
 
 
 def safe_text(value: Column) -> Column:
-    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+    return F.nullif(strip(value.cast("string")), F.lit(""))
 
 
 def safe_int(value: Column) -> Column:
     """A whole number of zero or more, else null."""
-    number = F.trim(value.cast("string")).try_cast("bigint")
+    number = strip(value.cast("string")).try_cast("bigint")
     return F.when(number >= 0, number)
 
 
 def safe_float(value: Column) -> Column:
-    return F.trim(value.cast("string")).try_cast("double")
+    return strip(value.cast("string")).try_cast("double")
 
 
 def pages(value: Column) -> Column:
     """A comma list to distinct whole numbers in order of appearance."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.trim(x).try_cast("int")), lambda x: x >= 0))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: strip(x).try_cast("int")), lambda x: x >= 0))
 
 
 def field(raw: Column, name: str) -> Column:

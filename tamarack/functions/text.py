@@ -13,7 +13,9 @@ from pyspark.sql.types import ArrayType, StringType
 #: A Markdown table row, for multi-line search.
 TABLE_ROW = r"(?m)^\s*\|.+\|\s*$"
 NUMBER = r"\d+(\.\d+)?%?"
-NUMERIC_TOKEN = r"(?<![A-Za-z0-9_])[-+]?[0-9,.]+%?(?![A-Za-z0-9_])"
+NUMERIC_TOKEN = r"(?U)(?<!\w)[-+]?[\d,.]+%?(?!\w)"
+#: White space of any script, with the separators that Unicode counts as control characters.
+SPACE = r"[\s\x1C-\x1F]"
 
 # Boilerplate phrases, sought in a chunk's first 600 characters.
 BOILERPLATE = (
@@ -25,13 +27,22 @@ ABSTENTION = (
     "(?i)(资料|参考资料|上下文|知识库|所给信息).{0,12}(不足|未提供|没有|无法|不能).{0,12}(确定|判断|回答|得出|查到)|"
     "无法根据.{0,20}(确定|判断|回答|得出)|信息不足"
 )
-SPECIFIC_NUMBER = r"(?<!\w)\d+(?:\.\d+)?\s*(?:%|万|亿|元|年|月|日|倍)"
+SPECIFIC_NUMBER = r"(?U)(?<!\w)\d+(?:\.\d+)?\s*(?:%|万|亿|元|年|月|日|倍)"
 # Signals of a market-research request.
-RESEARCH_INTENTS = "分析 研究 现状 趋势 展望 格局 规模 供需 驱动 风险 机会 影响 景气".split()
-MARKET_SUBJECTS = "行业 市场 产业 赛道 板块 领域 产业链 市场规模 竞争格局 供给 需求 价格周期 渗透率".split()
+RESEARCH_INTENTS = ("分析", "研究", "现状", "趋势", "展望", "格局", "规模", "供需", "驱动", "风险", "机会", "影响", "景气")
+MARKET_SUBJECTS = ("行业", "市场", "产业", "赛道", "板块", "领域", "产业链", "市场规模", "竞争格局", "供给", "需求", "价格周期", "渗透率")
 COMPANY_FINANCIALS = "(公司|股份|集团).{0,12}(财务|营收|收入|净利润|毛利率|估值)|(财务|营收|净利润|毛利率|估值).{0,12}(公司|股份|集团)"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U){SPACE}+\z", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -39,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Without white space and commas, lower-cased."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s,，]", ""))
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)[\s\x1C-\x1F,，]", ""))
 
 
 def numbers(text: Column) -> Column:
@@ -54,7 +65,7 @@ def unsupported_numbers(answer: Column, corpus: Column) -> Column:
 
 def normalise_source(path: Column) -> Column:
     """Trimmed, forward slashes, lower case, without leading ./ steps."""
-    return F.regexp_replace(F.lower(F.replace(F.trim(path), F.lit("\\"), F.lit("/"))), r"^(\./)+", "")
+    return F.regexp_replace(F.lower(F.replace(strip(path), F.lit("\\"), F.lit("/"))), r"^(\./)+", "")
 
 
 def same_source(a: Column, b: Column) -> Column:
@@ -77,16 +88,16 @@ def display_source(source_file: Column, chunk_id: Column, source_path: Column) -
 
 def trim_after(text: Column, n: int) -> Column:
     """At most n characters, then ... beyond them."""
-    return F.when(F.length(text) > n, F.concat(F.rtrim(F.left(text, F.lit(n))), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > n, F.concat(rstrip(F.left(text, F.lit(n))), F.lit("..."))).otherwise(text)
 
 
 def trim_within(text: Column, n: int, mark: str = "...") -> Column:
     """At most n characters, the mark among them."""
-    return F.when(F.length(text) > n, F.concat(F.rtrim(F.left(text, F.lit(n - len(mark)))), F.lit(mark))).otherwise(text)
+    return F.when(F.length(text) > n, F.concat(rstrip(F.left(text, F.lit(n - len(mark)))), F.lit(mark))).otherwise(text)
 
 
 def query_hash(query: Column) -> Column:
-    return F.sha2(F.lower(F.trim(query)), 256)
+    return F.sha2(F.lower(strip(query)), 256)
 
 
 def case_id(chunk_ids: Column, question: Column) -> Column:
@@ -94,7 +105,7 @@ def case_id(chunk_ids: Column, question: Column) -> Column:
 
 
 def key_digest(key: Column) -> Column:
-    name = F.coalesce(F.nullif(F.trim(key), F.lit("")), F.lit("unknown"))
+    name = F.coalesce(F.nullif(strip(key), F.lit("")), F.lit("unknown"))
     return F.substring(F.sha2(name, 256), 1, 24)
 
 
@@ -104,7 +115,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def is_noise(text: Column) -> Column:
-    return F.substring(text, 1, 600).rlike(BOILERPLATE) | (F.length(F.trim(text)) < 100)
+    return F.substring(text, 1, 600).rlike(BOILERPLATE) | (F.length(strip(text)) < 100)
 
 
 def has_table(text: Column, doc_type: Column | None = None) -> Column:
@@ -114,7 +125,7 @@ def has_table(text: Column, doc_type: Column | None = None) -> Column:
 
 def is_table_like(text: Column) -> Column:
     """Three lines or more, and 12 % of those with text, hold three numbers or more."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(strip(x)) > 0)
     dense = F.size(F.filter(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(NUMERIC_TOKEN), F.lit(0))) >= 3))
     return (dense >= 3) & (dense / F.greatest(F.size(lines), F.lit(1)) >= 0.12)
 
@@ -130,14 +141,14 @@ def cjk_share(text: Column) -> Column:
 
 def clear_abstention(answer: Column) -> Column:
     """abstention, empty_response or judge_error of an answer whose judge failed."""
-    text = F.trim(F.coalesce(answer, F.lit("")))
+    text = strip(F.coalesce(answer, F.lit("")))
     short = (F.length(text) <= 180) & text.rlike(ABSTENTION) & ~text.rlike(SPECIFIC_NUMBER)
     return F.when(F.length(text) == 0, "empty_response").when(short, "abstention").otherwise("judge_error")
 
 
 def research_skill(text: Column) -> Column:
     """First intent and subject signal of a market-research request, else null."""
-    plain = F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    plain = F.lower(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), rf"(?U){SPACE}+", " "))
     first = lambda signals: F.get(F.filter(F.array(*map(F.lit, signals)), lambda s: F.contains(plain, s)), F.lit(0))
     intent, subject = first(RESEARCH_INTENTS), first(MARKET_SUBJECTS)
     chosen = intent.isNotNull() & subject.isNotNull() & ~plain.rlike(COMPANY_FINANCIALS)
@@ -146,11 +157,11 @@ def research_skill(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """A Markdown code fence around the whole text is taken off."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
 def markdown_cell(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", "<br>"))
+    return strip(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", "<br>"))
 
 
 def markdown_row(cells: Column, width: Column) -> Column:
@@ -165,7 +176,7 @@ def safe_name(text: Column, n: int = 40) -> Column:
 
 def row_text(names: list[str], row: list[Column] | None = None) -> Column:
     """header：value joined by ；, nulls and blanks left out."""
-    parts = [F.when(F.length(F.trim(F.col(c).cast("string"))) > 0, F.concat(F.lit(f"{c}："), F.trim(F.col(c).cast("string")))) for c in names]
+    parts = [F.when(F.length(strip(F.col(c).cast("string"))) > 0, F.concat(F.lit(f"{c}："), strip(F.col(c).cast("string")))) for c in names]
     return F.array_join(F.filter(F.array(*parts), F.isnotnull), "；")
 
 
@@ -174,9 +185,15 @@ def nfkc_tokens(text: Column) -> Column:
     return _nfkc(text)
 
 
+# A valid search token, and ASCII expressions that stay whole beside their parts.
+VALID_TOKEN = r"[\u3400-\u4dbf\u4e00-\u9fff]+|[a-z0-9]+(?:[._+/%\-][a-z0-9]+)*"
+PROTECTED = r"(?<![a-z0-9])(?:[a-z0-9]+(?:[._+/%\-][a-z0-9]+)+|[a-z]+\d+[a-z0-9]*|\d+(?:\.\d+)?[a-z]+[a-z0-9]*)(?![a-z0-9])"
+
+
 def _folded(value: str | None) -> list[str]:
+    plain = unicodedata.normalize("NFKC", value or "").casefold()
     out: list[str] = []
-    for word in re.findall(r"[一-鿿]+|[^\W_一-鿿]+", unicodedata.normalize("NFKC", value or "").casefold()):
+    for word in re.findall(r"[一-鿿]+|[^\W_一-鿿]+", plain):
         if "一" <= word[0] <= "鿿":
             out += [*word, *(a + b for a, b in zip(word, word[1:]))]
         else:
@@ -184,15 +201,42 @@ def _folded(value: str | None) -> list[str]:
     return out
 
 
+def _searched(value: str | None) -> list[str]:
+    out = [w for w in _folded(value) if re.fullmatch(VALID_TOKEN, w)]
+    known = set(out)
+    for whole in re.findall(PROTECTED, unicodedata.normalize("NFKC", value or "").casefold()):
+        if whole not in known:
+            known.add(whole)
+            out.append(whole)
+    return out
+
+
+def search_tokens(text: Column) -> Column:
+    """`nfkc_tokens` of valid form, and whole expressions such as 2026h1 or 3.6tb/s besides. Python, by Arrow batches."""
+    return _search(text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _search(texts: pd.Series) -> pd.Series:
+    return texts.map(_searched)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(_folded)
 
 
 def critical_sentences(text: Column, pattern: str, most: int = 500) -> Column:
-    """Sentences that match, in order and once each, cut to `most` characters with the mark inside."""
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？；\n])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: (F.length(s) > 0) & s.rlike(pattern))
-    return F.array_distinct(F.transform(found, lambda s: trim_within(s, most, "…")))
+    """Sentences that match, in order and once each; of a longer one the windows of `most` characters that match, with a mark where text is left out."""
+    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？；\n])"), strip), lambda s: F.length(s) > 0)
+
+    def windows(s: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(s), F.lit(most))
+        cut = lambda at: F.concat(F.when(at > 1, "…").otherwise(""), strip(F.substring(s, at, F.lit(most))), F.when(at + most <= F.length(s), "…").otherwise(""))
+        return F.transform(F.filter(starts, lambda at: F.substring(s, at, F.lit(most)).rlike(pattern)), cut)
+
+    kept = F.transform(sentences, lambda s: F.when(F.length(s) > most, windows(s)).when(s.rlike(pattern), F.array(s)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(kept))
 
 
 def tool_protocol_leak(text: Column, marks: tuple[str, ...] = ("<tool_call", "<|tool", "<function=", "tool_calls")) -> Column:
@@ -209,3 +253,22 @@ def progress_name(name: Column, n: int = 40) -> Column:
 def money(amount: Column, currency: str = "CNY") -> Column:
     """Six places under a hundredth, else four; a dash where there is no amount."""
     return F.when(amount.isNull(), "-").otherwise(F.concat(F.lit(f"{currency} "), F.when(F.abs(amount) < 0.01, F.format_number(amount, 6)).otherwise(F.format_number(amount, 4))))
+
+
+def latency(seconds: Column) -> Column:
+    """Milliseconds under a second, else seconds with two places; a dash where there is none."""
+    short = F.concat(F.round(seconds * 1_000).cast("long").cast("string"), F.lit(" ms"))
+    return F.when(seconds.isNull(), "-").when(seconds < 1, short).otherwise(F.concat(F.format_number(seconds, 2), F.lit(" s")))
+
+
+def safe_sheet(name: Column) -> Column:
+    """A sheet's name as part of an id: runs of other signs become _, none at either end; sheet if nothing is left."""
+    plain = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)[^\w.-]+", "_")
+    return F.coalesce(F.nullif(F.regexp_replace(plain, r"^_+|_+\z", ""), F.lit("")), F.lit("sheet"))
+
+
+def fitting_prefix(text: Column, room: Column) -> Column:
+    """The longest prefix whose JSON string, escapes counted and quotes not, has `room` characters or fewer."""
+    escaped = F.regexp_replace(F.regexp_replace(text, r'(["\\\\\n\r\t\x08\x0C])', r"\\\\a"), r"[\x00-\x1F]", r"\\\\u0000")
+    whole = F.regexp_replace(F.left(escaped, F.greatest(room, F.lit(0))), r"\\(u[0-9]{0,3})?\z", "")
+    return F.left(text, F.length(F.regexp_replace(whole, r"\\(a|u0000)", "x")))

@@ -17,6 +17,8 @@ from tamarack.session import ensure_checkpoints
 TTL, EMPTY_TTL = 3_600, 300
 ADMIT = 0.5
 CAPACITY = 2_000
+#: Rows of a question set at most.
+QUESTIONS = 200_000
 
 
 def bypasses(filters: Column, single_source: Column, mode: Column, evaluation: Column) -> Column:
@@ -65,45 +67,57 @@ def evict(entries: DataFrame, live_hashes: DataFrame, capacity: int = CAPACITY)
     return kept.join(oldest, "query_hash", "left_anti")
 
 
-def semantic_pairs(vectors: DataFrame, threshold: float, tile: int = 1_024) -> DataFrame:
-    """(vec_id, embedding) -> left_id < right_id, score: all pairs at `threshold` or more, exactly.
+def semantic_pairs(vectors: DataFrame, threshold: float, tile: int = 1_024, most: int = QUESTIONS) -> DataFrame:
+    """(vec_id, embedding) -> left_id < right_id, score: all pairs at `threshold` or more, exactly; ids of any type that orders.
 
     Rows are dealt to tiles of about `tile` rows, and each pair of tiles is one
     group's matrix product, so a task holds two tiles at most. Made for question
-    sets; larger corpora belong to the near-duplicate operators.
+    sets: more than `most` rows are an error, since their pairs are for the near-duplicate operators.
     """
-    rows = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
-    tiles = max(1, -(-rows.count() // tile))
+    rows = vectors.where("embedding is not null and vec_id is not null").select("vec_id", "embedding")
+    count = rows.count()
+    if count > most:
+        raise ValueError(f"{count} vectors are too many for all pairs; the bound is {most}")
+    tiles = max(1, -(-count // tile))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "embedding")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id")
-        matrix = np.array(frame["embedding"].tolist(), dtype=np.float64)
-        size = np.linalg.norm(matrix, axis=1)
-        frame, matrix = frame[size > 0], matrix[size > 0] / size[size > 0, None]
-        ids, tile_of = frame["vec_id"].to_numpy(), frame["own"].to_numpy()
-        cos = np.round(matrix @ matrix.T, 9)
-        left, right = np.nonzero(np.triu(cos >= threshold, 1))
-        if len(frame) and frame["i"].iloc[0] != frame["j"].iloc[0]:
-            apart = tile_of[left] != tile_of[right]
-            left, right = left[apart], right[apart]
-        return pd.DataFrame({"left_id": ids[left], "right_id": ids[right], "score": cos[left, right]})
-
-    return dealt.groupBy("i", "j").applyInPandas(compare, "left_id bigint, right_id bigint, score double")
-
-
-def greedy_keep(items: DataFrame, links: DataFrame, key: str = "vec_id", rounds: int = 50) -> DataFrame:
+        parts = []
+        for _, same in frame.groupby(frame["embedding"].map(len)):
+            matrix = np.array(same["embedding"].tolist(), dtype=np.float64).reshape(len(same), -1)
+            size = np.linalg.norm(matrix, axis=1)
+            good = np.isfinite(size) & (size > 0)
+            same, matrix = same[good], matrix[good] / size[good, None]
+            ids, tile_of = same["vec_id"].to_numpy(), same["own"].to_numpy()
+            cos = np.round(matrix @ matrix.T, 9)
+            left, right = np.nonzero(np.triu(cos >= threshold, 1))
+            if frame["i"].iloc[0] != frame["j"].iloc[0]:
+                apart = tile_of[left] != tile_of[right]
+                left, right = left[apart], right[apart]
+            parts.append(pd.DataFrame({"left_id": ids[left], "right_id": ids[right], "score": cos[left, right]}))
+        return pd.concat(parts)
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInPandas(compare, f"left_id {kind}, right_id {kind}, score double")
+
+
+def greedy_keep(items: DataFrame, links: DataFrame, key: str = "vec_id") -> DataFrame:
     """In id order, an item stays unless a kept one is linked to it: (key, kept).
 
     links: left_id < right_id. Each round settles every item whose smaller
-    neighbours are settled, so the result is the sequential one, whatever the
-    partitions.
+    neighbours are settled, the least unsettled one at least, so the result is
+    the sequential one, whatever the partitions and however long its chains. A chain of ascending
+    ids takes a round for each of its links. Each round is checkpointed.
     """
     ensure_checkpoints(items.sparkSession)
-    state = items.select(F.col(key).alias("id")).withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    ids = items.select(F.col(key).alias("id"))
+    linked = links.select(F.col("right_id").alias("id")).distinct()
+    # Items without a smaller neighbour stay at once.
+    state = ids.join(linked.withColumn("later", F.lit(True)), "id", "left").select("id", F.when(F.col("later").isNull(), F.lit(True)).alias("kept")).checkpoint()
+    while state.where("kept is null").limit(1).count():
         smaller = links.join(state.select(F.col("id").alias("left_id"), "kept"), "left_id").groupBy(F.col("right_id").alias("id")).agg(
             F.max(F.coalesce("kept", F.lit(False))).alias("beaten"), F.max(F.col("kept").isNull()).alias("open")
         )
@@ -111,6 +125,4 @@ def greedy_keep(items: DataFrame, links: DataFrame, key: str = "vec_id", rounds:
         beaten, unsettled = F.coalesce("beaten", F.lit(False)), F.coalesce("open", F.lit(False))
         settled = F.coalesce(F.col("kept"), F.when(beaten, F.lit(False)).when(~unsettled, F.lit(True)))
         state = met.select("id", settled.alias("kept")).checkpoint()
-        if not state.where("kept is null").limit(1).count():
-            return state.select(F.col("id").alias(key), "kept")
-    raise RuntimeError(f"greedy selection did not settle in {rounds} rounds")
+    return state.select(F.col("id").alias(key), "kept")

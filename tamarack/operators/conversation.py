@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import token_estimate
+from tamarack.functions.text import strip, token_estimate
 
 
 def _thread():
@@ -88,11 +88,11 @@ def pair_tools(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def display(messages: DataFrame) -> DataFrame:
     """Human texts and AI answers that call no tool; blanks dropped, roles renamed."""
-    shown = messages.where((F.length(F.trim(F.coalesce("content", F.lit("")))) > 0) & F.col("type").isin("human", "ai"))
+    shown = messages.where((F.length(strip(F.coalesce("content", F.lit("")))) > 0) & F.col("type").isin("human", "ai"))
     if "n_tool_calls" in messages.columns:
         shown = shown.where((F.col("type") == "human") | (F.col("n_tool_calls") == 0))
     role = F.when(F.col("type") == "human", "user").otherwise("assistant")
-    return shown.select("thread_id", "idx", role.alias("role"), F.trim("content").alias("content"))
+    return shown.select("thread_id", "idx", role.alias("role"), strip(F.col("content")).alias("content"))
 
 
 def evidence_ledger(items: DataFrame, capacity: int, queries: int = 6) -> DataFrame:
@@ -146,7 +146,7 @@ def compaction_prefix(messages: DataFrame, limit: int, recent: int = 3, overhead
 def completed_history(messages: DataFrame) -> DataFrame:
     """Completed turns without tools: their human messages and the last AI text of each."""
     rows = completed(messages)
-    spoken = rows.where(F.col("type").isin("human", "ai") & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
+    spoken = rows.where(F.col("type").isin("human", "ai") & (F.length(strip(F.coalesce("content", F.lit("")))) > 0))
     last = F.max(F.when(F.col("type") == "ai", F.col("idx"))).over(Window.partitionBy("thread_id", "turn"))
     return spoken.withColumn("_last", last).where((F.col("type") == "human") | (F.col("idx") == F.col("_last"))).drop("_last")
 

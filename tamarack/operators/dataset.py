@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import compact, is_noise, unsupported_numbers
+from tamarack.functions.text import compact, is_noise, strip, unsupported_numbers
+from tamarack.operators.cache import greedy_keep
+from tamarack.session import written
 
 # Vague subjects of a question.
 AMBIGUOUS = "该公司|该行业|本项目|上述公司|这家公司"
@@ -66,7 +68,7 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
     )
     used = F.array_distinct(F.transform(F.filter("evidence", lambda e: valid(e) & (F.length(quote(e)) >= 6)), lambda e: e["chunk_index"]))
     missing = F.array_sort(unsupported_numbers(F.col("answer"), F.array_join("chunks", "\n")))
-    question, answer = F.trim("question"), F.trim("answer")
+    question, answer = strip(F.col("question")), strip(F.col("answer"))
     reasons = F.concat(
         F.array(
             F.when(F.length(question) < 6, "question_too_short"),
@@ -100,7 +102,7 @@ def corpus_quality(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
         F.sum(F.length(text)).alias("chars"),
         F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("�"), F.lit("")))).alias("replacements"),
         F.count_if(F.col(text).rlike(r"(?m)^\s*\|.+\|\s*$")).alias("tables"),
-        F.count_if(F.length(F.trim(text)) < 100).alias("short"),
+        F.count_if(F.length(strip(F.col(text))) < 100).alias("short"),
     )
 
 
@@ -122,17 +124,38 @@ def seeded_sample(rows: DataFrame, key: str, size: int, seed: str = "0") -> Data
     return rows.orderBy(shuffle_key(key, seed=seed), key).limit(size)
 
 
-def disjoint_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (source_file, a, b) of neighbours, taken in order, that share no chunk with a taken one.
+def disjoint_pairs(pairs: DataFrame, size: int | None = None, seed: str | None = None) -> DataFrame:
+    """Pairs (source_file, a, b) that share no chunk with a pair taken before; the first `size` of them.
 
-    Pairs of neighbours form chains, and the sequential choice takes every other
-    pair of a chain.
+    They are gone through in a seeded order, or by source, a and b without a seed.
+
+    The choice is the one that goes through all pairs one by one: a pair waits
+    only for pairs before it that share a chunk, so many are settled in each round. A chunk
+    has two neighbours at most, so its pairs meet in a small join.
+    """
+    drawn = [] if seed is None else [shuffle_key("source_file", "a", "b", seed=seed).alias("drawn")]
+    mark = F.struct(*drawn, "source_file", "a", "b")
+    rows = written(pairs.withColumn("_at", mark), "pairs")
+    ends = rows.select("source_file", "_at", F.explode(F.array("a", "b")).alias("chunk"))
+    links = ends.withColumnRenamed("_at", "left_id").join(ends.withColumnRenamed("_at", "right_id"), ["source_file", "chunk"]).where("left_id < right_id")
+    kept = greedy_keep(rows, written(links.select("left_id", "right_id").distinct(), "pair-links"), "_at").where("kept")
+    taken = rows.join(kept.select("_at"), "_at", "left_semi")
+    return (taken if size is None else taken.orderBy("_at").limit(size)).drop("_at")
+
+
+def evidence_units(chunks: DataFrame, pairs: DataFrame, ratio: float, seed: str = "0") -> DataFrame:
+    """(source_file, chunk_id) with scope and unit: chunks of taken pairs go together, the others alone.
+
+    As many pairs are taken as `ratio` of the chunks, between 0 and 0.5.
     """
-    order = Window.partitionBy("source_file").orderBy("a", "b")
-    fresh = (~F.coalesce(F.lag("b").over(order) == F.col("a"), F.lit(False))).cast("int")
-    rows = pairs.withColumn("_chain", F.sum(fresh).over(order))
-    place = F.row_number().over(Window.partitionBy("source_file", "_chain").orderBy("a", "b"))
-    return rows.withColumn("_n", place).where("_n % 2 = 1").drop("_n", "_chain")
+    wanted = round(chunks.count() * max(0.0, min(ratio, 0.5)))
+    taken = disjoint_pairs(pairs, wanted, seed)
+    unit = F.concat_ws("+", "a", "b")
+    pairs_of = taken.select("source_file", unit.alias("unit"), F.explode(F.array("a", "b")).alias("chunk_id"))
+    met = chunks.select("source_file", "chunk_id").join(pairs_of, ["source_file", "chunk_id"], "left")
+    return met.select(
+        "source_file", "chunk_id", F.when(F.col("unit").isNull(), "single_chunk").otherwise("multi_chunk").alias("scope"), F.coalesce("unit", F.col("chunk_id").cast("string")).alias("unit")
+    )
 
 
 def rejections(checked: DataFrame) -> DataFrame:

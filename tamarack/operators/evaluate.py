@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import base_name, same_source
+from tamarack.functions.text import base_name, same_source, strip
 
 METRICS = ["hit_at_k", "precision_at_k", "recall_at_k", "mrr", "ndcg_at_k", "source_page_recall"]
 BEHAVIORS = ["supported_answer", "abstention", "unsupported_answer", "empty_response", "judge_error"]
@@ -93,7 +93,7 @@ def source_page_recall(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
 
 def outcome(answerable: Column, behavior: Column) -> Column:
     """The answerability matrix; unknown behaviours are judge errors."""
-    known = F.lower(F.trim(F.coalesce(behavior, F.lit("judge_error"))))
+    known = F.lower(strip(F.coalesce(behavior, F.lit("judge_error"))))
     known = F.when(known.isin(BEHAVIORS), known).otherwise("judge_error")
     yes = is_answerable(answerable)
     return (
@@ -149,7 +149,7 @@ def by_granularity(rows: DataFrame, metrics: list[str], least: int = 3) -> DataF
     """
     plain = rows.select(
         F.when(is_answerable(F.col("answerable")), "answerable").otherwise("no_answer").alias("answer_group"),
-        F.trim(F.coalesce("industry", F.lit(""))).alias("industry"),
+        strip(F.coalesce("industry", F.lit(""))).alias("industry"),
         *metrics,
     )
     sets = plain.groupingSets([[], ["answer_group"], ["industry"]], "answer_group", "industry").agg(
@@ -176,10 +176,10 @@ def label_audit(records: DataFrame) -> DataFrame:
     records: case_id, question, ground_truth, answerable, schema_version,
     review_status, validation_status, gold_chunk_ids, gold_sources, gold_evidence.
     """
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
     yes = is_answerable(F.col("answerable"))
     v3 = F.coalesce("schema_version", F.lit(0)) >= 3
-    review = F.coalesce(F.nullif(F.trim("review_status"), F.lit("")), F.lit("missing"))
+    review = F.coalesce(F.nullif(strip(F.col("review_status")), F.lit("")), F.lit("missing"))
     passed = F.coalesce("validation_status", F.lit("")) == "passed"
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     chunks, sources = some("gold_chunk_ids"), some("gold_sources")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import trim_within
+from tamarack.functions.text import strip, trim_within
 
 ENVELOPE = (
     "ok boolean, tool string, query string, error struct<code:string,message:string>, "
@@ -64,13 +64,13 @@ def within_length(items: DataFrame, budget: int, key: str, order: str, columns:
 def web_results(results: Column, most: int = 5, title: int = 200, content: int = 800) -> Column:
     """The first results, titles and contents cut with the mark inside the limit."""
     first = F.slice(F.coalesce(results, F.array().cast("array<struct<title:string,url:string,content:string>>")), F.lit(1), F.lit(most))
-    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    clean = lambda c: strip(F.coalesce(c, F.lit("")))
     return F.transform(first, lambda r: F.struct(trim_within(clean(r["title"]), title).alias("title"), r["url"].alias("url"), trim_within(clean(r["content"]), content).alias("content")))
 
 
 def admit_calls(calls: DataFrame, disabled: list[str], retrieval: list[str], remaining: int) -> DataFrame:
     """(batch_id, position, tool) with state: disabled tools are refused, blank names pass, retrieval calls beyond `remaining` have no slot."""
-    name = F.coalesce(F.trim("tool"), F.lit(""))
+    name = F.coalesce(strip(F.col("tool")), F.lit(""))
     rows = calls.withColumn("_off", (name != "") & name.isin(disabled))
     wants = ~F.col("_off") & name.isin(retrieval)
     used = F.sum(wants.cast("int")).over(Window.partitionBy("batch_id").orderBy("position"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import strip
+
 # File suffixes by parser.
 SUFFIXES = {"pdf": ["pdf"], "basic": ["docx", "txt", "md", "markdown", "py"], "table": ["csv", "xlsx", "xls"]}
 #: Separators of the recursive splitter, coarse to fine.
@@ -212,7 +214,7 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.4) ->
 
 def body_blocks(blocks: DataFrame, band: float = 0.07, least: int = 3) -> DataFrame:
     """Without page headers and footers (the outer band of the height) and very short texts."""
-    return blocks.where((F.col("y0") >= band * F.col("height")) & (F.col("y1") <= (1 - band) * F.col("height")) & (F.length(F.trim("text")) >= least))
+    return blocks.where((F.col("y0") >= band * F.col("height")) & (F.col("y1") <= (1 - band) * F.col("height")) & (F.length(strip(F.col("text"))) >= least))
 
 
 def report(outcomes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import strip
+
 
 def normalise_usage(hit: Column, miss: Column, prompt: Column, completion: Column) -> Column:
     """Provider counts where given; else misses are the prompt without the hits, never under 0."""
@@ -14,7 +16,7 @@ def normalise_usage(hit: Column, miss: Column, prompt: Column, completion: Colum
 
 
 def normalise_model(name: Column, prefixes: tuple[str, ...] = ()) -> Column:
-    plain = F.lower(F.trim(name))
+    plain = F.lower(strip(name))
     return F.regexp_replace(plain, "^(" + "|".join(prefixes) + ")/", "") if prefixes else plain
 
 

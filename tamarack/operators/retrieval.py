@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,51 +11,96 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import tokens
+from tamarack.functions.text import strip, tokens, trim_after
+from tamarack.session import written
 
+#: A text column to its list of terms, such as `tokens` or `search_tokens`.
+Tokenizer = Callable[[Column], Column]
 #: Scores are compared to nine places, so that a sum's order can't decide a rank.
 PLACES = 9
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """doc, term, tf, dl: one row for each distinct term of a document."""
-    listed = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("terms"))
-    long = listed.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    long = _listed(docs, key, text, tokenizer).select("doc", "dl", F.explode("terms").alias("term"))
     return long.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def _listed(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer) -> DataFrame:
+    """doc, terms, dl. The list goes through a generator of one row, so that no later column works it out again."""
+    found = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>"))
+    rows = docs.select(F.col(key).alias("doc"), F.explode(F.array(found)).alias("terms"))
+    return rows.select("doc", "terms", F.size("terms").alias("dl"))
+
+
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
+def corpus_statistics(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """One row: n_docs, n_tokens, avgdl."""
-    sizes = docs.select(F.size(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).cast("long").alias("dl"))
+    return _statistics(_listed(docs, key, text, tokenizer).select(F.col("dl").cast("long").alias("dl")))
+
+
+def _statistics(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _wanted(queries: DataFrame, query: tuple[str, str], tokenizer: Tokenizer) -> DataFrame:
+    """query_id, term, qf."""
+    long = queries.select(F.col(query[0]).alias("query_id"), F.explode(tokenizer(F.col(query[1]))).alias("term"))
+    return long.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def query_postings(
+    queries: DataFrame, docs: DataFrame, query: tuple[str, str] = ("query_id", "query"), doc: tuple[str, str] = ("doc_id", "text"), tokenizer: Tokenizer = tokens,
+    whole: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Postings of the queries' terms alone, or of all with `whole`, and the corpus' one row of statistics.
+
+    Texts are tokenized once. Terms that no query has go before the first
+    shuffle; an empty term for every document carries its length along, so the
+    statistics need no second pass. What is left is written, since scores read it more than once.
+    """
+    listed = _listed(docs, *doc, tokenizer)
+    long = listed.select("doc", F.col("dl").cast("long").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    if not whole:
+        vocabulary = queries.select(F.explode(F.concat(F.coalesce(tokenizer(F.col(query[1])), F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+        every = queries.sparkSession.createDataFrame([("",)], "term string")
+        long = long.join(written(vocabulary.unionByName(every).distinct(), "query-terms"), "term", "left_semi")
+    found = written(long.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")), "query-postings")
+    # Documents of one key and length would be one row: the empty term counts them.
+    sizes = found.where("term = ''").agg(F.sum("tf").alias("n_docs"), F.sum(F.col("dl") * F.col("tf")).alias("n_tokens"))
+    whole_corpus = sizes.select(
+        F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("n_docs"), F.lit(0.0)).alias("avgdl")
+    )
+    return found.where("term <> ''"), whole_corpus
+
+
 def bm25_topk(
-    queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = None,
-    query: tuple[str, str] = ("query_id", "query"), doc: tuple[str, str] = ("doc_id", "text"),
+    queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25,
+    query: tuple[str, str] = ("query_id", "query"), doc: tuple[str, str] = ("doc_id", "text"), tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
     """query_id, doc_id, score, rank: the k best of positive score, ties by id.
 
-    Okapi BM25 over all query tokens, repeats included. With `epsilon`, negative
-    idf values become epsilon times the mean idf of all terms.
+    Okapi BM25 over all query tokens, repeats included. Negative idf values
+    become `epsilon` times the mean idf of all terms, which needs the whole
+    vocabulary; with None they stay, and only the queries' terms are counted.
     """
-    return score_postings(queries, postings(docs, *doc), corpus_statistics(docs, *doc), k, k1, b, epsilon, query)
+    posts, statistics = query_postings(queries, docs, query, doc, tokenizer, whole=epsilon is not None)
+    return score_postings(queries, posts, statistics, k, k1, b, epsilon, query, tokenizer)
 
 
 def score_postings(
-    queries: DataFrame, posts: DataFrame, statistics: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = None, query: tuple[str, str] = ("query_id", "query")
+    queries: DataFrame, posts: DataFrame, statistics: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25,
+    query: tuple[str, str] = ("query_id", "query"), tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
     """BM25 from postings and their one row of statistics.
 
     Postings outside the queries' vocabulary are left out before the join, and a
     query term meets only documents that have it.
     """
-    wanted = queries.select(F.col(query[0]).alias("query_id"), F.explode(tokens(F.col(query[1]))).alias("term"))
-    wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    wanted = _wanted(queries, query, tokenizer)
     vocabulary = wanted.select("term").distinct()
     whole = statistics.select("n_docs", "avgdl").first()
     n, avgdl = whole.n_docs, whole.avgdl or 1.0
@@ -70,6 +115,12 @@ def score_postings(
     return ranked(scored.select("query_id", F.col("doc").alias("doc_id"), F.round("score", PLACES).alias("score")).where("score > 0"), k)
 
 
+def overlap_topk(queries: DataFrame, posts: DataFrame, k: int, query: tuple[str, str] = ("query_id", "query"), tokenizer: Tokenizer = tokens) -> DataFrame:
+    """The k documents with the most distinct query terms."""
+    met = posts.join(_wanted(queries, query, tokenizer).select("query_id", "term"), "term")
+    return ranked(met.groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.count("*").cast("double").alias("score")), k)
+
+
 class LexicalIndex:
     """Postings and corpus statistics on disk, one folder for each fingerprint of corpus version and tokenizer.
 
@@ -80,9 +131,9 @@ class LexicalIndex:
 
     TOKENIZER = "lower;[\\p{L}\\p{N}]+;1"
 
-    def __init__(self, spark, path: str, version: str):
-        self.spark = spark
-        self.fingerprint = hashlib.sha256(f"{version}\n{self.TOKENIZER}".encode()).hexdigest()[:16]
+    def __init__(self, spark, path: str, version: str, tokenizer: Tokenizer = tokens, tokenizer_version: str = TOKENIZER):
+        self.spark, self.tokenizer = spark, tokenizer
+        self.fingerprint = hashlib.sha256(f"{version}\n{tokenizer_version}".encode()).hexdigest()[:16]
         self.path = f"{path}/{self.fingerprint}"
 
     def exists(self) -> bool:
@@ -93,12 +144,12 @@ class LexicalIndex:
         """Postings first, statistics last: an index is whole once these are there."""
         if self.exists():
             return
-        posts = postings(docs, key, text).repartition("term").sortWithinPartitions("term", "doc")
-        posts.write.mode("overwrite").parquet(f"{self.path}/postings")
-        corpus_statistics(docs, key, text).write.mode("overwrite").parquet(f"{self.path}/statistics")
+        posts, statistics = query_postings(docs, docs, doc=(key, text), tokenizer=self.tokenizer, whole=True)
+        posts.repartition("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{self.path}/postings")
+        statistics.write.mode("overwrite").parquet(f"{self.path}/statistics")
 
     def topk(self, queries: DataFrame, k: int, **options) -> DataFrame:
-        return score_postings(queries, self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/statistics"), k, **options)
+        return score_postings(queries, self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/statistics"), k, tokenizer=self.tokenizer, **options)
 
 
 def ranked(scored: DataFrame, k: int, query: str = "query_id", ties: str = "doc_id") -> DataFrame:
@@ -107,55 +158,59 @@ def ranked(scored: DataFrame, k: int, query: str = "query_id", ties: str = "doc_
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """query_id, vec_id, score, rank by exact cosine; both sides are (id, embedding).
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2_048, shard: int = 16_384) -> DataFrame:
+    """query_id, vec_id, score, rank by exact cosine; both sides are (id, embedding), ids of any type that orders.
 
-    The queries go out in blocks of about `block`; a task keeps its own k best of
-    each query, so k rows a task and query are shuffled. Zero and null vectors match nothing.
+    Queries are dealt to blocks of about `block` rows and vectors to shards of about `shard`;
+    every block meets every shard in one task, which gives k rows for each of
+    its queries. The plan is the same whatever their number, and nothing
+    comes to the driver but two counts. Null, zero and non-finite vectors match nothing, nor do vectors of different sizes.
     """
-    spark = vectors.sparkSession
-    pool = queries.where("embedding is not null").select(F.col("query_id").cast("long"), "embedding")
-    blocks = max(1, -(-pool.count() // block))
-    parts = []
-    for number in range(blocks):
-        rows = pool.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).orderBy("query_id").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        sizes = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids[sizes > 0], (matrix[sizes > 0].T / sizes[sizes > 0])))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            best_ids = np.zeros((len(ids), 0), np.int64)
-            best = np.zeros((len(ids), 0))
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                flat = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                size = np.linalg.norm(flat, axis=1)
-                own = np.asarray(batch.column(0))[size > 0]
-                cos = np.round((flat[size > 0] / size[size > 0, None]) @ unit, PLACES).T
-                best = np.concatenate([best, cos], axis=1)
-                best_ids = np.concatenate([best_ids, np.broadcast_to(own, cos.shape)], axis=1)
-                order = np.lexsort((best_ids, -best), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
-            if best.size:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], ["query_id", "vec_id", "score"]
-                )
-
-        usable = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
-        parts.append(usable.mapInArrow(score, "query_id bigint, vec_id bigint, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked = queries.where("embedding is not null and query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    known = vectors.where("embedding is not null and vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks, shards = max(1, -(-asked.count() // block)), max(1, -(-known.count() // shard))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = asked.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
+    right = known.withColumn("shard", deal("vec_id", shards)).withColumn("block", every(blocks))
+
+    def score(one: pa.Table, other: pa.Table) -> pa.Table:
+        ids, sought = _units(one, "query_id")
+        names, given = _units(other, "vec_id")
+        parts = []
+        for size in sought.keys() & given.keys():
+            (rows, unit), (places, matrix) = sought[size], given[size]
+            for start in range(0, len(rows), 256):
+                cos = np.round(unit[start : start + 256] @ matrix.T, PLACES)
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # vectors come by id, so ties fall to the least
+                found = np.take_along_axis(cos, best, 1)
+                own = np.repeat(rows[start : start + 256], best.shape[1])
+                parts.append(pa.table([ids.take(pa.array(own)), names.take(pa.array(places[best.ravel()])), pa.array(found.ravel())], ["query_id", "vec_id", "score"]))
+        none = pa.table([ids.slice(0, 0), names.slice(0, 0), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
+        return pa.concat_tables(parts) if parts else none
+
+    kinds = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((asked, "query_id"), (known, "vec_id")))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(score, f"{kinds}, score double")
     return ranked(found, k, ties="vec_id")
 
 
+def _units(rows: pa.Table, key: str) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Ids in order, and by size of vector the places in them of usable vectors and those at unit length."""
+    rows = rows.select([key, "embedding"]).sort_by(key).combine_chunks()
+    ids = rows.column(key).combine_chunks()
+    vectors: dict[int, list] = {}
+    for place, vector in enumerate(rows.column("embedding").to_pylist()):
+        vectors.setdefault(len(vector), []).append((place, vector))
+    out = {}
+    for size, pairs in vectors.items():
+        matrix = np.array([v for _, v in pairs], dtype=np.float64).reshape(len(pairs), size)
+        length = np.linalg.norm(matrix, axis=1)
+        good = np.isfinite(length) & (length > 0)
+        if good.any():
+            out[size] = np.array([p for p, _ in pairs])[good], matrix[good] / length[good, None]
+    return ids, out
+
+
 def fusion_key(chunk_id: Column, document_id: Column, content: Column) -> Column:
     """chunk id, else document id, else the content's digest."""
     return F.coalesce(F.nullif(chunk_id, F.lit("")), F.nullif(document_id, F.lit("")), F.sha2(content, 256))
@@ -183,20 +238,29 @@ def post_filter(fused: DataFrame, condition: Column) -> DataFrame:
 def rerank(candidates: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series], top_n: int, threshold: float = 0.1, cap: int = 12) -> DataFrame:
     """(query_id, rank, query, content, ...) -> the best of the first `cap` that score above `threshold`, strictly.
 
-    `score` is a pandas function of queries and contents; Arrow's batch size is its micro-batch. Ties keep the earlier rank.
+    `score` is a pandas function of queries and contents; Arrow's batch size is
+    its micro-batch. Ties keep the earlier rank. Where it raises for a batch,
+    or gives no number, the rows score 0, and a query without any score gets its first `top_n`.
     """
-    scorer = F.pandas_udf(score, "double")
-    scored = candidates.where(F.col("rank") <= cap).withColumn("score", scorer("query", "content"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    kept = scored.withColumn("position", F.row_number().over(order))
-    return kept.where((F.col("score") > threshold) & (F.col("position") <= top_n))
+
+    def safe(queries: pd.Series, contents: pd.Series) -> pd.Series:
+        try:
+            return pd.to_numeric(pd.Series(score(queries, contents)), errors="coerce").astype(float)
+        except Exception:  # a model that fails costs its scores, not the search
+            return pd.Series([None] * len(queries), dtype=float)
+
+    safe.__annotations__ = {"queries": pd.Series, "contents": pd.Series, "return": pd.Series}
+    scorer = F.pandas_udf(safe, "double")
+    scored = candidates.where(F.col("rank") <= cap).withColumn("_raw", F.nanvl(scorer("query", "content"), F.lit(None).cast("double")))
+    own = Window.partitionBy("query_id")
+    scored = scored.withColumn("_failed", F.count("_raw").over(own) == 0).withColumn("score", F.coalesce("_raw", F.lit(0.0)))
+    kept = scored.withColumn("position", F.row_number().over(own.orderBy(F.desc("score"), "rank")))
+    return kept.where((F.col("_failed") | (F.col("score") > threshold)) & (F.col("position") <= top_n)).drop("_raw", "_failed")
 
 
 def project(ranked_rows: DataFrame, limit: int, content_limit: int = 800) -> DataFrame:
     """query_id, rank, chunk_id, source_file, content cut to the limit; blank contents are left out."""
-    from tamarack.functions.text import trim_after
-
-    content = F.trim("content")
+    content = strip(F.col("content"))
     return ranked_rows.where((F.col("rank") <= limit) & (F.length(content) > 0)).select(
         "query_id", "rank", "chunk_id", "source_file", trim_after(content, content_limit).alias("content")
     )
@@ -212,7 +276,7 @@ def paginate(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataF
 
 def requests(rows: DataFrame, most: int = 2_000) -> DataFrame:
     """(query, top_k, mode) trimmed, top_k in 1..10, the mode one of hybrid, bm25 and vector; empty and overlong queries are left out."""
-    query, mode = F.trim("query"), F.lower(F.trim(F.coalesce("mode", F.lit("hybrid"))))
+    query, mode = strip(F.col("query")), F.lower(strip(F.coalesce("mode", F.lit("hybrid"))))
     kept = rows.where(F.length(query).between(1, most) & mode.isin("hybrid", "bm25", "vector"))
     return kept.withColumns({"query": query, "top_k": F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce("top_k", F.lit(5)))), "mode": mode})
 

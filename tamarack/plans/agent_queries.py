@@ -11,7 +11,7 @@ from tamarack.operators import conversation, dataset, evidence, retrieval
 from tamarack.plans.evaluation_queries import judged
 from tamarack.plans.operations_queries import TURNS_CTE, messages
 from tamarack.plans.retrieval_queries import BM25_CTE, K, questions
-from tamarack.session import checkpoint_folder, table
+from tamarack.session import checkpoint_folder, documents, table
 
 BUDGET = 60
 
@@ -92,10 +92,10 @@ def final_evidence(spark, sf_dir):
 def metric_lines(spark, sf_dir):
     """Orders as financial metrics."""
     rows = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_orderpriority").alias("company"), F.lit("total").alias("metric"), F.round("o_totalprice", 2).alias("value"), F.when(F.col("o_orderkey") % 3 > 0, "CNY").alias("unit"),
+        "o_orderkey", F.col("o_orderpriority").alias("company"), F.lit("total").alias("metric"), F.col("o_totalprice").cast("decimal(18,2)").alias("value"), F.when(F.col("o_orderkey") % 3 > 0, "CNY").alias("unit"),
         F.date_format("o_orderdate", "yyyy").alias("year"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("is_estimate"), F.when(F.col("o_orderkey") % 4 > 0, F.lit("f.pdf")).alias("source_file"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 5).alias("source_page"),
     )
-    return evidence.format_metric(rows).select("o_orderkey", F.regexp_replace("line", r"\d+(\.\d+)?(?= |$)", "#").alias("shape"), "is_estimate")
+    return evidence.format_metric(rows).select("o_orderkey", "line", "is_estimate")
 
 
 def completed_history(spark, sf_dir):
@@ -119,15 +119,15 @@ def judge_verdicts(spark, sf_dir):
     """Verdicts for three documents in four, some of them twice; an empty text falls back to an empty response."""
     rows = judged(spark, sf_dir).select(F.col("doc_id").alias("case_id"), "behavior").where("case_id % 4 > 0")
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text")
-    return dataset.with_verdicts(records, rows.unionByName(rows), text.clear_abstention(F.substring("text", 1, 200))).select("case_id", "judged", "behavior")
+    return dataset.with_verdicts(records, rows.unionByName(rows), text.clear_abstention(F.col("text"))).select("case_id", "judged", "behavior")
 
 
 def index_topk(spark, sf_dir):
     """BM25 from a persisted index, built once for its corpus version."""
     index = retrieval.LexicalIndex(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", "1")
-    index.build(table(spark, sf_dir, "documents"))
-    index.build(table(spark, sf_dir, "documents"))
-    return index.topk(questions(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    index.build(documents(spark, sf_dir))
+    index.build(documents(spark, sf_dir))
+    return index.topk(questions(spark, sf_dir), K, epsilon=None).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def document_page(spark, sf_dir):
@@ -148,7 +148,14 @@ def seeded_sample(spark, sf_dir):
 def disjoint_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_file"), F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_orderkey").alias("page"))
     rows = rows.withColumn("page", (F.col("page") / 60).cast("int"))
-    return dataset.disjoint_pairs(dataset.adjacent_pairs(rows))
+    return dataset.disjoint_pairs(dataset.adjacent_pairs(rows), seed="0")
+
+
+def disjoint_pairs_unordered(spark, sf_dir):
+    """Pages that don't follow the ids, so that pairs of a source meet in any order."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_file"), F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_orderkey").alias("page"))
+    rows = rows.withColumn("page", (F.col("page") * 7919 % 211).cast("int"))
+    return dataset.disjoint_pairs(dataset.adjacent_pairs(rows), seed="0")
 
 
 def rejection_counts(spark, sf_dir):
@@ -158,19 +165,31 @@ def rejection_counts(spark, sf_dir):
 
 
 def nfkc_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.nfkc_tokens(F.col("text"))).alias("n_tokens"))
+    return documents(spark, sf_dir).select("doc_id", F.size(text.nfkc_tokens(F.col("text"))).alias("n_tokens"))
 
 
 def critical_sentences(spark, sf_dir):
     found = text.critical_sentences(F.col("text"), "[0-9]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
+    return documents(spark, sf_dir).select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
+
+
+def _disjoint_sql(page: str) -> str:
+    """The seeded order of each source's pairs, gone through one by one with the chunks that are taken."""
+    return f"""WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem),
+      n AS (SELECT s, o AS x, {page} AS p, lead(o) OVER w AS y, lead({page}) OVER w AS q FROM c WINDOW w AS (PARTITION BY s ORDER BY {page}, o)),
+      p AS (SELECT s, least(x, y) AS a, greatest(x, y) AS b FROM n WHERE y IS NOT NULL AND abs(q - p) <= 1),
+      k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('0|' || s || '|' || a || '|' || b)) AS k FROM p),
+      g AS (SELECT s, a, b, k, true AS kept, [a, b] AS used FROM k WHERE k = 1
+        UNION ALL SELECT k.s, k.a, k.b, k.k, NOT list_has_any(g.used, [k.a, k.b]), CASE WHEN list_has_any(g.used, [k.a, k.b]) THEN g.used ELSE list_concat(g.used, [k.a, k.b]) END
+        FROM k JOIN g ON k.s = g.s AND k.k = g.k + 1)
+      SELECT s AS source_file, a, b FROM g WHERE kept"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         envelope_decode, payload_fair_share, payload_prefix, web_results, tool_admission, call_summary, source_summary, source_pages, final_evidence, metric_lines, completed_history,
-        context_report, summary_cursor, judge_verdicts, index_topk, document_page, request_normalise, seeded_sample, disjoint_pairs, rejection_counts, nfkc_tokens, critical_sentences,
+        context_report, summary_cursor, judge_verdicts, index_topk, document_page, request_normalise, seeded_sample, disjoint_pairs, disjoint_pairs_unordered, rejection_counts, nfkc_tokens, critical_sentences,
     )
 }
 
@@ -185,9 +204,9 @@ ORACLES = {
       SELECT call_id, s AS chars, CASE WHEN total <= {BUDGET} THEN s ELSE least(s, level) END AS allowed FROM i JOIN l USING (call_id)""",
     "payload_prefix": """WITH r AS (SELECT user_id, event_id, event_type, sum(length('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)
       SELECT user_id, event_id, event_type FROM r WHERE s <= 200""",
-    "web_results": """WITH d AS (SELECT doc_id, source, trim(text, ' ') AS c FROM documents)
+    "web_results": """WITH d AS (SELECT doc_id, source, trim(text, '@BLANK@') AS c FROM documents)
       SELECT doc_id, 5 AS n, array_to_string(list_transform(range(1, 6), lambda i: least(length(source) * 20 * i, 200)), ',') AS titles,
-        md5(CASE WHEN length(c) > 800 THEN rtrim(substr(c, 1, 797), ' ') || '...' ELSE c END) AS digest FROM d""",
+        md5(CASE WHEN length(c) > 800 THEN rtrim(substr(c, 1, 797), '@BLANK@') || '...' ELSE c END) AS digest FROM d""",
     "tool_admission": """WITH c AS (SELECT user_id, event_id AS position, CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS tool FROM events),
       u AS (SELECT *, count_if(tool IN ('view', 'click')) OVER (PARTITION BY user_id ORDER BY position) AS used FROM c)
       SELECT position, CASE WHEN tool = 'signup' THEN 'disabled' WHEN tool IN ('view', 'click') AND used > 3 THEN 'no_slot' ELSE 'admitted' END AS state FROM u""",
@@ -204,9 +223,9 @@ ORACLES = {
       w AS (SELECT user_id AS thread_id, event_id AS position, 'u' || (event_id % 30) AS url FROM events WHERE event_id % 4 = 3 QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 30 ORDER BY event_id) = 1),
       a AS (SELECT 0 AS k, 'ledger' AS kind, *, NULL AS url FROM l UNION ALL SELECT 1, 'generic', *, NULL FROM g UNION ALL SELECT 2, 'web', thread_id, position, NULL, NULL, NULL, url FROM w)
       SELECT thread_id, kind, position, chunk_id, source, page, url, row_number() OVER (PARTITION BY thread_id ORDER BY k, position) AS rank FROM a QUALIFY rank <= 12""",
-    "metric_lines": r"""SELECT o_orderkey, (o_orderstatus = 'O')::INT AS is_estimate, o_orderpriority || ' total (' || strftime(o_orderdate, '%Y') || '): # ' || CASE WHEN o_orderkey % 3 > 0 THEN 'CNY' ELSE '' END
-      || CASE WHEN o_orderstatus = 'O' THEN ' [estimate]' ELSE '' END || CASE WHEN o_orderkey % 4 > 0 THEN ' (f.pdf' || CASE WHEN o_orderkey % 5 > 0 THEN ' p.' || (o_orderkey % 5) ELSE '' END || ')' ELSE '' END AS shape FROM orders""",
-    "completed_history": f"""WITH {TURNS_CTE}, c AS (SELECT * FROM t QUALIFY turn < max(turn) OVER (PARTITION BY thread_id)), s AS (SELECT * FROM c WHERE type IN ('human', 'ai') AND trim(coalesce(text, ''), ' ') <> '')
+    "metric_lines": r"""SELECT o_orderkey, (o_orderstatus = 'O')::INT AS is_estimate, o_orderpriority || ' total (' || strftime(o_orderdate, '%Y') || '): ' || CAST(o_totalprice AS DECIMAL(18,2)) || ' ' || CASE WHEN o_orderkey % 3 > 0 THEN 'CNY' ELSE '' END
+      || CASE WHEN o_orderstatus = 'O' THEN ' [estimate]' ELSE '' END || CASE WHEN o_orderkey % 4 > 0 THEN ' (f.pdf' || CASE WHEN o_orderkey % 5 > 0 THEN ' p.' || (o_orderkey % 5) ELSE '' END || ')' ELSE '' END AS line FROM orders""",
+    "completed_history": f"""WITH {TURNS_CTE}, c AS (SELECT * FROM t QUALIFY turn < max(turn) OVER (PARTITION BY thread_id)), s AS (SELECT * FROM c WHERE type IN ('human', 'ai') AND trim(coalesce(text, ''), '@BLANK@') <> '')
       SELECT thread_id, idx, turn FROM s QUALIFY type = 'human' OR idx = max(idx) FILTER (type = 'ai') OVER (PARTITION BY thread_id, turn)""",
     "context_report": f"""WITH {TURNS_CTE}, x AS (SELECT *, (strlen(coalesce(text, '')) + 1) // 2 + 4 AS k, turn = max(turn) OVER (PARTITION BY thread_id) AS now FROM t)
       SELECT thread_id, sum(k)::BIGINT AS total_tokens, coalesce(sum(k) FILTER (type = 'human'), 0)::BIGINT AS human_tokens, coalesce(sum(k) FILTER (type = 'ai'), 0)::BIGINT AS ai_tokens, 0 AS tool_tokens,
@@ -214,7 +233,7 @@ ORACLES = {
     "summary_cursor": f"""WITH {TURNS_CTE}, n AS (SELECT *, row_number() OVER o AS n, coalesce(lead(turn) OVER o <> turn, true) AS ends, idx - min(idx) OVER (PARTITION BY thread_id) AS off FROM t WINDOW o AS (PARTITION BY thread_id ORDER BY idx))
       SELECT thread_id, thread_id % 5 <> 0 AND count(*) FILTER (n <= thread_id % 4 + 1) = thread_id % 4 + 1 AND coalesce(bool_and(off = n - 1) FILTER (n <= thread_id % 4 + 1), false)
         AND coalesce(bool_or(ends) FILTER (n = thread_id % 4 + 1), false) AS valid FROM n GROUP BY thread_id""",
-    "judge_verdicts": """WITH r AS (SELECT doc_id AS case_id, n_chars % 11 AS m, trim(substr(text, 1, 200), ' ') AS t FROM documents)
+    "judge_verdicts": """WITH r AS (SELECT doc_id AS case_id, n_chars % 11 AS m, trim(text, '@BLANK@') AS t FROM documents)
       SELECT case_id, case_id % 4 > 0 AS judged, CASE WHEN case_id % 4 = 0 THEN CASE WHEN coalesce(t, '') = '' THEN 'empty_response' ELSE 'judge_error' END WHEN m < 5 THEN 'supported_answer' WHEN m < 7 THEN 'abstention'
         WHEN m < 9 THEN ' Unsupported_Answer ' WHEN m < 10 THEN 'empty_response' ELSE 'odd' END AS behavior FROM r""",
     "index_topk": f"WITH {BM25_CTE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm",
@@ -223,12 +242,12 @@ ORACLES = {
     "request_normalise": """SELECT event_id, event_type AS query, CASE WHEN event_id % 3 > 0 THEN greatest(1, least(10, event_id % 20 - 3)) ELSE 5 END AS top_k, CASE WHEN event_id % 5 = 1 THEN 'bm25' ELSE 'hybrid' END AS mode
       FROM events WHERE event_id % 8 > 0 AND event_id % 5 > 0""",
     "seeded_sample": "SELECT item_id FROM benchmark ORDER BY md5('7|' || item_id), item_id LIMIT 15",
-    "disjoint_pairs": """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem), n AS (SELECT s, o AS a, lead(o) OVER (PARTITION BY s ORDER BY o // 60, o) AS b FROM c),
-      p AS (SELECT s, a, b, row_number() OVER (PARTITION BY s ORDER BY a) AS k FROM n WHERE b IS NOT NULL AND abs(b // 60 - a // 60) <= 1),
-      g AS (SELECT s, a, b, k, true AS kept FROM p WHERE k = 1 UNION ALL SELECT p.s, p.a, p.b, p.k, NOT (g.kept AND g.b = p.a) FROM p JOIN g ON p.s = g.s AND p.k = g.k + 1)
-      SELECT s AS source_file, a, b FROM g WHERE kept""",
-    "critical_sentences": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？；\n]*[.!?。！？；\n]|[^.!?。！？；\n]+$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND regexp_matches(x, '[0-9]')) AS f FROM documents),
-      c AS (SELECT doc_id, list_transform(f, lambda x: CASE WHEN length(x) > 500 THEN rtrim(substr(x, 1, 499), ' ') || '…' ELSE x END) AS f FROM s), u AS (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS f FROM c)
+    "disjoint_pairs": _disjoint_sql("o // 60"),
+    "disjoint_pairs_unordered": _disjoint_sql("o * 7919 % 211"),
+    "critical_sentences": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？；\n]*[.!?。！？；\n]|[^.!?。！？；\n]+$'), lambda x: trim(x, '@BLANK@')), lambda x: x <> '') AS f FROM documents),
+      c AS (SELECT doc_id, flatten(list_transform(f, lambda x: CASE WHEN length(x) > 500 THEN list_transform(list_filter(range(1, length(x) + 1, 500), lambda a: regexp_matches(substr(x, a, 500), '[0-9]')),
+          lambda a: CASE WHEN a > 1 THEN '…' ELSE '' END || trim(substr(x, a, 500), '@BLANK@') || CASE WHEN a + 500 <= length(x) THEN '…' ELSE '' END)
+        WHEN regexp_matches(x, '[0-9]') THEN [x] ELSE [] END)) AS f FROM s), u AS (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS f FROM c)
       SELECT doc_id, len(f) AS n, md5(array_to_string(f, '|')) AS digest FROM u""",
 }
 

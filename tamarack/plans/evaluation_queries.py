@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamarack.operators import cache, dataset, evaluate
-from tamarack.plans.retrieval_queries import BM25_CTE, K, bm25, overlap
-from tamarack.session import table
+from tamarack.plans.retrieval_queries import BM25_CTE, K, bm25_and_overlap
+from tamarack.session import documents, table
 
 # A question counts as answerable unless its text is short; the three best overlaps are its gold documents.
 CASES_CTE = (
@@ -35,16 +35,11 @@ def cases(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), flag.alias("answerable"))
 
 
-def gold(spark, sf_dir):
-    return overlap(spark, sf_dir).where("rank <= 3").select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"))
-
-
-def retrieved(spark, sf_dir):
-    return bm25(spark, sf_dir).select(F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("chunk_id"))
-
-
 def measured(spark, sf_dir):
-    return evaluate.rank_metrics(cases(spark, sf_dir), retrieved(spark, sf_dir), gold(spark, sf_dir), 5)
+    found, best = bm25_and_overlap(spark, sf_dir)
+    retrieved = found.select(F.col("query_id").alias("case_id"), "rank", F.col("doc_id").alias("chunk_id"))
+    gold = best.where("rank <= 3").select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"))
+    return evaluate.rank_metrics(cases(spark, sf_dir), retrieved, gold, 5)
 
 
 def judged(spark, sf_dir):
@@ -75,8 +70,9 @@ def retrieval_summary(spark, sf_dir):
 def source_page_match(spark, sf_dir):
     """Documents' sources and sizes stand for retrieved files and pages; gold labels use a path and sometimes no page."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    found = bm25(spark, sf_dir).join(docs, "doc_id").select(F.col("query_id").alias("case_id"), "rank", F.concat(F.lit("Reports\\"), "source").alias("source_file"), (F.col("n_chars") % 4).alias("source_page"))
-    labels = overlap(spark, sf_dir).where("rank <= 3").join(docs, "doc_id")
+    first, second = bm25_and_overlap(spark, sf_dir)
+    found = first.join(docs, "doc_id").select(F.col("query_id").alias("case_id"), "rank", F.concat(F.lit("Reports\\"), "source").alias("source_file"), (F.col("n_chars") % 4).alias("source_page"))
+    labels = second.where("rank <= 3").join(docs, "doc_id")
     labels = labels.select(F.col("query_id").alias("case_id"), F.col("source").alias("source_file"), F.when(F.col("rank") > 1, F.col("n_chars") % 4).alias("page"))
     return evaluate.source_page_recall(found, labels)
 
@@ -107,9 +103,9 @@ def latency_percentiles(spark, sf_dir):
 def label_audit(spark, sf_dir):
     """Documents as evaluation records with assorted defects."""
     n = F.col("n_chars")
-    record = table(spark, sf_dir, "documents").select(
+    record = documents(spark, sf_dir).select(
         F.when(n % 13 == 0, "").otherwise(F.concat(F.lit("case-"), (F.col("doc_id") % 900).cast("string"))).alias("case_id"),
-        F.when(n % 17 == 0, " ").otherwise(F.substring("text", 1, 30)).alias("question"),
+        F.when(n % 17 == 0, " ").otherwise(F.col("text")).alias("question"),
         F.when(n % 7 == 0, F.lit(None)).otherwise(F.lit("x")).alias("ground_truth"),
         (n % 5 != 0).alias("answerable"),
         F.when(n % 3 == 0, 2).otherwise(3).alias("schema_version"),
@@ -123,7 +119,7 @@ def label_audit(spark, sf_dir):
 
 
 def stratified_sample(spark, sf_dir):
-    docs = dataset.drop_noise(table(spark, sf_dir, "documents")).withColumn("doc_type", F.when(F.col("text").rlike(r"(?m)^\s*\|.+\|\s*$"), "table").otherwise("text"))
+    docs = dataset.drop_noise(documents(spark, sf_dir)).withColumn("doc_type", F.when(F.col("text").rlike(r"(?m)^\s*\|.+\|\s*$"), "table").otherwise("text"))
     return dataset.stratified_sample(docs, ["lang", "doc_type"], "source", "doc_id", 60).select("doc_id", "lang", "doc_type", "source", "turn")
 
 
@@ -142,12 +138,12 @@ def evidence_check(spark, sf_dir):
     """Questions and answers cut from documents; some quotes are too short, some out of range, some answers hold other numbers."""
     n = F.col("n_chars")
     quote = F.when(n % 3 == 0, F.substring("text", 5, 40)).when(n % 3 == 1, F.lit("abc")).otherwise(F.lit("no such quotation here"))
-    rows = table(spark, sf_dir, "documents").select(
+    rows = documents(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"),
-        F.when(n % 7 == 0, "short").otherwise(F.substring("text", 1, 40)).alias("question"),
+        F.when(n % 7 == 0, "short").otherwise(F.col("text")).alias("question"),
         F.concat(F.lit("answer "), n.cast("string")).alias("answer"),
         F.when(n % 2 == 0, "multi_chunk").otherwise("single_chunk").alias("scope"),
-        F.array(F.substring("text", 1, 200), F.concat(F.lit("size "), F.when(n % 4 < 2, n.cast("string")).otherwise(F.lit("unknown")))).alias("chunks"),
+        F.array("text", F.concat(F.lit("size "), F.when(n % 4 < 2, n.cast("string")).otherwise(F.lit("unknown")))).alias("chunks"),
         F.array(F.struct((1 + n % 4).cast("int").alias("chunk_index"), quote.alias("quote")), F.struct(F.lit(2).alias("chunk_index"), F.lit("size  ").alias("quote"))).alias("evidence"),
     )
     found = dataset.validate_pairs(rows)
@@ -163,7 +159,7 @@ def duplicate_groups(spark, sf_dir):
 
 
 def corpus_quality(spark, sf_dir):
-    return dataset.corpus_quality(table(spark, sf_dir, "documents"), "source")
+    return dataset.corpus_quality(documents(spark, sf_dir), "source")
 
 
 def bundle_manifest(spark, sf_dir):
@@ -218,7 +214,7 @@ ORACLES = {
       SELECT 'industry', source, count(*), round(avg(n_chars), 4) FROM r WHERE source <> '' GROUP BY source HAVING count(*) >= 3""",
     "latency_percentiles": """WITH t AS (SELECT event_type, coalesce(CASE WHEN event_id % 3 = 0 THEN round(value / 100, 4) END, round(value / 50, 4)) * 1000 AS ms FROM events)
       SELECT event_type, count(*) AS n, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS ok_rate, round(quantile_disc(ms, 0.5), 2) AS p50_ms, round(quantile_disc(ms, 0.95), 2) AS p95_ms FROM t GROUP BY event_type""",
-    "label_audit": """WITH r AS (SELECT n_chars AS n, CASE WHEN n_chars % 13 = 0 THEN '' ELSE 'case-' || (doc_id % 900) END AS c, CASE WHEN n_chars % 17 = 0 THEN '' ELSE trim(substr(text, 1, 30), ' ') END AS q,
+    "label_audit": """WITH r AS (SELECT n_chars AS n, CASE WHEN n_chars % 13 = 0 THEN '' ELSE 'case-' || (doc_id % 900) END AS c, CASE WHEN n_chars % 17 = 0 THEN '' ELSE trim(text, '@BLANK@') END AS q,
         n_chars % 5 <> 0 AS yes, n_chars % 3 <> 0 AS v3, CASE WHEN n_chars % 2 = 0 THEN 'approved' WHEN n_chars % 11 = 0 THEN 'missing' ELSE 'pending' END AS rs FROM documents),
       t AS (SELECT 'issue' AS kind, 'review_status_' || rs AS name FROM r WHERE v3 AND rs <> 'approved'
         UNION ALL SELECT 'issue', 'evidence_validation_not_passed' FROM r WHERE v3 AND yes AND n % 4 <> 0
@@ -235,7 +231,7 @@ ORACLES = {
       UNION ALL SELECT 'issue', 'duplicate_case_id', sum(k - 1)::BIGINT FROM (SELECT count(*) AS k FROM r WHERE c <> '' GROUP BY c) HAVING sum(k - 1) > 0
       UNION ALL SELECT 'issue', 'duplicate_question', sum(k - 1)::BIGINT FROM (SELECT count(*) AS k FROM r WHERE q <> '' GROUP BY q) HAVING sum(k - 1) > 0""",
     "stratified_sample": f"""WITH d AS (SELECT doc_id, lang, source, CASE WHEN regexp_matches(text, '(?m)^\\s*\\|.+\\|\\s*$') THEN 'table' ELSE 'text' END AS doc_type FROM documents
-        WHERE length(trim(text, ' ')) >= 100 AND NOT regexp_matches(substr(text, 1, 600), '免责声明|分析师声明|评级说明|执业编号|证券投资咨询业务资格')),
+        WHERE length(trim(text, '@BLANK@')) >= 100 AND NOT regexp_matches(substr(text, 1, 600), '免责声明|分析师声明|评级说明|执业编号|证券投资咨询业务资格')),
       h AS (SELECT *, {_SHUFFLE.format("CAST(doc_id AS VARCHAR)")} AS h, {_SHUFFLE.format("source")} AS s, {_SHUFFLE.format("lang, doc_type")} AS g FROM d),
       r AS (SELECT *, row_number() OVER (PARTITION BY lang, doc_type, source ORDER BY h, doc_id) AS round FROM h),
       t AS (SELECT *, row_number() OVER (PARTITION BY lang, doc_type ORDER BY round, s, source) AS turn FROM r)
@@ -246,8 +242,8 @@ ORACLES = {
     "adjacent_pairs": """WITH r AS (SELECT l_orderkey AS source_file, l_partkey % 10 AS page, l_linenumber AS c FROM lineitem),
       n AS (SELECT source_file, page, c, lead(c) OVER w AS nc, lead(page) OVER w AS np FROM r WINDOW w AS (PARTITION BY source_file ORDER BY page, c))
       SELECT DISTINCT source_file, least(c, nc) AS a, greatest(c, nc) AS b FROM n WHERE nc IS NOT NULL AND abs(np - page) <= 1""",
-    "evidence_check": r"""WITH r AS (SELECT doc_id, n_chars AS n, text, CASE WHEN n_chars % 7 = 0 THEN 'short' ELSE trim(substr(text, 1, 40), ' ') END AS q,
-        lower(regexp_replace(substr(text, 1, 200), '[\s,，]', '', 'g')) AS c1, 'size' || CASE WHEN n_chars % 4 < 2 THEN n_chars::VARCHAR ELSE 'unknown' END AS c2,
+    "evidence_check": r"""WITH r AS (SELECT doc_id, n_chars AS n, text, CASE WHEN n_chars % 7 = 0 THEN 'short' ELSE trim(text, '@BLANK@') END AS q,
+        lower(regexp_replace(text, '[\s,，]', '', 'g')) AS c1, 'size' || CASE WHEN n_chars % 4 < 2 THEN n_chars::VARCHAR ELSE 'unknown' END AS c2,
         1 + n_chars % 4 AS ix, lower(regexp_replace(CASE n_chars % 3 WHEN 0 THEN substr(text, 5, 40) WHEN 1 THEN 'abc' ELSE 'no such quotation here' END, '[\s,，]', '', 'g')) AS quote FROM documents),
       x AS (SELECT *, list_filter([CASE WHEN length(q) < 6 THEN 'question_too_short' END,
         CASE WHEN ix > 2 THEN 'invalid_evidence_chunk_index' WHEN length(quote) < 6 THEN 'evidence_too_short' WHEN NOT contains(CASE ix WHEN 1 THEN c1 ELSE c2 END, quote) THEN 'evidence_quote_not_found' END,
@@ -257,7 +253,7 @@ ORACLES = {
     "stratum_distribution": "SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang",
     "duplicate_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY md5(text) HAVING count(*) > 1",
     "corpus_quality": r"""SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, sum(length(text) - length(replace(text, chr(65533), '')))::BIGINT AS replacements,
-      count_if(regexp_matches(text, '(?m)^\s*\|.+\|\s*$')) AS tables, count_if(length(trim(text, ' ')) < 100) AS short FROM documents GROUP BY source""",
+      count_if(regexp_matches(text, '(?m)^\s*\|.+\|\s*$')) AS tables, count_if(length(trim(text, '@BLANK@')) < 100) AS short FROM documents GROUP BY source""",
     "bundle_manifest": f"""WITH {JUDGED_CTE} SELECT count(*) AS records, count_if(yes) AS answerable, count_if(NOT yes) AS no_answer, count_if(n_chars % 3 = 0) AS multi_chunk,
       count_if(n_chars % 4 = 0) AS table_cases, count_if(n_chars % 5 <> 0) AS pending_review FROM o JOIN documents USING (doc_id)""",
     "semantic_dedup_pairs": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import cache, conversation, ingest, metering
 from tamarack.plans import sql_guard
-from tamarack.session import table
+from tamarack.session import documents, table
 from tamarack.sources import readers
 
 # --- metering: events stand for requests -----------------------------------------------------------------
@@ -228,8 +228,7 @@ def page_runs(spark, sf_dir):
 
 
 def split_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return ingest.split_text(docs, "doc_id", "text").select("chunk_id", F.length("content").alias("chars"))
+    return ingest.split_text(documents(spark, sf_dir), "doc_id", "text").select("chunk_id", F.length("content").alias("chars"))
 
 
 def page_plans(spark, sf_dir):
@@ -302,15 +301,15 @@ def _entries(spark, sf_dir):
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(secs=F.col("doc_id").cast("decimal(18,6)"))
     n_docs = F.col("n_chars") % 3
     rows = table(spark, sf_dir, "documents").select(
-        query_hash(F.substring("text", 1, 40)).alias("query_hash"), F.substring("text", 1, 40).alias("query"), "doc_id", n_docs.alias("n_docs"), (F.col("n_chars") % 100 / 100).alias("top_score"), at.alias("inserted_at")
+        query_hash(F.col("text")).alias("query_hash"), F.col("text").alias("query"), "doc_id", n_docs.alias("n_docs"), (F.col("n_chars") % 100 / 100).alias("top_score"), at.alias("inserted_at")
     )
     return rows.withColumn("expires_at", F.col("inserted_at") + F.make_interval(secs=cache.lifetime(F.col("n_docs")).cast("decimal(18,6)")))
 
 
 def cache_exact(spark, sf_dir):
-    """Upper-cased openings of the same documents, padded, against live entries an hour after the first."""
+    """The same documents in upper case, padded, against live entries an hour after the first."""
     live = cache.alive(_entries(spark, sf_dir), F.to_timestamp(F.lit("2024-01-01 00:10:00")))
-    asked = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), F.concat(F.lit(" "), F.upper(F.substring("text", 1, 40)), F.lit(" ")).alias("query"))
+    asked = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), F.concat(F.lit(" "), F.upper("text"), F.lit(" ")).alias("query"))
     return cache.exact(asked, live).select("query_id", "doc_id")
 
 
@@ -392,7 +391,7 @@ ORACLES = {
     "merge_humans": f"""WITH {TURNS_CTE}, r AS (SELECT *, sum(CASE WHEN type = 'human' AND prev = 'human' THEN 0 ELSE 1 END) OVER (PARTITION BY thread_id ORDER BY idx) AS run
         FROM (SELECT *, lag(type) OVER (PARTITION BY thread_id ORDER BY idx) AS prev FROM m))
       SELECT thread_id, min(idx) AS idx, min(type) AS type, md5(string_agg(text, chr(10) || chr(10) ORDER BY idx)) AS digest, count(*) AS n FROM r GROUP BY thread_id, run""",
-    "display_messages": """SELECT conv_id AS thread_id, turn AS idx, role, length(trim(text, ' ')) AS chars FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, ''), ' ') <> ''""",
+    "display_messages": """SELECT conv_id AS thread_id, turn AS idx, role, length(trim(text, '@BLANK@')) AS chars FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, ''), '@BLANK@') <> ''""",
     "miss_streak": """WITH c AS (SELECT user_id, event_id, event_id % 4 = 0 AS h FROM events WHERE event_type <> 'error'), l AS (SELECT user_id, coalesce(max(CASE WHEN h THEN event_id END), -1) AS x FROM c GROUP BY ALL)
       SELECT user_id AS thread_id, count_if(NOT h AND event_id > x) AS misses FROM c JOIN l USING (user_id) GROUP BY ALL""",
     "last_n": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
@@ -441,12 +440,12 @@ ORACLES = {
     "stage_totals": "SELECT event_type AS stage, round(sum(round(value, 2)), 2) AS seconds, count_if(event_id % 10 = 0) AS failures, count(*) AS n FROM events GROUP BY ALL",
     "server_events": "SELECT conv_id AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS event_no, role AS event, turn || chr(10) || 'x' AS data FROM conversations",
     "line_audit": "SELECT count_if(event_id % 5 <> 3) AS lines, count_if(event_id % 5 = 0) AS objects, count_if(event_id % 5 IN (1, 4)) AS not_objects, count_if(event_id % 5 = 2) AS invalid FROM events",
-    "cache_exact": """WITH e AS (SELECT doc_id, trim(lower(substr(text, 1, 40)), ' ') AS k FROM documents WHERE TIMESTAMP '2024-01-01' + to_seconds(doc_id + CASE WHEN n_chars % 3 = 0 THEN 300 ELSE 3600 END) > TIMESTAMP '2024-01-01 00:10:00')
-      SELECT d.doc_id AS query_id, e.doc_id FROM documents d JOIN e ON trim(lower(upper(substr(text, 1, 40))), ' ') = k WHERE lang = 'en'""",
+    "cache_exact": """WITH e AS (SELECT doc_id, trim(lower(text), '@BLANK@') AS k FROM documents WHERE TIMESTAMP '2024-01-01' + to_seconds(doc_id + CASE WHEN n_chars % 3 = 0 THEN 300 ELSE 3600 END) > TIMESTAMP '2024-01-01 00:10:00')
+      SELECT d.doc_id AS query_id, e.doc_id FROM documents d JOIN e ON trim(lower(upper(text)), '@BLANK@') = k WHERE lang = 'en'""",
     "cache_semantic": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE + 0.01) AS e FROM embeddings WHERE vec_id % 100 = 0),
       s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS raw FROM q, v)
       SELECT query_id, vec_id, round(raw, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) = 1 AND raw >= 0.9""",
     "cache_admission": """SELECT CASE WHEN n_chars % 3 = 0 THEN 'exact' WHEN n_chars % 100 / 100 < 0.5 THEN 'none' ELSE 'both' END AS tier, CASE WHEN n_chars % 3 = 0 THEN 300 ELSE 3600 END AS ttl, count(*) AS n FROM documents GROUP BY ALL""",
-    "cache_evict": """WITH e AS (SELECT trim(lower(substr(text, 1, 40)), ' ') AS k, min(doc_id) AS doc_id, max(n_chars % 3) AS m FROM documents GROUP BY ALL), l AS (SELECT * FROM e WHERE m > 0)
+    "cache_evict": """WITH e AS (SELECT trim(lower(text), '@BLANK@') AS k, min(doc_id) AS doc_id, max(n_chars % 3) AS m FROM documents GROUP BY ALL), l AS (SELECT * FROM e WHERE m > 0)
       SELECT doc_id FROM l QUALIFY count(*) OVER () < 500 OR row_number() OVER (ORDER BY doc_id) > 50""",
 } | PASSED

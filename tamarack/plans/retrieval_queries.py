@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import metadata, text
 from tamarack.operators import retrieval
-from tamarack.session import table
+from tamarack.session import documents, table
 from tamarack.sources import readers
 
 K = 10
@@ -55,21 +55,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_topk(questions(spark, sf_dir), table(spark, sf_dir, "documents"), K)
+    return retrieval.bm25_topk(questions(spark, sf_dir), documents(spark, sf_dir), K, epsilon=None)
 
 
-def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second ranked list: how many distinct query terms a document has."""
-    wanted = questions(spark, sf_dir).select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).distinct()
-    posts = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id"), "term")
-    scored = posts.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return retrieval.ranked(scored, K)
+def bm25_and_overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """BM25, and as a second ranked list how many distinct query terms a document has; both from one tokenization."""
+    asked = questions(spark, sf_dir)
+    posts, statistics = retrieval.query_postings(asked, documents(spark, sf_dir))
+    return retrieval.score_postings(asked, posts, statistics, K, epsilon=None), retrieval.overlap_topk(asked, posts, K)
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda frame, number: frame.select("query_id", F.lit(number).alias("list_no"), "rank", F.col("doc_id").alias("key"))
-    lists = pick(bm25(spark, sf_dir), 0).unionByName(pick(overlap(spark, sf_dir), 1))
-    return retrieval.reciprocal_rank_fusion(lists, 2 * K).withColumnRenamed("key", "doc_id")
+    first, second = bm25_and_overlap(spark, sf_dir)
+    return retrieval.reciprocal_rank_fusion(pick(first, 0).unionByName(pick(second, 1)), 2 * K).withColumnRenamed("key", "doc_id")
 
 
 def chunk_scan_paged(spark, sf_dir):
@@ -93,20 +92,21 @@ def metadata_normalise(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", meta.alias("m"))
     return rows.select(
         "doc_id", "m.source_file", F.col("m.source_page").alias("source_page"), F.array_join(F.col("m.source_pages").cast("array<string>"), ",").alias("source_pages"),
-        F.round("m.retrieval_score", 6).alias("retrieval_score"), F.element_at("m.extra", F.lit("lang")).alias("lang"), F.size(metadata.flatten(F.col("m"))).alias("n_flat"),
+        F.round("m.retrieval_score", 6).alias("retrieval_score"), F.element_at("m.extra", F.lit("lang")).alias("lang"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter(metadata.flatten(F.col("m")), lambda k, v: k != "score"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("flat"),
     )
 
 
 def noise_filter(spark, sf_dir):
     from tamarack.operators.dataset import drop_noise
 
-    return drop_noise(table(spark, sf_dir, "documents")).groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return drop_noise(documents(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 def text_functions(spark, sf_dir):
     """Numbers, sizes, trims and hashes of every text."""
     body = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(text.numbers(body)).alias("n_numbers"),
         F.array_join(F.slice(text.numbers(body), 1, 5), ",").alias("first_numbers"),
@@ -140,12 +140,12 @@ def table_heuristic(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
-    posts = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    posts = retrieval.postings(documents(spark, sf_dir), "doc_id", "text")
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def corpus_statistics(spark, sf_dir):
-    return retrieval.corpus_statistics(table(spark, sf_dir, "documents"), "doc_id", "text").select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
+    return retrieval.corpus_statistics(documents(spark, sf_dir), "doc_id", "text").select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_topk(spark, sf_dir):
@@ -154,7 +154,7 @@ def bm25_topk(spark, sf_dir):
 
 def bm25_floor(spark, sf_dir):
     """With negative idf values raised to a quarter of the mean."""
-    found = retrieval.bm25_topk(questions(spark, sf_dir), table(spark, sf_dir, "documents"), 5, epsilon=0.25)
+    found = retrieval.bm25_topk(questions(spark, sf_dir), documents(spark, sf_dir), 5)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -176,7 +176,7 @@ def post_filter(spark, sf_dir):
 
 def degraded_retrieval(spark, sf_dir):
     """The lexical source failed: its list is empty and the other alone is fused."""
-    lists = overlap(spark, sf_dir).select("query_id", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("key"))
+    lists = bm25_and_overlap(spark, sf_dir)[1].select("query_id", F.lit(1).alias("list_no"), "rank", F.col("doc_id").alias("key"))
     return retrieval.reciprocal_rank_fusion(lists, 2 * K).withColumnRenamed("key", "doc_id")
 
 
@@ -212,8 +212,8 @@ ORACLES = {
     "json_predicate": "SELECT event_type, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') = '3' GROUP BY ALL",
     "metadata_normalise": """SELECT doc_id, source AS source_file, CASE WHEN n_chars % 9 - 1 >= 0 THEN n_chars % 9 - 1 END AS source_page,
       CASE WHEN n_chars % 5 = 3 THEN '3' ELSE '3,' || (n_chars % 5) END AS source_pages, round(n_chars / 7.0, 6) AS retrieval_score, lang,
-      4 + CASE WHEN n_chars % 9 - 1 >= 0 THEN 1 ELSE 0 END AS n_flat FROM documents""",
-    "noise_filter": """SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE length(trim(text, ' ')) >= 100
+      'lang=' || lang || CASE WHEN n_chars % 9 - 1 >= 0 THEN ';page=' || (n_chars % 9 - 1) ELSE '' END || ';source_file=' || source || ';source_pages=' || CASE WHEN n_chars % 5 = 3 THEN '3' ELSE '3,' || (n_chars % 5) END AS flat FROM documents""",
+    "noise_filter": """SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE length(trim(text, '@BLANK@')) >= 100
       AND NOT regexp_matches(substr(text, 1, 600), '免责声明|分析师声明|评级说明|执业编号|证券投资咨询业务资格') GROUP BY source""",
     "text_functions": r"""WITH n AS (SELECT *, regexp_extract_all(lower(regexp_replace(text, '[\s,，]', '', 'g')), '\d+(?:\.\d+)?%?') AS found FROM documents),
       u AS (SELECT doc_id, list_distinct(found) AS d, found FROM n),
@@ -247,7 +247,7 @@ ORACLES = {
         FROM rr JOIN documents d ON rr.doc_id = d.doc_id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 12),
       o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS position FROM p)
       SELECT query_id, doc_id, round(s, 6) AS score, position AS rank FROM o WHERE s > 0.1 AND position <= 5""",
-    "result_projection": f"""WITH {RRF_CTE}, t AS (SELECT query_id, rank, doc_id, source, trim(text, ' ') AS c FROM rr JOIN documents USING (doc_id) WHERE rank <= 5 AND length(trim(text, ' ')) > 0),
-      x AS (SELECT *, CASE WHEN length(c) > 800 THEN rtrim(substr(c, 1, 800), ' ') || '...' ELSE c END AS y FROM t)
+    "result_projection": f"""WITH {RRF_CTE}, t AS (SELECT query_id, rank, doc_id, source, trim(text, '@BLANK@') AS c FROM rr JOIN documents USING (doc_id) WHERE rank <= 5 AND length(trim(text, '@BLANK@')) > 0),
+      x AS (SELECT *, CASE WHEN length(c) > 800 THEN rtrim(substr(c, 1, 800), '@BLANK@') || '...' ELSE c END AS y FROM t)
       SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS chunk_id, source AS source_file, length(y) AS chars, md5(y) AS digest FROM x""",
 }

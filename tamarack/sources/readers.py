@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tamarack.functions.metadata import clamp
-from tamarack.functions.text import row_text
+from tamarack.functions.text import row_text, strip
 from tamarack.operators.ingest import parser_of, source_identity
 
 CHUNKS = "chunk_id string, content string, metadata_json string, document_id string, seq bigint"
@@ -94,14 +94,14 @@ def scan_chunks(chunks: DataFrame, source: str | None = None, limit: int | None
 def eval_records(spark: SparkSession, path: str, noise: str | None = None) -> DataFrame:
     """Evaluation records of a JSON-lines file; broken lines, short questions and those with a noise pattern dropped."""
     rows = spark.read.schema(EVAL_RECORDS).option("mode", "DROPMALFORMED").json(path)
-    kept = rows.where(F.length(F.trim("question")) >= LEAST_QUESTION)
+    kept = rows.where(F.length(strip(F.col("question"))) >= LEAST_QUESTION)
     return kept.where(~F.col("question").rlike(noise)) if noise else kept
 
 
 def line_audit(lines: DataFrame) -> DataFrame:
     """(value) lines of a JSON-lines file -> lines, objects, not_objects, invalid."""
-    text = lines.where(F.length(F.trim("value")) > 0).select(F.expr("try_parse_json(value)").alias("v"), "value")
-    kind = F.when(F.col("v").isNull() & (F.trim("value") != "null"), "invalid").when(F.trim("value").startswith("{"), "object").otherwise("other")
+    text = lines.where(F.length(strip(F.col("value"))) > 0).select(F.expr("try_parse_json(value)").alias("v"), "value")
+    kind = F.when(F.col("v").isNull() & (strip(F.col("value")) != "null"), "invalid").when(strip(F.col("value")).startswith("{"), "object").otherwise("other")
     return text.select(kind.alias("k")).agg(
         F.count("*").alias("lines"), F.count_if(F.col("k") == "object").alias("objects"),
         F.count_if(F.col("k") == "other").alias("not_objects"), F.count_if(F.col("k") == "invalid").alias("invalid"),

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from tamarack.functions.text import trim_after
 from tamarack.operators.dataset import balanced_subset, manifest
 from tamarack.operators.ingest import upsert
+from tamarack.session import written
+
+
+#: Buckets of a chunk store, by the hash of the key; an upsert writes those that it touches.
+BUCKETS = 64
 
 
 class ChunkStore:
-    """Versioned chunk table: each write makes a new version folder, readers pin the newest that succeeded."""
+    """Versioned chunk table in buckets of keys.
+
+    Each write makes a new version folder, which holds the buckets that it
+    changed and a layout of where every bucket lies; readers pin the newest
+    version that has one. A version's number is claimed by a file that only one writer can make.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -26,22 +36,98 @@ class ChunkStore:
         if not files.exists(path):
             return 0
         names = [s.getPath().getName() for s in files.listStatus(path)]
-        whole = [int(n[2:]) for n in names if n.startswith("v=") and files.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[0])]
+        whole = [int(n[2:]) for n in names if n.startswith("v=") and files.exists(self._fs(f"{self.path}/{n}/layout/_SUCCESS")[0])]
         return max(whole, default=0)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
+    def layout(self, version: int) -> dict[int, int]:
+        """The version that holds each bucket."""
         if not version:
+            return {}
+        return {r.bucket: r.held for r in self.spark.read.schema("bucket int, held int").parquet(f"{self.path}/v={version}/layout").collect()}
+
+    def _buckets(self, places: dict[int, int]) -> DataFrame:
+        if not places:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/v={held}/bucket={b}" for b, held in sorted(places.items())))
 
-    def replace_all(self, rows: DataFrame) -> int:
-        version = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._buckets(self.layout(self.version() if version is None else version))
+
+    def _claim(self) -> int:
+        """The next free number; another writer's claim is passed over."""
+        number = self.version() + 1
+        while True:
+            path, files = self._fs(f"{self.path}/claims/{number}")
+            try:
+                files.create(path, False).close()
+                return number
+            except Exception as error:  # the file system says that it exists
+                if not files.exists(path):
+                    raise
+                number += 1
+
+    def _write(self, rows: DataFrame, version: int, base: dict[int, int], key: str, touched: list[int] | None = None) -> int:
+        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
+        placed.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").mode("append").parquet(f"{self.path}/v={version}")
+        path, files = self._fs(f"{self.path}/v={version}")
+        made = {int(n[7:]) for n in (s.getPath().getName() for s in files.listStatus(path)) if n.startswith("bucket=")}
+        places = {b: held for b, held in base.items() if touched is None or b not in touched} | dict.fromkeys(made, version)
+        layout = self.spark.createDataFrame(sorted(places.items()), "bucket int, held int")
+        layout.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={version}/layout")
         return version
 
-    def upsert(self, rows: DataFrame, key: str = "chunk_id", seq: str | None = None) -> int:
-        return self.replace_all(upsert(self.read(), rows, key, seq))
+    def replace_all(self, rows: DataFrame, key: str = "chunk_id") -> int:
+        return self._write(rows, self._claim(), {}, key)
+
+    def upsert(self, rows: DataFrame, key: str = "chunk_id", seq: str | None = None, drop: tuple[str, DataFrame] | None = None) -> int:
+        """New rows replace old ones of their key; with drop (column, values), old rows of those values go too.
+
+        Only buckets that new keys fall into are rewritten, or all with `drop`.
+        """
+        base, version = self.layout(self.version()), self._claim()
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched = sorted(base) if drop else [r.bucket for r in rows.select(bucket).distinct().collect()]  # the number of buckets at most
+        old = self._buckets({b: held for b, held in base.items() if b in touched})
+        if drop:
+            old = old.join(drop[1].select(drop[0]), drop[0], "left_anti").select(*old.columns)
+        names = [f.name for f in old.schema]
+        return self._write(upsert(old, rows.select(*names), key, seq), version, base, key, touched)
+
+
+class Manifest:
+    """(path, hash) of files that are done, in version folders that are complete or not there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = ChunkStore(spark, path, "path string, hash string", buckets=8)
+
+    def read(self) -> DataFrame:
+        return self.store.read()
+
+    def replace(self, rows: DataFrame) -> int:
+        """New hashes for these paths; the others stay."""
+        return self.store.upsert(rows.select("path", "hash"), "path")
+
+
+def fan_out(rows: DataFrame, writers: list) -> None:
+    """One batch to several writers in turn; rows are worked out once. A writer that fails stops those after it."""
+    rows = written(rows, "batch")
+    for write in writers:
+        write(rows)
+
+
+def write_summary(rows: DataFrame, path: str) -> None:
+    """One row as one JSON object in one file."""
+    rows.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
+def migrate_once(source: DataFrame, store: ChunkStore, done: str) -> bool:
+    """Fill a store from an older one, once: False where the mark is there already."""
+    path, files = store._fs(done)
+    if files.exists(path):
+        return False
+    store.replace_all(source)
+    files.create(path, True).close()
+    return True
 
 
 def write_bundle(records: DataFrame, path: str, buckets: list[str], smoke: int, regression: int) -> None:
