@@ -174,9 +174,9 @@ def safe_name(text: Column, n: int = 40) -> Column:
     return F.left(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r'[\\/:*?"<>|\s]+', "_"), F.lit("_")), F.lit(n))
 
 
-def row_text(names: list[str], row: list[Column] | None = None) -> Column:
-    """header：value joined by ；, nulls and blanks left out."""
-    parts = [F.when(F.length(strip(F.col(c).cast("string"))) > 0, F.concat(F.lit(f"{c}："), strip(F.col(c).cast("string")))) for c in names]
+def row_text(names: list[str], headers: list[str] | None = None) -> Column:
+    """header：value joined by ；, nulls and blanks left out; headers are the columns' names unless given."""
+    parts = [F.when(F.length(strip(F.col(c).cast("string"))) > 0, F.concat(F.lit(f"{h}："), strip(F.col(c).cast("string")))) for c, h in zip(names, headers or names)]
     return F.array_join(F.filter(F.array(*parts), F.isnotnull), "；")
 
 
@@ -269,6 +269,6 @@ def safe_sheet(name: Column) -> Column:
 
 def fitting_prefix(text: Column, room: Column) -> Column:
     """The longest prefix whose JSON string, escapes counted and quotes not, has `room` characters or fewer."""
-    escaped = F.regexp_replace(F.regexp_replace(text, r'(["\\\\\n\r\t\x08\x0C])', r"\\\\a"), r"[\x00-\x1F]", r"\\\\u0000")
+    escaped = F.regexp_replace(F.regexp_replace(text, r'(["\\\\\n\r\t\x08\x0C])', r"\\a"), r"[\x00-\x1F]", r"\\u0000")
     whole = F.regexp_replace(F.left(escaped, F.greatest(room, F.lit(0))), r"\\(u[0-9]{0,3})?\z", "")
     return F.left(text, F.length(F.regexp_replace(whole, r"\\(a|u0000)", "x")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import base_name, same_source, strip
+from tamarack.session import written
 
 METRICS = ["hit_at_k", "precision_at_k", "recall_at_k", "mrr", "ndcg_at_k", "source_page_recall"]
 BEHAVIORS = ["supported_answer", "abstention", "unsupported_answer", "empty_response", "judge_error"]
@@ -209,3 +210,31 @@ def label_audit(records: DataFrame) -> DataFrame:
         ).where("n > 0")
 
     return counted.unionByName(repeats("case_id")).unionByName(repeats("question"))
+
+
+def distribution(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of each value, the commonest first, ties by value."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
+def metric_block(rows: DataFrame, keys: list[str], means: list[str], k: int) -> DataFrame:
+    """Per group: cases, the share that is evaluable, and the means of the named metrics, as columns named metric@k."""
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), share(F.col("retrieval_evaluable")).alias("evaluable_share"), *(mean(F.col(m)).alias(f"{m.removesuffix('_at_k')}@{k}") for m in means)
+    )
+
+
+def run(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, judged: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """One evaluation run: details as CSV and the summary as one JSON object under `path`; gives the summary, one row.
+
+    judged (case_id, answerable, behavior) are the answers' verdicts.
+    """
+    measured = rank_metrics(cases, retrieved, gold, k)
+    answers = judged.select("case_id", outcome(F.col("answerable"), F.col("behavior")).alias("outcome"))
+    details = written(measured.join(answers, "case_id", "left"), "evaluation")
+    details.orderBy("case_id").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/details")
+    timed = measured.withColumn("retrieve_ok", F.lit(True))
+    both = retrieval_summary(timed).select(F.struct("*").alias("retrieval")).crossJoin(answer_summary(judged).select(F.struct("*").alias("answers")))  # a row each
+    summary = both.select(F.lit(k).alias("k"), "retrieval", "answers")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return summary

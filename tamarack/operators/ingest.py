@@ -28,9 +28,15 @@ def parser_of(path: Column) -> Column:
     return out
 
 
+def required_parser(path: Column) -> Column:
+    """Parser name by suffix; a file that none takes is an error."""
+    return F.coalesce(parser_of(path), F.raise_error(F.concat(F.lit("no parser takes "), path)))
+
+
 def source_identity(path: Column, root: str) -> Column:
     """Relative path, and its first folder as the industry."""
-    relative = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    plain, base = F.replace(path, F.lit("\\"), F.lit("/")), F.lit(root.rstrip("/") + "/")
+    relative = F.when(F.startswith(plain, base), F.substring(plain, F.length(base) + 1, F.length(plain))).otherwise(plain)
     folder = F.when(F.contains(relative, F.lit("/")), F.split_part(relative, F.lit("/"), F.lit(1)))
     return F.struct(relative.alias("source_file"), folder.alias("industry"))
 

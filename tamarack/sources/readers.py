@@ -39,16 +39,22 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table as one chunk a row: row_number (the header is row 1), content; empty rows are left out."""
-    frame = spark.read.option("encoding", "UTF-8").csv(path, header=True)
-    names = [c for c in frame.columns]
-    clean = [c.lstrip("﻿") for c in names]
-    frame = frame.toDF(*clean)
-    keyed = frame.withColumn("_at", F.monotonically_increasing_id())
-    order = Window.orderBy("_at")  # one table file's rows
-    rows = keyed.withColumn("row_number", F.row_number().over(order) + 1)
-    return rows.select("row_number", row_text(clean).alias("content")).where("content <> ''")
+def read_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """CSV tables as one chunk a row: row_number within its file (the header is row 1), content, path; empty rows are left out.
+
+    Rows are numbered within their split and moved by the counts of the splits
+    before it, so a large file is many tasks' work. `lines` lets cells hold line ends; a file is then one split.
+    """
+    frame = spark.read.option("encoding", "UTF-8").option("multiLine", lines).csv(path, header=True)
+    clean = [c.lstrip("﻿") for c in frame.columns]
+    named = frame.select(*(F.col(f"`{old}`").alias(f"c{k}") for k, old in enumerate(frame.columns)), "_metadata.file_path", "_metadata.file_block_start")
+    rows = named.select("file_path", "file_block_start", F.monotonically_increasing_id().alias("at"), row_text([f"c{k}" for k in range(len(clean))], clean).alias("content"))
+    within = F.row_number().over(Window.partitionBy("file_path", "file_block_start").orderBy("at"))
+    splits = rows.groupBy("file_path", "file_block_start").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file_path", "file_block_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("within", within).join(splits, ["file_path", "file_block_start"])
+    return numbered.select((F.col("before") + F.col("within") + 1).alias("row_number"), "content", F.col("file_path").alias("path")).where("content <> ''")
 
 
 def sheets(spark: SparkSession, paths: str, parse: Callable[[bytes], dict[str, pd.DataFrame]]) -> DataFrame:
@@ -131,9 +137,9 @@ def page_bounds(limit, offset):
 
 
 class PagedChunks(DataSource):
-    """A remote chunk listing read page by page, one partition a page range.
+    """A remote chunk listing read page by page, one partition a page; the last one reads on until a page is short.
 
-    Options: fetch (module:function of (offset, limit) -> list of JSON objects), total, page.
+    Options: fetch (module:function of (offset, limit) -> list of JSON objects), total (rows that are known of, 0 by default), page.
     """
 
     @classmethod
@@ -149,17 +155,23 @@ class PagedChunks(DataSource):
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.fetch, self.total, self.page = options["fetch"], int(options["total"]), int(options.get("page", "100"))
+        self.fetch, self.total, self.page = options["fetch"], int(options.get("total", "0")), int(options.get("page", "100"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in range(0, self.total, self.page)]
+        return [InputPartition(at) for at in range(0, self.total + 1, self.page)]
 
     def read(self, partition):
         import importlib
 
         module, function = self.fetch.split(":")
-        for row in getattr(importlib.import_module(module), function)(partition.value, self.page):
-            yield row.get("chunk_id"), row.get("content"), json.dumps(row.get("metadata") or {}, ensure_ascii=False)
+        fetch, at = getattr(importlib.import_module(module), function), partition.value
+        while True:
+            rows = fetch(at, self.page)
+            for row in rows:
+                yield row.get("chunk_id"), row.get("content"), json.dumps(row.get("metadata") or {}, ensure_ascii=False)
+            at += self.page
+            if at <= self.total or len(rows) < self.page:
+                return
 
 
 def supported(path: str) -> bool:

@@ -52,9 +52,15 @@ def admitted(requests: DataFrame, budget: float, at: str = "ts") -> DataFrame:
     )
 
 
-def new_files(files: DataFrame) -> DataFrame:
-    """A file stream without (path, hash) pairs that were seen before."""
-    return files.dropDuplicates(["path", "hash"])
+def new_files(files: DataFrame, late: str | None = None, at: str = "seen_at") -> DataFrame:
+    """A file stream without (path, hash) pairs that were seen before.
+
+    With `late`, pairs are remembered until the watermark on `at` has passed
+    them by that time, so state shrinks again; without it they are kept for good, a row for each version of a file.
+    """
+    if late is None:
+        return files.dropDuplicates(["path", "hash"])
+    return files.withWatermark(at, late).dropDuplicatesWithinWatermark(["path", "hash"])
 
 
 def commit_batches(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
