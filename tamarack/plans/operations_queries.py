@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from tamarack.operators import cache, conversation, ingest, metering
@@ -309,7 +311,7 @@ def _entries(spark, sf_dir):
 def cache_exact(spark, sf_dir):
     """The same documents in upper case, padded, against live entries an hour after the first."""
     live = cache.alive(_entries(spark, sf_dir), F.to_timestamp(F.lit("2024-01-01 00:10:00")))
-    asked = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), F.concat(F.lit(" "), F.upper("text"), F.lit(" ")).alias("query"))
+    asked = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("query_id"), F.concat(F.lit(" "), F.translate("text", ascii_lowercase, ascii_uppercase), F.lit(" ")).alias("query"))
     return cache.exact(asked, live).select("query_id", "doc_id")
 
 
@@ -441,7 +443,7 @@ ORACLES = {
     "server_events": "SELECT conv_id AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS event_no, role AS event, turn || chr(10) || 'x' AS data FROM conversations",
     "line_audit": "SELECT count_if(event_id % 5 <> 3) AS lines, count_if(event_id % 5 = 0) AS objects, count_if(event_id % 5 IN (1, 4)) AS not_objects, count_if(event_id % 5 = 2) AS invalid FROM events",
     "cache_exact": """WITH e AS (SELECT doc_id, trim(lower(text), '@BLANK@') AS k FROM documents WHERE TIMESTAMP '2024-01-01' + to_seconds(doc_id + CASE WHEN n_chars % 3 = 0 THEN 300 ELSE 3600 END) > TIMESTAMP '2024-01-01 00:10:00')
-      SELECT d.doc_id AS query_id, e.doc_id FROM documents d JOIN e ON trim(lower(upper(text)), '@BLANK@') = k WHERE lang = 'en'""",
+      SELECT d.doc_id AS query_id, e.doc_id FROM documents d JOIN e ON trim(lower(text), '@BLANK@') = k WHERE lang = 'en'""",
     "cache_semantic": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE + 0.01) AS e FROM embeddings WHERE vec_id % 100 = 0),
       s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS raw FROM q, v)
       SELECT query_id, vec_id, round(raw, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) = 1 AND raw >= 0.9""",
