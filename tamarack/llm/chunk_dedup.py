@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import materialize
 
 #: One byte in RATE is a cut before the least distance; runs over MOST bytes are cut anyway.
-RATE, LEAST, MOST = 16, 8, 256
-#: Words that a shared passage has at least, some forty tokens.
-PASSAGE_WORDS = 24
+RATE, LEAST, MOST = 20, 10, 256
+#: Words that a shared passage has at least, some thirty tokens.
+PASSAGE_WORDS = 20
 _GEAR = np.random.default_rng(20_240_101).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,7 +76,8 @@ def windows(raw: bytes, least_words: int) -> tuple[np.ndarray, ...] | None:
     return begin, end, letters[begin], letters[end] - letters[begin], words[begin], words[end] - words[begin]
 
 
-_PLACE = ["start", "size", "first_word", "n_words"]
+#: Place of a window in two numbers, for narrow shuffles: start and first word, size and number of words.
+_PLACE = ["start_word", "size_words"]
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
@@ -113,7 +114,8 @@ def window_table(docs: DataFrame, strong: bool, least_words: int = PASSAGE_WORDS
                     continue
                 if strong:
                     columns = [part.column(0).take(pa.array(own[0])), pa.array(own[1][::2]), pa.array(own[1][1::2])]
-                    columns += [pa.array(np.concatenate(c), pa.int32()) for c in zip(*own[2])]
+                    start_of, size, word, n = (np.concatenate(c) for c in zip(*own[2]))
+                    columns += [pa.array((start_of << 32) + word), pa.array((size << 32) + n)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "h2", *_PLACE])
                 else:
                     rows.append(own[0] + start)
@@ -125,7 +127,7 @@ def window_table(docs: DataFrame, strong: bool, least_words: int = PASSAGE_WORDS
                 kept = np.unique(np.concatenate([order[np.append(0, turns + 1)], order[np.append(turns, len(order) - 1)]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[kept])), pa.array(hashes[kept])], ["doc_id", "h"])
 
-    more = ", h2 bigint" + "".join(f", {c} int" for c in _PLACE) if strong else ""
+    more = ", h2 bigint" + "".join(f", {c} bigint" for c in _PLACE) if strong else ""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, h bigint{more}")
 
 
@@ -187,7 +189,7 @@ class _Sweep:
 
 
 def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
-    met = shared_windows(docs, least_words).repartition("doc_id").sortWithinPartitions("doc_id", "start", "size")
+    met = shared_windows(docs, least_words).repartition("doc_id").sortWithinPartitions("doc_id", *_PLACE)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "end", "n_words", "n_windows", "first_doc_id", "passage_digest"]
 
@@ -202,14 +204,15 @@ def _swept(docs: DataFrame, least_words: int, whole: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         for batch in batches:
-            kinds = (batch.column(0).type, batch.column(7).type)
+            kinds = (batch.column(0).type, batch.column(5).type)
             halves = np.stack([np.asarray(batch.column(k)) for k in (1, 2)], axis=1).astype("<i8")
-            for row, (own, _, _, at, size, word, n, owner) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            for row, (own, _, _, place, extent, owner) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 if own != doc:
                     state.upto(doc, None)
                     doc = own
-                state.upto(doc, (at, word))
-                state.add(owner, (at, word), (at + size, word + n), halves[row].tobytes())
+                begin, end = place, place + extent
+                state.upto(doc, divmod(begin, 1 << 32))
+                state.add(owner, divmod(begin, 1 << 32), divmod(end, 1 << 32), halves[row].tobytes())
             if state.out:
                 yield given()
         state.upto(doc, None)
