@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tamarack.llm import (
     chunk_dedup,
+    conversation_trie,
     decontam,
     embedding_dedup,
     mixing,
@@ -112,6 +113,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("digest")
+
+
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT body, min(page_id) AS first_id FROM p GROUP BY body)
@@ -171,6 +176,27 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN hit USING (rid) LEFT JOIN owned USING (rid)
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS body
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+turns AS (
+  SELECT crc.c, t.pos, t.role, t.body FROM crc JOIN t ON t.c = crc.c - crc.c % 5 AND t.pos <= h
+  UNION ALL SELECT crc.c, t.pos, t.role, t.body FROM crc JOIN t ON t.c = crc.c AND t.pos > h),
+numbered AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, sha256(strlen(role) || ':' || role || body) AS step, strlen(body) AS bytes FROM turns),
+steps AS (SELECT c, d, string_agg(step, '') OVER (PARTITION BY c ORDER BY d) AS path, bytes FROM numbered UNION ALL SELECT c, 0, '', 0 FROM crc),
+nodes AS (SELECT path, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, min(bytes) AS bytes FROM steps GROUP BY path),
+named AS (SELECT n.*, CASE WHEN n.depth > 0 THEN substr(n.path, 1, 64 * (n.depth - 1)) END AS parent FROM nodes n),
+kids AS (SELECT parent AS path, count(*) AS n_children FROM named WHERE parent IS NOT NULL GROUP BY parent),
+whole AS (SELECT named.*, coalesce(n_children, 0) AS n_children FROM named LEFT JOIN kids USING (path)),
+sums AS (SELECT up AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM (SELECT substr(path, 1, 64 * unnest(range(0, depth + 1))) AS up, n_children, n_convs, bytes FROM whole) GROUP BY up),
+ends AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM steps JOIN (SELECT c, max(d) AS d FROM steps GROUP BY c) USING (c, d) GROUP BY path)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM whole w JOIN sums s USING (path) LEFT JOIN ends e USING (path) LEFT JOIN nodes p ON p.path = w.parent
+"""
+
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
@@ -182,7 +208,8 @@ QUERIES = {
     "op8_cap_filters": op8_cap_filters,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op9_decontaminate": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_prefix_trie": OP11_SQL}
