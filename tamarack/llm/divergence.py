@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language diverge in their words.
 
 Terms are encoded as integers throughout: a slice of texts counts its words with
-one bincount for each group over a sorted dictionary, and each language's kept
+one bincount for each group over the slice's own dictionary, and each language's kept
 terms form one sorted dictionary that is cut into chunks. In a chunk, ids come by
 searchsorted, and every group is a dense vector of counts. Ids are in the order
 of the terms' UTF-8 bytes, so a stable sort by value breaks ties rightly. Chunks
@@ -27,23 +27,35 @@ from tamarack.llm.common import drop_tables, materialize
 LEAST_DOCS, TERM_RANKS = 10, 10
 UNIT = 1_000_000_000
 #: Bytes of text counted at a time; rows that a task combines before it hands them on; terms, entries and bytes of terms of a chunk; cells of a dense block.
-SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 8_000_000, 1_000_000, 4_096, 1 << 18, 1 << 22, 1 << 20
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 2_000_000, 500_000, 4_096, 1 << 18, 1 << 22, 1 << 20
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("df", pa.int64())])
 
 
-def _slice_counts(langs: list[str], sources: list[str], texts: list[bytes]) -> list[pa.RecordBatch]:
+def _words(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All words of the texts in order, A-Z lower-cased, and the number of the first word of each text (and of the end)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[0] == offsets[-1]:
+        return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
+    folded = _FOLD[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    inside = folded != 32
+    goes_on = np.concatenate([[False], inside[:-1]])
+    begins = offsets - offsets[0]
+    goes_on[begins[begins < len(folded)]] = False
+    starts = np.flatnonzero(inside & ~goes_on)
+    upto = np.cumsum(inside, dtype=np.int32)
+    cuts = np.append(upto[starts] - 1, upto[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(folded[inside])])
+    return words, np.searchsorted(starts, begins)
+
+
+def _slice_counts(langs: list[str], sources: list[str], texts: pa.BinaryArray) -> list[pa.RecordBatch]:
     """Counts of one slice of documents, a batch for each group."""
-    words = [text.translate(_FOLD).split() for text in texts]
-    at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    if not at[-1]:
+    words, at = _words(texts)
+    if not len(words):
         return []
-    coded = pa.array([w for found in words for w in found], pa.binary()).dictionary_encode()
-    order = pc.array_sort_indices(coded.dictionary)
-    terms, k = coded.dictionary.take(order), len(order)
-    place = np.empty(k, np.int64)
-    place[order.to_numpy()] = np.arange(k)
-    ids = place[coded.indices.to_numpy()]
+    coded = words.dictionary_encode()
+    terms, k, ids = coded.dictionary, len(coded.dictionary), coded.indices.to_numpy()
     groups: dict[tuple[str, str], list[int]] = {}
     for i, key in enumerate(zip(langs, sources)):
         groups.setdefault(key, []).append(i)
@@ -69,21 +81,22 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            langs, sources, texts = (batch.column(k).to_pylist() for k in range(3))
-            begin = size = 0
-            for i, text in enumerate([*texts, None]):
-                if text is None or size + len(text) > SLICE_BYTES and i > begin:
-                    new = _slice_counts(langs[begin:i], sources[begin:i], texts[begin:i])
-                    held += new
-                    rows += sum(x.num_rows for x in new)
-                    begin, size = i, 0
-                    if rows >= COMBINED_ROWS:
-                        whole = _combined(held)
-                        held, rows = whole.to_batches(), whole.num_rows
-                        if rows >= COMBINED_ROWS // 2:
-                            yield from whole.to_batches(max_chunksize=50_000)
-                            held, rows = [], 0
-                size += len(text or b"")
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            begin = 0
+            while begin < len(langs):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+                new = _slice_counts(langs[begin:end], sources[begin:end], texts.slice(begin, end - begin))
+                begin = end
+                held += new
+                rows += sum(x.num_rows for x in new)
+                if rows >= COMBINED_ROWS:
+                    held = _combined(held).to_batches()
+                    rows = sum(x.num_rows for x in held)
+                    if rows >= COMBINED_ROWS // 2:
+                        yield from pa.Table.from_batches(held, _COUNTS).to_batches(max_chunksize=50_000)
+                        held, rows = [], 0
         if held:
             yield from _combined(held).to_batches(max_chunksize=50_000)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tamarack.llm import divergence, queries
 from tests import oracle
@@ -65,14 +66,14 @@ def test_the_audit_is_the_plain_one(spark, tmp_path):
 
 
 def test_slices_and_combined_rows_change_nothing():
-    import pyarrow as pa
-
-    texts = [b"a b a", b"", b"B c", b"a"]
+    texts = pa.array([b"a b a", b"", b"B c", b"a"])
     whole = divergence._combined(divergence._slice_counts(["l"] * 4, ["s", "s", "t", "t"], texts)).sort_by([("source", "ascending"), ("term", "ascending")])
-    parts = [b for k in range(4) for b in divergence._slice_counts(["l"], [["s", "s", "t", "t"][k]], texts[k : k + 1])]
+    parts = [b for k in range(4) for b in divergence._slice_counts(["l"], [["s", "s", "t", "t"][k]], texts.slice(k, 1))]
     assert divergence._combined(parts).sort_by([("source", "ascending"), ("term", "ascending")]).equals(whole)
     assert whole.to_pylist()[0] == {"lang": "l", "source": "s", "term": b"a", "n": 2, "df": 1}
-    assert divergence._combined([]).num_rows == 0 and isinstance(whole, pa.Table)
+    assert divergence._combined([]).num_rows == 0
+    words, at = divergence._words(pa.array([b"", b"ab", b"Cd 1e", b"", b"'"]))
+    assert words.to_pylist() == [b"ab", b"cd", b"e"] and at.tolist() == [0, 0, 1, 3, 3, 3]
 
 
 def test_dense_blocks_of_any_width_give_the_same_scores():
