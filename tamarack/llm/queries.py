@@ -14,6 +14,7 @@ from tamarack.llm import (
     embedding_dedup,
     mixing,
     quality,
+    quality_rules,
     secret_scan,
     simhash,
     token_counts,
@@ -122,6 +123,10 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_lines")
+
+
 OP2_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT body, min(page_id) AS first_id FROM p GROUP BY body)
@@ -223,6 +228,36 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+wins AS (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS times FROM wins) WHERE times > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM again) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, stratum, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM d LEFT JOIN covered c USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+grid AS (SELECT 'symbols' AS rule, unnest([2.0, 1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05, 0.03])::DOUBLE AS cutoff
+  UNION ALL SELECT 'lines', unnest([0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05])::DOUBLE
+  UNION ALL SELECT 'repeats', unnest([0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05])::DOUBLE
+  UNION ALL SELECT 'long_words', unnest([40.0, 25.0, 18.0, 14.0, 12.0, 10.0, 9.0, 8.0, 7.0])::DOUBLE
+  UNION ALL SELECT 'short_words', unnest([0.75, 0.5, 0.4, 0.35, 0.3, 0.27, 0.25])::DOUBLE),
+long AS (SELECT rid, stratum, text, doc_id, base_failed, unnest(['symbols', 'lines', 'repeats', 'long_words', 'short_words']) AS rule,
+    unnest([n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0), word_chars / nullif(n_words, 0), n_words / nullif(word_chars, 0)]) AS value FROM b),
+once AS (SELECT stratum, text, rule, any_value(value) AS value, min(quality) AS quality FROM long JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY stratum, text, rule),
+tests AS (SELECT stratum, once.rule, cutoff, sum(quality)::BIGINT AS n, sum(CASE WHEN value > cutoff THEN quality ELSE 0 END)::BIGINT AS k, sum(CASE WHEN value > cutoff THEN 1 - quality ELSE 0 END) AS caught
+  FROM once JOIN grid ON once.rule = grid.rule GROUP BY ALL),
+tails AS (SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN i = n THEN 0 ELSE lgamma(n - i + 1) END + i * ln(0.002) + (n - i) * ln(0.998))) AS p
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tests WHERE k < n * 0.002) GROUP BY ALL),
+held AS (SELECT tests.*, bool_and(coalesce(p <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM once)), false)) OVER (PARTITION BY tests.stratum, tests.rule ORDER BY tests.cutoff DESC) AS holds
+  FROM tests LEFT JOIN tails ON tails.stratum = tests.stratum AND tails.rule = tests.rule AND tails.cutoff = tests.cutoff),
+chosen AS (SELECT stratum, rule, arg_max(cutoff, (caught, cutoff)) AS cutoff FROM held WHERE holds AND caught > 0 GROUP BY stratum, rule),
+bad AS (SELECT DISTINCT rid FROM long JOIN chosen USING (stratum, rule) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM b LEFT JOIN bad USING (rid)
+"""
+
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
@@ -236,7 +271,8 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_source_audit": op12_source_audit,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_source_audit": OP12_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_quality_rules": OP13_SQL}
