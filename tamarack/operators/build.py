@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip
 from tamarack.operators.ingest import SUFFIXES, changed_files, page_limit, split_pieces
-from tamarack.session import written
+from tamarack.session import discard, written
 from tamarack.sources.readers import discover
 from tamarack.sources.writers import ChunkStore, Manifest
 
@@ -42,7 +42,7 @@ PARSERS: dict[str, Parser] = {"basic": parse_basic, "table": parse_table}
 def parse_files(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
     """Changed files with content -> path, hash, source_file, industry, seq, content, page, error, seconds; a file without chunks has one row of seq -1.
 
-    A parser that is missing or fails costs its file only. One file is in memory at a time.
+    A parser that is missing or fails costs its file only. A batch of files is in memory at a time, at most what Arrow's batch limits let through.
     """
     kinds = "path string, hash string, source_file string, industry string, seq bigint, content string, page int, error string, seconds double"
     names = [k.split()[0] for k in kinds.split(", ")]
@@ -73,40 +73,62 @@ def ingest(
 
     Files whose (path, hash) the manifest has are left alone; `pages` (path,
     pages) lets files over the limit be skipped. Changed files replace their old
-    chunks. The store is written before the manifest, so a run that dies is repeated, not lost.
+    chunks, and a file that now gives none, or that is gone (or empty) while the
+    folder is there, loses them. The store is written before the manifest, so a run that dies is repeated, not lost.
+    A store placed by path (:func:`chunk_store`) rewrites the changed files' buckets alone.
     """
-    counts = dict.fromkeys(("files_discovered", "files_selected", "files_processed", "files_skipped", "chunks_written"), 0)
+    counts = dict.fromkeys(("files_discovered", "files_selected", "files_processed", "files_skipped", "files_removed", "chunks_written"), 0)
     try:
         files = written(discover(spark, root), "files")
     except AnalysisException:
         return {"status": "missing_data_dir", **counts, "skipped_files": []}
-    counts["files_discovered"] = files.count()
+    scratch = [files]
+    try:
+        known = files.join(pages.select("path", "pages"), "path", "left") if pages is not None else files.withColumn("pages", F.lit(None).cast("int"))
+        fitting, over = page_limit(known, most_pages)
+        skipped = [r.asDict() for r in over.select("source_file", "pages", "reason").orderBy("source_file").limit(1_000).collect()]
+        done = manifest.read()
+        changed = written(changed_files(fitting, done), "changed")
+        gone = written(done.where(F.startswith("path", F.lit(root.rstrip("/") + "/"))).join(files, "path", "left_anti").select("path"), "gone")
+        scratch += [changed, gone]
+        counts |= {"files_discovered": files.count(), "files_selected": changed.count(), "files_skipped": over.count() if skipped else 0, "files_removed": gone.count()}
+        rows = written(parse_files(with_content(spark, changed, root, counts["files_selected"]), PARSERS | (parsers or {})), "parsed")
+        scratch.append(rows)
+        failed = rows.where("error is not null").select("path", "error").distinct()
+        if fail_fast and (first := failed.orderBy("path").first()):
+            raise RuntimeError(f"{first.path}: {first.error}")
+        chunks = rows.where("seq >= 0").select(
+            F.concat("source_file", F.lit("::"), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("chunk_id"), "content", "source_file", "industry", "page", "path", "seq"
+        )
+        counts |= {"files_processed": counts["files_selected"], "chunks_written": chunks.count()}
+        finished = rows.where("error is null").select("path", "hash").distinct()
+        if finished.limit(1).count() or counts["files_removed"]:
+            store.upsert(chunks, "chunk_id", drop=("path", finished.select("path").unionByName(gone)))
+            manifest.replace(finished, gone)
+    finally:
+        discard(scratch)
+    # The states of a run.
     if not counts["files_discovered"]:
-        return {"status": "no_supported_files", **counts, "skipped_files": []}
-    known = files.join(pages.select("path", "pages"), "path", "left") if pages is not None else files.withColumn("pages", F.lit(None).cast("int"))
-    fitting, over = page_limit(known, most_pages)
-    skipped = [r.asDict() for r in over.select("source_file", "pages", "reason").orderBy("source_file").limit(1_000).collect()]
-    counts["files_skipped"] = over.count() if skipped else 0
-    changed = written(changed_files(fitting, manifest.read()), "changed")
-    counts["files_selected"] = changed.count()
-    if not counts["files_selected"]:
+        status = "no_supported_files"
+    elif not counts["files_selected"]:
         status = "no_eligible_files" if counts["files_skipped"] == counts["files_discovered"] else "up_to_date"
-        return {"status": status, **counts, "skipped_files": skipped}
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    rows = written(parse_files(changed.join(content, "path"), PARSERS | (parsers or {})), "parsed")
-    failed = rows.where("error is not null").select("path", "error").distinct()
-    if fail_fast and (first := failed.orderBy("path").first()):
-        raise RuntimeError(f"{first.path}: {first.error}")
-    chunks = rows.where("seq >= 0").select(
-        F.concat("source_file", F.lit("::"), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("chunk_id"), "content", "source_file", "industry", "page", "path", "seq"
-    )
-    counts["files_processed"] = counts["files_selected"]
-    counts["chunks_written"] = chunks.count()
-    if not counts["chunks_written"]:
-        return {"status": "no_content", **counts, "skipped_files": skipped}
-    store.upsert(chunks, "chunk_id", drop=("path", rows.where("seq >= 0").select("path").distinct()))
-    manifest.replace(rows.where("error is null").select("path", "hash").distinct())
-    return {"status": "completed", **counts, "skipped_files": skipped}
+    else:
+        status = "completed" if counts["chunks_written"] else "no_content"
+    return {"status": status, **counts, "skipped_files": skipped}
+
+
+def chunk_store(spark: SparkSession, path: str) -> ChunkStore:
+    """A store for :func:`ingest`, placed by path."""
+    return ChunkStore(spark, path, STORE, place="path")
+
+
+def with_content(spark: SparkSession, changed: DataFrame, root: str, count: int, names: int = 10_000) -> DataFrame:
+    """Changed files with their bytes. Up to `names` files are opened by name and no other is; beyond it the folder is read and joined."""
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not count:
+        return changed.withColumn("content", F.lit(None).cast("binary"))
+    read = content.load([r.path for r in changed.select("path").collect()]) if count <= names else content.load(root)
+    return changed.join(read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"), "path")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip, tokens, trim_after
 from tamarack.session import written
+from tamarack.sources.commits import CommitLog, StaleWrite
 
 #: A text column to its list of terms, such as `tokens` or `search_tokens`.
 Tokenizer = Callable[[Column], Column]
@@ -122,11 +124,12 @@ def overlap_topk(queries: DataFrame, posts: DataFrame, k: int, query: tuple[str,
 
 
 class LexicalIndex:
-    """Postings and corpus statistics on disk, one folder for each fingerprint of corpus version and tokenizer.
+    """Postings and corpus statistics on disk, for each fingerprint of corpus version and tokenizer.
 
     A reader pins the fingerprint it asks for; an index of another version is no
-    match and is built anew. Postings are clustered by term, so that a query reads
-    the row groups of its own terms.
+    match and is built anew. A build is saved as the next generation after the one it
+    began with: if the index was cleared meanwhile, the save is refused. Postings
+    are clustered by term, so that a query reads the row groups of its own terms.
     """
 
     TOKENIZER = "lower;[\\p{L}\\p{N}]+;1"
@@ -135,21 +138,39 @@ class LexicalIndex:
         self.spark, self.tokenizer = spark, tokenizer
         self.fingerprint = hashlib.sha256(f"{version}\n{tokenizer_version}".encode()).hexdigest()[:16]
         self.path = f"{path}/{self.fingerprint}"
+        self.log = CommitLog(spark, f"{self.path}/log")
+
+    def _folder(self) -> str | None:
+        return self.log.read(self.log.latest()).get("folder")
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/statistics/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self._folder() is not None
+
+    def clear(self) -> int:
+        """A new generation without an index; builds that are under way are refused."""
+        while True:
+            number = self.log.latest() + 1
+            if self.log.commit(number, {"folder": None}):
+                return number
 
     def build(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        """Postings first, statistics last: an index is whole once these are there."""
+        """Build and save; another's index of the same generation serves as well."""
+        generation = self.log.latest()
         if self.exists():
             return
         posts, statistics = query_postings(docs, docs, doc=(key, text), tokenizer=self.tokenizer, whole=True)
-        posts.repartition("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{self.path}/postings")
-        statistics.write.mode("overwrite").parquet(f"{self.path}/statistics")
+        folder = uuid.uuid4().hex
+        posts.repartition("term").sortWithinPartitions("term", "doc").write.parquet(f"{self.path}/{folder}/postings")
+        statistics.write.parquet(f"{self.path}/{folder}/statistics")
+        if not self.log.commit(generation + 1, {"folder": folder}):
+            path, files = self.log.fs(f"{self.path}/{folder}")
+            files.delete(path, True)
+            if not self.exists():
+                raise StaleWrite(f"the index of generation {generation} was cleared while it was built")
 
     def topk(self, queries: DataFrame, k: int, **options) -> DataFrame:
-        return score_postings(queries, self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/statistics"), k, tokenizer=self.tokenizer, **options)
+        at = f"{self.path}/{self._folder()}"
+        return score_postings(queries, self.spark.read.parquet(f"{at}/postings"), self.spark.read.parquet(f"{at}/statistics"), k, tokenizer=self.tokenizer, **options)
 
 
 def ranked(scored: DataFrame, k: int, query: str = "query_id", ties: str = "doc_id") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import query_hash
 from tamarack.operators import cache, retrieval
+from tamarack.operators import query_cache as cached
+from tamarack.operators.query_cache import Embedder, QueryCache
 from tamarack.session import written
 
 #: (query_id, query) to query_id, chunk_id, rank.
@@ -24,7 +26,8 @@ CANDIDATES, RERANKED = 12, 5
 class Found:
     results: DataFrame  # query_id, rank, chunk_id, source_file, content
     trace: DataFrame  # query_id, stage, cache_hit, candidates, reranked, returned, top_score, degraded
-    entries: DataFrame  # cache entries to add: query_hash, query, chunk_ids, top_score, inserted_at, expires_at
+    entries: DataFrame  # cache entries to add, in the columns of a QueryCache
+    hits: DataFrame  # query_id, tier (exact or semantic), entry (its query_hash), similarity
 
 
 def _lists(asked: DataFrame, sources: dict[str, Source]) -> tuple[DataFrame, list[str]]:
@@ -48,21 +51,25 @@ def _lists(asked: DataFrame, sources: dict[str, Source]) -> tuple[DataFrame, lis
 
 def search(
     requests: DataFrame, chunks: DataFrame, sources: dict[str, Source], score: Callable[[pd.Series, pd.Series], pd.Series], k: int = 10, entries: DataFrame | None = None,
-    now: str = "1970-01-01 00:00:00", threshold: float = 0.1, content_limit: int = 800,
+    now: str = "1970-01-01 00:00:00", threshold: float = 0.1, content_limit: int = 800, store: QueryCache | None = None, embed: Embedder | None = None,
 ) -> Found:
     """requests (query_id, query, top_k, mode, filters map<string,string>), chunks (chunk_id, content, source_file, meta map<string,string>).
 
     `sources` are named as the modes are; hybrid fuses all of them, 2k a query,
     and goes on with those that work. Filters apply after the fusion, so rows
-    beyond it never move up. Live cache `entries` answer hybrid queries without filters.
+    beyond it never move up. Live cache `entries`, or those of the persisted cache `store`, answer
+    hybrid queries without filters: by hash first, then, with `embed`, the rest by the nearest
+    vector at the cache's threshold. New answers are put into `store`. An embedder that fails costs the nearest lookup only.
     """
     plain = requests if "filters" in requests.columns else requests.withColumn("filters", F.lit(None).cast("map<string,string>"))
     asked = written(retrieval.requests(plain).withColumn("cacheable", (F.col("mode") == "hybrid") & F.col("filters").isNull()).withColumn("query_hash", query_hash(F.col("query"))), "requests")
-    kinds = "query_hash string, query string, chunk_ids array<string>, top_score double, inserted_at timestamp, expires_at timestamp"
     at = F.to_timestamp(F.lit(now))
-    held = requests.sparkSession.createDataFrame([], kinds) if entries is None else cache.alive(entries, at)
-    hits = asked.where("cacheable").join(held.select("query_hash", "chunk_ids", F.col("top_score").alias("held_score")), "query_hash")
-    hits = written(hits.select("query_id", "top_k", "chunk_ids", "held_score"), "cache-hits")
+    spark = requests.sparkSession
+    held = store.live(at) if store else cached.complete(entries if entries is not None else spark.createDataFrame([], cached.SCHEMA)).where(F.col("expires_at") > at)
+    held = written(held, "cache-entries")
+    vectors = cached.embedded(asked.where("cacheable").select("query_id", "query"), embed)
+    hits = written(cached.lookup(asked.where("cacheable"), held, vectors, store.threshold if store else cached.THRESHOLD), "cache-hits")
+    hits = hits.join(asked.select("query_id", "top_k"), "query_id").withColumnRenamed("top_score", "held_score")
     opened = asked.join(hits.select("query_id"), "query_id", "left_anti")
 
     lists, degraded = _lists(opened, sources)
@@ -99,12 +106,18 @@ def search(
     n = F.coalesce(F.size("kept"), F.lit(0))
     ids = F.coalesce(F.transform("kept", lambda x: x["key"].cast("string")), F.array().cast("array<string>"))
     expiry = at + F.make_interval(secs=cache.lifetime(F.greatest(n, F.lit(0))).cast("decimal(18,6)"))
-    added = added.where(cache.admission(F.greatest(n, F.lit(0)), F.col("top")) != "none")
+    admitted = cache.admission(F.greatest(n, F.lit(0)), F.col("top"))
+    added = added.where(admitted != "none").join(vectors, "query_id", "left").withColumn("vector", F.when(admitted == "both", F.col("embedding")))
+    added = added.select("query_hash", "query", "vector", ids.alias("chunk_ids"), F.col("top").alias("top_score"), at.alias("inserted_at"), expiry.alias("expires_at"))
+    if store:
+        added = written(added, "cache-added")
+        store.put(added, now)
     return Found(
         results,
         trace.select(
             "query_id", "stage", F.col("hit").alias("cache_hit"), zero(F.col("candidates")).alias("candidates"), zero(F.col("reranked")).alias("reranked"),
             zero(F.col("returned")).alias("returned"), F.round("top", 6).alias("top_score"), F.lit(",".join(degraded)).alias("degraded"),
         ),
-        added.select("query_hash", "query", ids.alias("chunk_ids"), F.col("top").alias("top_score"), at.alias("inserted_at"), expiry.alias("expires_at")),
+        added,
+        hits.select("query_id", "tier", "entry", "similarity"),
     )

@@ -40,7 +40,19 @@ def written(rows: DataFrame, tag: str) -> DataFrame:
     """`rows` as a table in the shared folder, which cuts their lineage."""
     path = f"{checkpoint_folder(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table.__dict__["_written"] = path
+    return table
+
+
+def discard(frames: list[DataFrame]) -> None:
+    """Delete tables of :func:`written` that nothing reads any more; other frames are left alone."""
+    for frame in frames:
+        name = frame.__dict__.pop("_written", None)
+        if name:
+            spark = frame.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

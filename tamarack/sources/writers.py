@@ -2,100 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import trim_after
 from tamarack.operators.dataset import balanced_subset, manifest
 from tamarack.operators.ingest import upsert
-from tamarack.session import written
+from tamarack.session import discard, written
+from tamarack.sources.commits import CommitLog, StaleWrite
 
 
-#: Buckets of a chunk store, by the hash of the key; an upsert writes those that it touches.
+#: Buckets of a chunk store, by the hash of the column that places rows; an upsert writes those that it touches.
 BUCKETS = 64
+#: Times that a write merges anew because another writer changed the same buckets.
+ATTEMPTS = 20
 
 
 class ChunkStore:
-    """Versioned chunk table in buckets of keys.
-
-    Each write makes a new version folder, which holds the buckets that it
-    changed and a layout of where every bucket lies; readers pin the newest
-    version that has one. A version's number is claimed by a file that only one writer can make.
+    """Versioned chunk table in buckets, which any number of jobs may write.
+
+    A write puts the buckets that it changed into a folder of its own and then
+    commits a layout of where every bucket lies, as exactly the version after
+    the one it was based on. If another writer has that number, the layout is
+    taken anew; buckets that both changed are merged again, others are not touched.
+    Readers pin a version. `place` is the column whose hash gives a row's bucket, the
+    key by default; rows of one key must agree in it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
-
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS, place: str | None = None):
+        self.spark, self.path, self.schema, self.buckets, self.place = spark, path.rstrip("/"), schema, buckets, place
+        self.log = CommitLog(spark, f"{self.path}/log")
+        self.columns = spark.createDataFrame([], schema).columns
 
     def version(self) -> int:
-        """The newest complete version, 0 if there is none."""
-        path, files = self._fs(self.path)
-        if not files.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in files.listStatus(path)]
-        whole = [int(n[2:]) for n in names if n.startswith("v=") and files.exists(self._fs(f"{self.path}/{n}/layout/_SUCCESS")[0])]
-        return max(whole, default=0)
+        """The newest version, 0 if there is none."""
+        return self.log.latest()
+
+    def _layout(self, version: int) -> dict[int, list]:
+        """Bucket -> [folder, version that wrote it]."""
+        return {int(b): held for b, held in self.log.read(version).get("buckets", {}).items()}
 
     def layout(self, version: int) -> dict[int, int]:
-        """The version that holds each bucket."""
-        if not version:
-            return {}
-        return {r.bucket: r.held for r in self.spark.read.schema("bucket int, held int").parquet(f"{self.path}/v={version}/layout").collect()}
+        """The version that wrote each bucket."""
+        return {b: made for b, (_, made) in self._layout(version).items()}
 
-    def _buckets(self, places: dict[int, int]) -> DataFrame:
+    def _buckets(self, places: dict[int, list]) -> DataFrame:
         if not places:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/v={held}/bucket={b}" for b, held in sorted(places.items())))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{folder}/bucket={b}" for b, (folder, _) in sorted(places.items())))
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self._buckets(self.layout(self.version() if version is None else version))
+        return self._buckets(self._layout(self.version() if version is None else version))
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _claim(self) -> int:
-        """The next free number; another writer's claim is passed over."""
-        number = self.version() + 1
+    def _write(self, rows: DataFrame, key: str) -> tuple[str, list[int]]:
+        """A new folder and the buckets in it."""
+        folder = uuid.uuid4().hex
+        placed = rows.select(*self.columns).withColumn("bucket", self._bucket(self.place or key))
+        placed.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        path, files = self.log.fs(f"{self.path}/data/{folder}")
+        return folder, [int(n[7:]) for n in (s.getPath().getName() for s in files.listStatus(path)) if n.startswith("bucket=")]
+
+    def _commit(self, base: int, layout: dict[int, list]) -> bool:
+        return self.log.commit(base + 1, {"buckets": {str(b): held for b, held in sorted(layout.items())}})
+
+    def _discard(self, folder: str) -> None:
+        path, files = self.log.fs(f"{self.path}/data/{folder}")
+        files.delete(path, True)
+
+    def replace_all(self, rows: DataFrame, key: str = "chunk_id", expected: int | None = None) -> int:
+        """The whole content anew. With `expected`, a store whose newest version is another one refuses the write."""
+        folder, made = self._write(rows, key)
         while True:
-            path, files = self._fs(f"{self.path}/claims/{number}")
-            try:
-                files.create(path, False).close()
-                return number
-            except Exception as error:  # the file system says that it exists
-                if not files.exists(path):
-                    raise
-                number += 1
-
-    def _write(self, rows: DataFrame, version: int, base: dict[int, int], key: str, touched: list[int] | None = None) -> int:
-        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
-        placed.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").mode("append").parquet(f"{self.path}/v={version}")
-        path, files = self._fs(f"{self.path}/v={version}")
-        made = {int(n[7:]) for n in (s.getPath().getName() for s in files.listStatus(path)) if n.startswith("bucket=")}
-        places = {b: held for b, held in base.items() if touched is None or b not in touched} | dict.fromkeys(made, version)
-        layout = self.spark.createDataFrame(sorted(places.items()), "bucket int, held int")
-        layout.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={version}/layout")
-        return version
-
-    def replace_all(self, rows: DataFrame, key: str = "chunk_id") -> int:
-        return self._write(rows, self._claim(), {}, key)
+            base = self.version() if expected is None else expected
+            if self._commit(base, {b: [folder, base + 1] for b in made}):
+                return base + 1
+            if expected is not None:
+                self._discard(folder)
+                raise StaleWrite(f"version {expected} is no longer the newest")
 
     def upsert(self, rows: DataFrame, key: str = "chunk_id", seq: str | None = None, drop: tuple[str, DataFrame] | None = None) -> int:
         """New rows replace old ones of their key; with drop (column, values), old rows of those values go too.
 
-        Only buckets that new keys fall into are rewritten, or all with `drop`.
+        Only buckets that new rows or dropped values fall into are rewritten; values
+        of another column than the one that places rows may be anywhere, and rewrite all.
         """
-        base, version = self.layout(self.version()), self._claim()
-        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
-        touched = sorted(base) if drop else [r.bucket for r in rows.select(bucket).distinct().collect()]  # the number of buckets at most
-        old = self._buckets({b: held for b, held in base.items() if b in touched})
+        place = self.place or key
+        mine = [written(rows.select(*self.columns, *([seq] if seq and seq not in self.columns else [])), "incoming")]
+        values = None
         if drop:
-            old = old.join(drop[1].select(drop[0]), drop[0], "left_anti").select(*old.columns)
-        names = [f.name for f in old.schema]
-        return self._write(upsert(old, rows.select(*names), key, seq), version, base, key, touched)
+            values = written(drop[1].select(drop[0]).distinct(), "dropped")
+            mine.append(values)
+        hit = mine[0].select(self._bucket(place))
+        if drop and drop[0] == place:
+            hit = hit.unionByName(values.select(self._bucket(place)))
+        touched = {r.bucket for r in hit.distinct().collect()}  # the number of buckets at most
+        try:
+            for _ in range(ATTEMPTS):
+                base = self.version()
+                layout = self._layout(base)
+                if drop and drop[0] != place:
+                    touched |= set(layout)
+                old = self._buckets({b: held for b, held in layout.items() if b in touched})
+                if drop:
+                    old = old.join(values, drop[0], "left_anti").select(*self.columns)
+                folder, made = self._write(upsert(old, mine[0], key, seq), key)
+                while True:
+                    kept = {b: held for b, held in layout.items() if b not in touched}
+                    if self._commit(base, kept | {b: [folder, base + 1] for b in made}):
+                        return base + 1
+                    base = self.version()
+                    now = self._layout(base)
+                    if any(now.get(b) != layout.get(b) for b in touched) or drop and drop[0] != place and set(now) != set(layout):
+                        break
+                    layout = now
+                self._discard(folder)
+        finally:
+            discard(mine)
+        raise StaleWrite(f"other writers changed the same buckets {ATTEMPTS} times")
+
+    def vacuum(self, keep: int = 1, seconds: int = 3_600) -> int:
+        """Delete folders that the newest `keep` versions don't use and that are older than `seconds`; how many went.
+
+        Younger folders may belong to a write that is not committed yet.
+        """
+        newest = self.version()
+        used = {folder for v in range(max(1, newest - keep + 1), newest + 1) for folder, _ in self._layout(v).values()}
+        path, files = self.log.fs(f"{self.path}/data")
+        old = [s for s in (files.listStatus(path) if files.exists(path) else []) if s.getPath().getName() not in used and s.getModificationTime() <= 1000 * (time.time() - seconds)]
+        for status in old:
+            files.delete(status.getPath(), True)
+        return len(old)
 
 
 class Manifest:
-    """(path, hash) of files that are done, in version folders that are complete or not there."""
+    """(path, hash) of files that are done, in a store of its own."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.store = ChunkStore(spark, path, "path string, hash string", buckets=8)
@@ -103,9 +149,9 @@ class Manifest:
     def read(self) -> DataFrame:
         return self.store.read()
 
-    def replace(self, rows: DataFrame) -> int:
-        """New hashes for these paths; the others stay."""
-        return self.store.upsert(rows.select("path", "hash"), "path")
+    def replace(self, rows: DataFrame, gone: DataFrame | None = None) -> int:
+        """New hashes for these paths; paths that are `gone` leave, the others stay."""
+        return self.store.upsert(rows.select("path", "hash"), "path", drop=("path", gone) if gone is not None else None)
 
 
 def fan_out(rows: DataFrame, writers: list) -> None:
@@ -122,7 +168,7 @@ def write_summary(rows: DataFrame, path: str) -> None:
 
 def migrate_once(source: DataFrame, store: ChunkStore, done: str) -> bool:
     """Fill a store from an older one, once: False where the mark is there already."""
-    path, files = store._fs(done)
+    path, files = store.log.fs(done)
     if files.exists(path):
         return False
     store.replace_all(source)

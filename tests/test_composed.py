@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators import build, cache, context, evaluate, ingest, retrieval, search
-from tamarack.sources import readers, writers
+from tamarack.sources import commits, readers, writers
 from tamarack.streaming import jobs
 
 
@@ -110,7 +110,7 @@ def test_an_ingestion_run_is_repeatable(spark, tmp_path):
     (root / "p.pdf").write_bytes(b"%PDF")
     (root / "long.pdf").write_bytes(b"%PDF long")
     (root / "skip.bin").write_bytes(b"1")
-    store = writers.ChunkStore(spark, f"file://{tmp_path}/store", build.STORE)
+    store = build.chunk_store(spark, f"file://{tmp_path}/store")
     manifest = writers.Manifest(spark, f"file://{tmp_path}/manifest")
     pages = spark.createDataFrame([(f"{root}/long.pdf", 900)], "path string, pages int")
 
@@ -128,6 +128,19 @@ def test_an_ingestion_run_is_repeatable(spark, tmp_path):
     (root / "t.csv").write_text("h,k\n5,\n")
     assert build.ingest(spark, str(root), store, manifest, pages=pages)["chunks_written"] == 1
     assert {r.chunk_id: r.content for r in store.read().where("source_file = 't.csv'").collect()} == {"t.csv::000000": "h：5"}
+    (root / "b.txt").write_text("other")
+    assert build.ingest(spark, str(root), store, manifest, pages=pages)["status"] == "completed"
+    before = store.layout(store.version())
+    (root / "t.csv").write_text("")
+    (root / "a" / "x.txt").write_text(" \n ")
+    emptied = build.ingest(spark, str(root), store, manifest, pages=pages)
+    assert (emptied["status"], emptied["files_removed"]) == ("no_content", 1)
+    assert [r.source_file for r in store.read().collect()] == ["b.txt"]
+    assert sum(store.layout(store.version()).get(b) == v for b, v in before.items()) >= 1  # b.txt's bucket is left alone
+    assert {r.path for r in manifest.read().collect()} == {f"{root}/a/x.txt", f"{root}/b.txt"}
+    (root / "b.txt").unlink()
+    assert build.ingest(spark, str(root), store, manifest, pages=pages)["status"] == "up_to_date"
+    assert store.read().count() == 0
     (root / "q.pdf").write_bytes(b"%PDF")
     with pytest.raises(RuntimeError, match="broken file"):
         build.ingest(spark, str(root), store, manifest, {"pdf": pdf}, fail_fast=True)
@@ -142,7 +155,6 @@ def test_a_store_rewrites_only_what_it_touches(spark, tmp_path):
     assert {r.k: r.v for r in store.read().collect()} == {f"k{i}": i for i in range(50)} | {"k3": 300}
     assert {r.k: r.v for r in store.read(1).collect()} == {f"k{i}": i for i in range(50)}
     assert sum(held == 2 for held in store.layout(2).values()) == 1
-    assert store._claim() == 3 and store._claim() == 4  # two writers never take one number
     assert writers.migrate_once(spark.createDataFrame([("c", "x")], "chunk_id string, content string"), writers.ChunkStore(spark, f"file://{tmp_path}/m", "chunk_id string, content string"), f"file://{tmp_path}/done")
     assert not writers.migrate_once(None, store, f"file://{tmp_path}/done")
     seen = []
@@ -152,6 +164,41 @@ def test_a_store_rewrites_only_what_it_touches(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/summary").collect()[0].b == "x"
 
 
+def test_interleaved_writers_lose_nothing(spark, tmp_path):
+    kind = "k string, v int"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), kind)
+    path = f"file://{tmp_path}/s"
+
+    class Interrupted(writers.ChunkStore):
+        """Another writer commits after this one has read its base and before its own commit."""
+
+        def _write(self, frame, key):
+            out = super()._write(frame, key)
+            for other in between:
+                between.clear()
+                writers.ChunkStore(spark, path, kind, buckets=4).upsert(other, "k")
+            return out
+
+    between = []
+    store = Interrupted(spark, path, kind, buckets=4)
+    store.replace_all(rows(*((f"k{i}", i) for i in range(20))), "k")
+    want = {f"k{i}": i for i in range(20)}
+    for n, other in enumerate(("k1", "k2", "k3", "k3")):  # other buckets, the same bucket, the same key
+        between.append(rows((other, 100 + n), (f"new{n}", n)))
+        assert store.upsert(rows(("k3", 200 + n), (f"own{n}", n)), "k") == 3 + 2 * n
+        want |= {other: 100 + n, f"new{n}": n} | {"k3": 200 + n, f"own{n}": n}
+    assert {r.k: r.v for r in store.read().collect()} == want
+    between.append(rows(("late", 1)))
+    store.upsert(rows(), "k", drop=("v", spark.createDataFrame([(1,), (203,)], "v int")))
+    assert {r.k: r.v for r in store.read().collect()} == {k: v for k, v in want.items() if v not in (1, 203)}
+    stale = store.version()
+    store.upsert(rows(("after", 5)), "k")
+    with pytest.raises(commits.StaleWrite):
+        store.replace_all(rows(("x", 1)), "k", expected=stale)
+    assert store.replace_all(rows(("x", 1)), "k", expected=store.version()) == store.version()
+    assert store.vacuum(seconds=0) > 0 and [r.k for r in store.read().collect()] == ["x"]
+
+
 def test_sinks_append_and_report(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     rows = spark.createDataFrame([(1, [1, 2], "long " * 40)], "id int, l array<int>, t string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text
 from tamarack.operators import conversation, dataset, evidence, retrieval
+from tamarack.sources.commits import StaleWrite
 
 
 def test_envelopes_decode_either_spelling(spark):
@@ -78,6 +79,23 @@ def test_an_index_is_built_once_a_version(spark, tmp_path):
     assert same(first.topk(asked, 3), retrieval.bm25_topk(asked, docs, 3)) and first.topk(asked, 3).count() == 2
     second = retrieval.LexicalIndex(spark, f"file://{tmp_path}", "2")
     assert second.fingerprint != first.fingerprint and not second.exists()
+    first.clear()
+    assert not first.exists()
+    first.build(docs)
+    assert first.topk(asked, 3).count() == 2
+
+    class Cleared(retrieval.CommitLog):
+        """The index is cleared between a build's beginning and its save."""
+
+        def commit(self, number, content):
+            if content["folder"]:
+                super().commit(number, {"folder": None})
+            return super().commit(number, content)
+
+    second.log = Cleared(spark, second.log.path)
+    with pytest.raises(StaleWrite):
+        second.build(docs)
+    assert not second.exists()
 
 
 def test_pages_and_requests(spark):
