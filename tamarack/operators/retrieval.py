@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +196,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2_0
     left = asked.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
     right = known.withColumn("shard", deal("vec_id", shards)).withColumn("block", every(blocks))
 
+    kinds = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((asked, "query_id"), (known, "vec_id")))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(nearest_rows(k), f"{kinds}, score double")
+    return ranked(found, k, ties="vec_id")
+
+
+def nearest_rows(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of two tables, (query_id, embedding) and (vec_id, embedding): the k best of the second for each row of the first."""
+
     def score(one: pa.Table, other: pa.Table) -> pa.Table:
         ids, sought = _units(one, "query_id")
         names, given = _units(other, "vec_id")
@@ -210,25 +219,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2_0
         none = pa.table([ids.slice(0, 0), names.slice(0, 0), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
         return pa.concat_tables(parts) if parts else none
 
-    kinds = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((asked, "query_id"), (known, "vec_id")))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(score, f"{kinds}, score double")
-    return ranked(found, k, ties="vec_id")
+    return score
 
 
 def _units(rows: pa.Table, key: str) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Ids in order, and by size of vector the places in them of usable vectors and those at unit length."""
     rows = rows.select([key, "embedding"]).sort_by(key).combine_chunks()
-    ids = rows.column(key).combine_chunks()
-    vectors: dict[int, list] = {}
-    for place, vector in enumerate(rows.column("embedding").to_pylist()):
-        vectors.setdefault(len(vector), []).append((place, vector))
+    ids, lists = rows.column(key).combine_chunks(), rows.column("embedding").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is not a number
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
     out = {}
-    for size, pairs in vectors.items():
-        matrix = np.array([v for _, v in pairs], dtype=np.float64).reshape(len(pairs), size)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        places = np.flatnonzero(sizes == size)
+        matrix = values.reshape(-1, size) if len(places) == len(sizes) else values[starts[places][:, None] + np.arange(size)]
         length = np.linalg.norm(matrix, axis=1)
         good = np.isfinite(length) & (length > 0)
         if good.any():
-            out[size] = np.array([p for p, _ in pairs])[good], matrix[good] / length[good, None]
+            out[size] = places[good], matrix[good] / length[good, None]
     return ids, out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators import query_cache, search
+from tamarack.operators import query_cache, search, vector_store
 from tamarack.operators.retrieval import vector_topk
 from tamarack.session import checkpoint_folder, table, written
 from tamarack.sources.writers import ChunkStore
@@ -74,9 +74,24 @@ def cache_store(spark, sf_dir):
     return kept.select("query", F.col("vector").isNotNull().alias("semantic"), F.array_join("chunk_ids", ",").alias("chunk_ids"), F.unix_timestamp("inserted_at").alias("inserted"))
 
 
-QUERIES = {f.__name__: f for f in (store_versions, search_semantic, cache_store)}
+def vector_index_topk(spark, sf_dir):
+    """A store of all vectors, those of label 0 then turned about and those of label 1 deleted; every hundredth vector asks all cells."""
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding", "label")
+    held = vector_store.VectorStore(spark, _folder(spark, "vectors"))
+    held.build(rows, 16)
+    turned = rows.where("label = 0").select("vec_id", F.transform("embedding", lambda v: -v).alias("embedding"))
+    held.upsert(turned.unionByName(rows.where("label = 1").select("vec_id", F.lit(None).cast("array<float>").alias("embedding"))))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = held.search(asked, 10, probes=16)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (store_versions, search_semantic, cache_store, vector_index_topk)}
 
 ORACLES = {
+    "vector_index_topk": """WITH v AS (SELECT vec_id, CASE WHEN label = 0 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id IS NOT NULL AND label <> 1),
+      s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.e), 9) AS s FROM embeddings q JOIN v ON true WHERE q.vec_id % 100 = 0)
+      SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "store_versions": """WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice AS p FROM orders WHERE o_orderstatus = 'O'), u AS (SELECT o_orderkey, o_custkey, 2 * o_totalprice AS p FROM orders WHERE o_orderpriority = '1-URGENT'),
       b AS (SELECT * FROM a ANTI JOIN u USING (o_orderkey) UNION ALL SELECT * FROM u), c AS (SELECT * FROM b WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
       SELECT 1 AS version, count(*) AS n, round(sum(p), 2)::DOUBLE AS price FROM a UNION ALL SELECT 2, count(*), round(sum(p), 2)::DOUBLE FROM b UNION ALL SELECT 3, count(*), round(sum(p), 2)::DOUBLE FROM c""",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import text
-from tamarack.operators import query_cache, search
+from tamarack.operators import query_cache, search, vector_store
 
 NOW = "2024-01-01 12:00:00"
 ENTRY = "query string, vector array<float>, chunk_ids array<string>, top_score double, inserted_at timestamp, expires_at timestamp"
@@ -112,3 +112,61 @@ def test_an_overtaken_put_keeps_both(spark, tmp_path):
     assert {r.query for r in cache.store.read().collect()} == {"mine", "theirs"}
     with pytest.raises(Exception, match="no longer the newest"):
         cache.store.replace_all(cache.store.read(), "query_hash", expected=1)
+
+
+def vectors_of(rows):
+    return {i: np.array(v, np.float32).astype(float) for i, v in rows}
+
+
+def plain_topk(queries, vectors, k):
+    out = {}
+    for q, v in queries:
+        unit = np.array(v, np.float32).astype(float)
+        scored = sorted((-round(float(unit @ w / np.linalg.norm(unit) / np.linalg.norm(w)), 9), i) for i, w in vectors.items() if len(w) == len(unit) and np.isfinite(w).all() and w.any())
+        out[q] = [i for _, i in scored[:k]]
+    return out
+
+
+def ids_of(found):
+    out = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def test_the_vector_store_is_exact_at_full_probe(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    kind = "vec_id bigint, embedding array<float>"
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(1_000, rows_copy := [1.0] * 8), (1_001, rows_copy)]
+    odd = [(2_000, None), (2_001, [0.0] * 8), (2_002, [float("nan")] * 8), (2_003, [1.0, 2.0]), (None, [1.0] * 8)]
+    store = vector_store.VectorStore(spark, f"file://{tmp_path}/v")
+    with pytest.raises(ValueError, match="not trained"):
+        store.read()
+    store.build(spark.createDataFrame(rows + odd, kind), 9)
+    asked = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(40)] + [(50, rows_copy), (51, [0.0] * 8), (52, [1.0, 2.0, 3.0])]
+    queries = spark.createDataFrame(asked + [(None, rows_copy), (60, None)], "query_id bigint, embedding array<float>")
+    usable = [(q, v) for q, v in asked if q < 51]
+    assert ids_of(store.search(queries, 5, probes=9)) == plain_topk(usable, vectors_of(rows), 5)
+    version = store._index()[0].version()
+    changed = [(i, [float(x) for x in rng.normal(size=8)]) for i in (3, 4, 5, 900)]
+    store.upsert(spark.createDataFrame(changed + [(6, None), (1_000, None)], kind))
+    store.upsert(spark.createDataFrame([(3, rows[3][1])], kind))  # back to its first cell
+    now = dict(rows) | dict(changed) | {3: rows[3][1]}
+    del now[6], now[1_000]
+    assert {r.vec_id for r in store.read().collect()} == set(now) | {2_001, 2_002, 2_003}
+    assert store._index()[0].version() == version + 2
+    monkeypatch.setattr(vector_store, "SHARD", 16)
+    monkeypatch.setattr(vector_store, "BLOCK", 4)
+    assert ids_of(store.search(queries, 5, probes=9)) == plain_topk(usable, vectors_of(now.items()), 5)
+
+
+def test_recall_at_the_default_probes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    rows = [(i, [float(x) for x in centres[i % 200] + rng.normal(size=32) * 0.5]) for i in range(6_000)]
+    store = vector_store.VectorStore(spark, f"file://{tmp_path}/v")
+    store.build(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 64, sample=2_000)
+    asked = [r for r in rows if r[0] % 100 == 0]
+    got = ids_of(store.search(spark.createDataFrame(asked, "query_id bigint, embedding array<float>"), 10))
+    want = plain_topk(asked, vectors_of(rows), 10)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
