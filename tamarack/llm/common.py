@@ -63,11 +63,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     """doc_id, text and `column` of labelled documents that are not held out, at most `rows`, in hash order.
 
     The bounded list of ids is all that is sent to the texts. Null ids, labels
-    and texts give nothing; of two labels for one id the lower holds.
+    and texts give nothing; of two labels for one id the lower holds, and of several texts the least.
     """
     known = labels.where((F.col(column).isin(0, 1)) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias(column))
     chosen = known.orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id").limit(rows)
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", column).agg(F.min("text").alias("text"))
+    found = found.select("doc_id", "text", column)
     # Bounded by `rows`; what is fitted reads it more than once.
     return materialize(found, "labelled")

@@ -48,7 +48,8 @@ FIXED_WEIGHT = 5.0
 _ALIKE = "аa вb еe кk мm нh оo рp сc тt уy хx іi јj ѕs ԁd ԛq ԝw һh ӏi ґr αa βb εe ηn ιi κk νv οo ρp τt υu χx γy ıi ℓi ƒf ɑa ɡg ʏy ᴏo ꜱs"
 _DIGITS = "0o 1i 3e 4a 5s 7t 8b 9g"
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
-_SIGN = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])")
+#: Signs inside a word; before one, a dollar ahead of a letter and an at ahead of ss ("@name" is a mention, "$5" a price).
+_SIGN = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])|(?<![^\W_])(?:\$+(?=[^\W\d_])|@(?=[sS]{2}))")
 _DROPPED = re.compile("[­̀-ͯ​-‏⁠﻿]")
 _BUILT: dict[str, object] = {}
 

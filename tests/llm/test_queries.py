@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamarack.llm import embedding_dedup, quality, queries, secret_scan, simhash, token_counts, toxicity
-from tamarack.llm.common import materialize
+from tamarack.llm.common import labelled_sample, materialize
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, tidy string"
 
@@ -224,3 +224,15 @@ def test_stages_of_odd_tables(spark, tmp_path):
         assert len([i for i in ids if i is not None and i < 60]) >= 58 * bool(rows) and ids.count(1) <= 1
         assert not rows or {"doc_id", "taken"} <= set(frame.columns)
     assert frame.where(F.lit(True)).count() == 0
+
+
+def test_signs_at_a_word_s_start_are_folded():
+    plain = {"$hit": "shit", "@sshole": "asshoie", "a $1d10t": "a  idiot", "$5": " s", "@idiot": " idiot", "x |idiot|": "x  idiot ", "sh!t": "shit"}
+    assert {k: toxicity.fold(k)[0] for k in plain} == plain
+
+
+def test_a_labelled_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    rows = labelled_sample(docs, labels, "quality", 10, 5, 7).collect()
+    assert sorted((r.doc_id, r.text, r.quality) for r in rows) == [(1, "text 0", 1), (2, "two", 0)]
