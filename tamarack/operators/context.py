@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import fitting_prefix
+from tamarack.functions.text import fitting_prefix, token_estimate
+from tamarack.operators.conversation import turns
 
 # Share of the history limit that starts a compaction, turns that stay, least savings in tokens and as a share.
 TRIGGER, RECENT, LEAST_SAVED, LEAST_SHARE = 0.8, 3, 128, 0.1
@@ -75,6 +76,63 @@ def compaction_turns(turns: DataFrame, history_limit: int, source_limit: int) ->
     return rows.where((F.col("_all") >= int(history_limit * TRIGGER)) & (F.col("_left") > RECENT) & (F.col("source_tokens") <= source_limit)).drop("_all", "_left")
 
 
+# Characters that tool results are cut to in turn, and the outcomes of a budget.
+TOOL_CHARS = (2_048, 1_024, 512, 256, 0)
+FITS, FIXED_OVER, USER_OVER, TURN_OVER = "within_budget", "FIXED_CONTEXT_TOO_LARGE", "USER_INPUT_TOO_LARGE", "CURRENT_TURN_CONTEXT_TOO_LARGE"
+#: Halvings of the evidence limit; 2 ** 20 records are gone after them.
+HALVINGS = 20
+
+
+def fit_budget(messages: DataFrame, budgets: DataFrame, overhead: int = 4) -> DataFrame:
+    """The mildest way to bring each thread's next request within its limit, and what the request then holds.
+
+    messages (thread_id, idx, type, content); budgets (thread_id, limit, system_tokens,
+    schema_tokens, summary_tokens, n_records, record_tokens). The last turn is the current one. What may give
+    way, in this order: tool results of completed turns are cut to TOOL_CHARS in turn, then the oldest turn
+    goes and the next are cut; with no completed turn left the summary goes; the evidence records are
+    halved down to none; tool results of the current turn are cut. All levels are worked out for all
+    threads at once from sums by turn, and the least that fits is taken: no loop over requests.
+    A thread without messages has no row; negative or null sizes count as 0.
+    """
+    caps = [None, *TOOL_CHARS]
+    size = lambda cap: token_estimate(F.when(F.col("type") == "tool", F.left("content", F.lit(cap))).otherwise(F.col("content")) if cap is not None else F.col("content")) + overhead
+    rows = turns(messages.withColumn("content", F.coalesce("content", F.lit(""))))
+    by_turn = rows.groupBy("thread_id", "turn").agg(*(F.sum(size(c)).cast("long").alias(f"c{k}") for k, c in enumerate(caps)), F.sum(F.when(F.col("type") == "human", size(None)).otherwise(0)).cast("long").alias("user_tokens"))
+    own = Window.partitionBy("thread_id")
+    newest_first = own.orderBy(F.desc("turn"))
+    placed = by_turn.withColumns({"back": F.row_number().over(newest_first), "turns": F.count("*").over(own)})
+    # Tokens of the completed turns from this one on.
+    kept = placed.withColumns({f"s{k}": F.sum(F.when(F.col("back") > 1, F.col(f"c{k}")).otherwise(0)).over(newest_first.rowsBetween(Window.unboundedPreceding, 0)) for k in range(len(caps))})
+    zero = lambda c: F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)).alias(c)
+    given = budgets.select("thread_id", *map(zero, ("limit", "system_tokens", "schema_tokens", "summary_tokens", "n_records", "record_tokens")))
+    current = kept.where("back = 1").select("thread_id", F.col("turns").alias("_turns"), "user_tokens", *(F.col(f"c{k}").alias(f"current{k}") for k in range(len(caps)))).join(given, "thread_id")
+    n = len(caps)
+    whole = F.col("summary_tokens") + F.col("n_records") * F.col("record_tokens")
+    level = lambda number, dropped, chars, summary, records, now, completed, mine: F.struct(
+        number.cast("long").alias("level"), dropped.cast("long").alias("dropped_turns"), chars.cast("int").alias("tool_chars"), summary.alias("summary_kept"), records.cast("long").alias("records_kept"),
+        now.cast("int").alias("current_tool_chars"), completed.cast("long").alias("completed_tokens"), mine.cast("long").alias("current_tokens"),
+    )
+    none = F.lit(None)
+    with_turns = kept.where("back > 1").join(current.drop("user_tokens"), "thread_id")
+    dropped = F.col("turns") - F.col("back")
+    early = F.array(*(level(dropped * n + k, dropped, none if c is None else F.lit(c), F.lit(True), F.col("n_records"), none, F.col(f"s{k}"), F.col("current0")) for k, c in enumerate(caps)))
+    gone = F.col("_turns") - 1
+    late = [level(gone * n, gone, none, F.lit(True), F.col("n_records"), none, F.lit(0), F.col("current0"))]
+    late += [level(gone * n + 1 + i, gone, none, F.lit(False), F.shiftright("n_records", i), none, F.lit(0), F.col("current0")) for i in range(HALVINGS + 1)]
+    late += [level(gone * n + 2 + HALVINGS + k, gone, none, F.lit(False), F.lit(0), F.lit(c), F.lit(0), F.col(f"current{k + 1}")) for k, c in enumerate(TOOL_CHARS)]
+    names = ["thread_id", "limit", "system_tokens", "schema_tokens", "summary_tokens", "record_tokens"]
+    levels = with_turns.select(*names, F.explode(early).alias("l")).unionByName(current.select(*names, F.explode(F.array(*late)).alias("l"))).select(*names, "l.*")
+    evidence = F.col("records_kept") * F.col("record_tokens")
+    levels = levels.withColumns({"evidence_tokens": evidence, "summary_tokens": F.when(F.col("summary_kept"), F.col("summary_tokens")).otherwise(0)})
+    levels = levels.withColumn("total_tokens", F.col("system_tokens") + F.col("schema_tokens") + F.col("summary_tokens") + F.col("evidence_tokens") + F.col("completed_tokens") + F.col("current_tokens"))
+    fields = ["dropped_turns", "tool_chars", "summary_kept", "records_kept", "current_tool_chars", "summary_tokens", "evidence_tokens", "completed_tokens", "current_tokens", "total_tokens"]
+    best = levels.where(F.col("total_tokens") <= F.col("limit")).groupBy("thread_id").agg(F.min_by(F.struct(*fields), "level").alias("b"))
+    fixed = F.col("system_tokens") + F.col("schema_tokens")
+    outcome = F.when(fixed > F.col("limit"), FIXED_OVER).when(fixed + F.col("user_tokens") > F.col("limit"), USER_OVER).when(F.col("b").isNull(), TURN_OVER).otherwise(FITS)
+    out = current.select("thread_id", "limit", "system_tokens", "schema_tokens", "user_tokens").join(best, "thread_id", "left").withColumn("outcome", outcome)
+    return out.select("thread_id", "outcome", "system_tokens", "schema_tokens", "user_tokens", *(F.when(F.col("outcome") == FITS, F.col(f"b.{f}")).alias(f) for f in fields))
+
+
 def required_savings(source_tokens: Column) -> Column:
     return F.greatest(F.lit(LEAST_SAVED), F.floor(source_tokens * LEAST_SHARE).cast("int"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tamarack.functions.text import strip, trim_within
 
@@ -135,3 +139,42 @@ def format_metric(rows: DataFrame) -> DataFrame:
     place = F.concat(F.lit(" ("), F.col("source_file"), F.coalesce(F.concat(F.lit(" p."), F.col("source_page").cast("string")), F.lit("")), F.lit(")"))
     value = F.coalesce(F.col("value").cast("string"), F.lit("-"))
     return rows.withColumn("line", F.concat("company", F.lit(" "), "metric", F.lit(" ("), "year", F.lit("): "), value, F.lit(" "), F.coalesce("unit", F.lit("")), tag, F.coalesce(place, F.lit(""))))
+
+
+def _references(value, out: list[dict]) -> list[dict]:
+    """Walk lists and objects from the top; an object with a source, a page or a chunk id is a reference."""
+    if isinstance(value, list):
+        for item in value:
+            _references(item, out)
+    elif isinstance(value, dict):
+        source, chunk = value.get("source_file") or value.get("source"), value.get("chunk_id")
+        page = value.get("source_page", value.get("page"))
+        if source or page is not None or chunk:
+            text = value.get("content") or value.get("excerpt")
+            plain = lambda v: None if not v and v != 0 else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+            out.append({"source": plain(source or None), "page": plain(page), "chunk_id": plain(chunk or None), "content": text if isinstance(text, str) else None})
+        for item in value.values():
+            _references(item, out)
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, StringType()) for c in ("source", "page", "chunk_id", "content")])))
+def _all_references(payloads: pd.Series) -> pd.Series:
+    def read(payload: str | None) -> list[dict]:
+        try:
+            return _references(json.loads(payload or "null"), [])
+        except (ValueError, RecursionError):
+            return []
+
+    return payloads.map(read)
+
+
+def references(messages: DataFrame, key: str = "message_id", payload: str = "content") -> DataFrame:
+    """Every reference in a tool message's JSON, at any depth and in the order of the text: key, position from 1, source, page, chunk_id, content, reference.
+
+    Objects keep their members' order, which variant values don't, so the walk is Python by Arrow
+    batches. No JSON, or deeper nesting than Python can read, gives none. The reference's words are fixed values.
+    """
+    found = messages.select(key, F.posexplode(_all_references(F.col(payload))).alias("position", "r")).select(key, (F.col("position") + 1).alias("position"), "r.*")
+    part = lambda word, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(word), F.col(c)))
+    return found.withColumn("reference", F.concat_ws("；", F.concat(F.lit("消息 "), F.col(key).cast("string")), part("来源 ", "source"), part("页码 ", "page"), part("chunk_id ", "chunk_id")))
