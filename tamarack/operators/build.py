@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip
-from tamarack.operators.ingest import SUFFIXES, changed_files, page_limit, split_pieces
+from tamarack.operators.ingest import SUFFIXES, changed_files, page_limit, route, split_pieces
 from tamarack.session import discard, written
 from tamarack.sources.readers import discover
 from tamarack.sources.writers import ChunkStore, Manifest
 
 #: (path, bytes) to chunks: dictionaries with content and, if known, page.
 Parser = Callable[[str, bytes], list[dict]]
+#: Bytes a page, characters a page, share of image area, of table-like pages and of pages in columns from which a file goes to the remote parser.
+ROUTE_LIMITS = (500_000.0, 80.0, 0.5, 0.3, 0.3)
 STORE = "chunk_id string, content string, source_file string, industry string, page int, path string, seq bigint"
 
 
@@ -67,7 +69,7 @@ def parse_files(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
 
 def ingest(
     spark: SparkSession, root: str, store: ChunkStore, manifest: Manifest, parsers: dict[str, Parser] | None = None, pages: DataFrame | None = None, most_pages: int = 200,
-    fail_fast: bool = False,
+    fail_fast: bool = False, profile: Profiler | None = None, limits: tuple[float, float, float, float, float] = ROUTE_LIMITS,
 ) -> dict:
     """One run over a folder: status, counts and skipped files, as a dictionary.
 
@@ -75,6 +77,7 @@ def ingest(
     pages) lets files over the limit be skipped. Changed files replace their old
     chunks, and a file that now gives none, or that is gone (or empty) while the
     folder is there, loses them. The store is written before the manifest, so a run that dies is repeated, not lost.
+    With `profile`, each PDF is routed by its sampled pages to the parser pdf_local or pdf_remote.
     A store placed by path (:func:`chunk_store`) rewrites the changed files' buckets alone.
     """
     counts = dict.fromkeys(("files_discovered", "files_selected", "files_processed", "files_skipped", "files_removed", "chunks_written"), 0)
@@ -92,7 +95,13 @@ def ingest(
         gone = written(done.where(F.startswith("path", F.lit(root.rstrip("/") + "/"))).join(files, "path", "left_anti").select("path"), "gone")
         scratch += [changed, gone]
         counts |= {"files_discovered": files.count(), "files_selected": changed.count(), "files_skipped": over.count() if skipped else 0, "files_removed": gone.count()}
-        rows = written(parse_files(with_content(spark, changed, root, counts["files_selected"]), PARSERS | (parsers or {})), "parsed")
+        opened = with_content(spark, changed, root, counts["files_selected"])
+        if profile is not None:
+            routes = route(profiled(opened.where("parser = 'pdf'"), profile), *limits).select("path", F.concat(F.lit("pdf_"), "parser").alias("routed"))
+            routes = written(routes, "routes")
+            scratch.append(routes)
+            opened = opened.join(routes, "path", "left").withColumn("parser", F.coalesce("routed", "parser")).drop("routed")
+        rows = written(parse_files(opened, PARSERS | (parsers or {})), "parsed")
         scratch.append(rows)
         failed = rows.where("error is not null").select("path", "error").distinct()
         if fail_fast and (first := failed.orderBy("path").first()):
@@ -151,6 +160,68 @@ def remote_pages(results: DataFrame) -> DataFrame:
     return first.select("source_file", "page", "content", F.col("content").rlike(r"(?m)^\s*\|.+\|\s*$").alias("has_table"), F.concat("source_file", F.lit("::remote_"), number).alias("chunk_id"))
 
 
+#: (source_file, start page, end page) to the JSON of that segment's pages, numbered from 1.
+Fetch = Callable[[str, int, int], str]
+
+
+def remote_parse(segments: DataFrame, fetch: Fetch, lanes: int, attempts: int = 3, wait: float = 0.5) -> DataFrame:
+    """(source_file, start, end) -> source_file, page_offset, body, error, tries: each segment fetched apart, again after a failure.
+
+    `lanes` partitions are as many requests at a time; a file's segments are
+    spread over them. The pause doubles with each try. A segment that fails
+    `attempts` times is a row with its last error and no body, and costs no other; a lost executor's segments are fetched anew.
+    """
+    kinds = "source_file string, page_offset int, body string, error string, tries int"
+    names = [k.split()[0] for k in kinds.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                body, error = None, None
+                for tries in range(1, attempts + 1):
+                    try:
+                        body, error = fetch(row.source_file, int(row.start), int(row.end)), None
+                        break
+                    except Exception as problem:  # whatever a service raises is this segment's failure
+                        error = f"{type(problem).__name__}: {problem}"
+                        if tries < attempts:
+                            time.sleep(wait * 2 ** (tries - 1))
+                yield pd.DataFrame([(row.source_file, int(row.start) - 1, body, error, tries)], columns=names)
+
+    dealt = segments.select("source_file", "start", "end").repartition(lanes, F.xxhash64("source_file", "start"))
+    return dealt.mapInPandas(run, kinds)
+
+
+#: (path, bytes) to a file's pages and, for sampled pages, their facts: {"pages": n, "sample": [{"n_chars", "image_area", "table_like", "two_columns"}]}.
+Profiler = Callable[[str, bytes], dict]
+
+
+def profiled(files: DataFrame, profile: Profiler) -> DataFrame:
+    """(path, content, ...) -> path, pages, bytes_per_page and the means over sampled pages that :func:`route` takes.
+
+    The function is given, since it needs a library for the file's format; it samples evenly by
+    :func:`tamarack.operators.ingest.sample_pages`' rule or by its own. A file that it can't read has no pages and no facts.
+    """
+    facts = ["text_chars_per_page", "image_area_ratio", "table_like_pages_ratio", "multi_column_pages_ratio"]
+    kinds = "path string, pages int, bytes_per_page double, sampled_pages bigint, " + ", ".join(f"{c} double" for c in facts)
+    keys = ["n_chars", "image_area", "table_like", "two_columns"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                try:
+                    found = profile(row.path, bytes(row.content))
+                    pages, sample = int(found["pages"]), found["sample"]
+                    means = [round(sum(float(s[k]) for s in sample) / len(sample), 6) for k in keys] if sample else [None] * len(keys)
+                    out.append((row.path, pages, len(row.content) / max(1, pages), len(sample), *means))
+                except Exception:  # an unreadable file is routed without facts
+                    out.append((row.path, None, None, 0, *[None] * len(keys)))
+            yield pd.DataFrame(out, columns=["path", "pages", "bytes_per_page", "sampled_pages", *facts]).astype({"pages": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, kinds)
+
+
 def parsed_document(chunk: Column) -> Column:
     """A parse result (content, metadata map, headings, route_reasons) as content and flat metadata: headings joined by >, reasons by ；."""
     extra = F.map_filter(

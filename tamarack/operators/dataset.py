@@ -27,11 +27,12 @@ def stratified_sample(chunks: DataFrame, strata: list[str], source: str, key: st
     """Round robin over strata, and over the sources inside each: `size` rows, whatever their partitions.
 
     A row's place in its source, its source's place in that round, and its
-    stratum's place in the sample follow seeded hashes; ties fall to the key.
+    stratum's place in the sample follow seeded hashes; ties fall to the key. No more than
+    `size` rows of a source, or of a stratum, can be taken, so each task cuts its own to that before the shuffle.
     """
     rows = chunks.withColumn("_h", shuffle_key(key, seed=seed)).withColumn("_s", shuffle_key(source, seed=seed)).withColumn("_g", shuffle_key(*strata, seed=seed))
-    rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(*strata, source).orderBy("_h", key)))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*strata).orderBy("_round", "_s", source)))
+    rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(*strata, source).orderBy("_h", key))).where(F.col("_round") <= size)
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*strata).orderBy("_round", "_s", source))).where(F.col("_turn") <= size)
     order = ["_turn", "_g", *strata, key]
     return rows.orderBy(*order).limit(size).withColumnRenamed("_turn", "turn").drop("_h", "_s", "_g", "_round")
 
@@ -39,7 +40,7 @@ def stratified_sample(chunks: DataFrame, strata: list[str], source: str, key: st
 def balanced_subset(records: DataFrame, buckets: list[str], size: int, seed: str = "0") -> DataFrame:
     """Round robin over buckets of records (case_id): `size` rows."""
     rows = records.withColumn("_h", shuffle_key("case_id", seed=seed)).withColumn("_g", shuffle_key(*buckets, seed=seed))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*buckets).orderBy("_h", "case_id")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*buckets).orderBy("_h", "case_id"))).where(F.col("turn") <= size)
     return rows.orderBy("turn", "_g", *buckets, "case_id").limit(size).drop("_h", "_g")
 
 

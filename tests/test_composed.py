@@ -147,6 +147,52 @@ def test_an_ingestion_run_is_repeatable(spark, tmp_path):
     assert build.ingest(spark, f"{tmp_path}/gone", store, manifest)["status"] == "missing_data_dir"
 
 
+def test_remote_segments_are_fetched_apart_and_again(spark, tmp_path):
+    files = spark.createDataFrame([("a.pdf", 7), ("b.pdf", 2), ("none.pdf", 0)], "source_file string, pages int")
+    segments = files.select("source_file", F.explode(ingest.page_segments(F.col("pages"), 3)).alias("s")).select("source_file", "s.start", "s.end")
+    marks = str(tmp_path)
+
+    def fetch(name, start, end):
+        import os
+        import uuid
+
+        here = [f for f in os.listdir(marks) if f.startswith(f"{name}-{start}-")]
+        open(f"{marks}/{name}-{start}-{uuid.uuid4().hex}", "w").close()
+        if name == "b.pdf" or start == 4 and len(here) < 2:
+            raise TimeoutError("no answer")
+        return json.dumps({str(p - start + 1): f"{name} page {p}" for p in range(start, end + 1)} | {"meta": "x"})
+
+    found = build.remote_parse(segments, fetch, 4, wait=0.0)
+    found.write.parquet(f"file://{tmp_path}/out")
+    found = spark.read.parquet(f"file://{tmp_path}/out")
+    rows = {(r.source_file, r.page_offset): (r.body is not None, r.error, r.tries) for r in found.collect()}
+    assert rows == {("a.pdf", 0): (True, None, 1), ("a.pdf", 3): (True, None, 3), ("a.pdf", 6): (True, None, 1), ("b.pdf", 0): (False, "TimeoutError: no answer", 3)}
+    whole = spark.createDataFrame([("a.pdf", 0, json.dumps({str(p): f"a.pdf page {p}" for p in range(1, 8)}))], "source_file string, page_offset int, body string")
+    pages = lambda frame: sorted((r.page, r.content, r.chunk_id) for r in build.remote_pages(frame).collect())
+    assert pages(found.where("body is not null")) == pages(whole) and len(pages(whole)) == 7
+
+
+def test_profiles_route_files_of_a_run(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for name in ("plain", "scan", "broken"):
+        (root / f"{name}.pdf").write_bytes(f"%PDF {name}".encode())
+
+    def profile(path, content):
+        if b"broken" in content:
+            raise ValueError("no pdf")
+        scan = b"scan" in content
+        return {"pages": 2, "sample": [{"n_chars": 5 if scan else 900, "image_area": 0.9 if scan else 0.0, "table_like": False, "two_columns": k} for k in ([0, 0] if scan else [0, 0])]}
+
+    store, done = build.chunk_store(spark, f"file://{tmp_path}/store"), writers.Manifest(spark, f"file://{tmp_path}/manifest")
+    parsers = {f"pdf_{kind}": (lambda path, content, kind=kind: [{"content": kind, "page": 1}]) for kind in ("local", "remote")}
+    assert build.ingest(spark, str(root), store, done, parsers, profile=profile)["status"] == "completed"
+    assert {r.source_file: r.content for r in store.read().collect()} == {"plain.pdf": "local", "scan.pdf": "remote", "broken.pdf": "local"}
+    files = spark.createDataFrame([("p", bytearray(b"%PDF plain")), ("s", bytearray(b"%PDF scan!"))], "path string, content binary")
+    facts = {r.path: (r.pages, r.bytes_per_page, r.sampled_pages, r.text_chars_per_page, r.image_area_ratio) for r in build.profiled(files, profile).collect()}
+    assert facts == {"p": (2, 5.0, 2, 900.0, 0.0), "s": (2, 5.0, 2, 5.0, 0.9)}
+
+
 def test_a_store_rewrites_only_what_it_touches(spark, tmp_path):
     store = writers.ChunkStore(spark, f"file://{tmp_path}/s", "k string, v int", buckets=8)
     assert store.read().count() == 0
