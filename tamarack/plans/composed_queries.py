@@ -10,9 +10,6 @@ from tamarack.operators import build, context, dataset, retrieval, search
 from tamarack.plans.retrieval_queries import BM25_CTE, K, _shared_length, questions
 from tamarack.session import documents, table
 
-# Texts whose white space, scripts and digits are awkward.
-ODD = ["q\n", "　q ", "信息不足，同比增长5%", "信息不足", "\tA b ", "x　y ", "", " \n", "同比增长5%，资料不足以判断", "无法根据资料判断 3 月"]
-
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as requests: modes by id, a filter on some, odd limits on some."""
@@ -64,10 +61,13 @@ def search_cached(spark, sf_dir):
 
 
 def odd_text(spark, sf_dir):
-    """White space of any script, and digits beside CJK characters."""
-    rows = spark.createDataFrame(list(enumerate(ODD)), "n int, t string")
+    """Whole documents between white space of other scripts, with a remark in CJK characters behind them, with digits or without."""
+    remark = F.when(F.col("lang") == "en", "　信息不足 \n").when(F.col("lang") == "de", "，同比增长5%，资料不足以判断 ").otherwise("\t无法根据资料判断 3 月　")
+    # A few sentences at the least are kept apart, so that short answers occur.
+    text_of = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array(F.concat(F.lit(" \t"), text_of, remark), F.concat(F.lit("　"), F.col("source"), remark), F.lit(" \n"))).alias("t")).distinct()
     return rows.select(
-        "n", text.query_hash(F.col("t")).alias("query_hash"), text.compact(F.col("t")).alias("compact"), text.clear_abstention(F.col("t")).alias("verdict"),
+        "doc_id", text.query_hash(F.col("t")).alias("query_hash"), F.sha2(text.compact(F.col("t")), 256).alias("compact"), text.clear_abstention(F.col("t")).alias("verdict"),
         text.key_digest(F.col("t")).alias("key_digest"), F.length(text.strip(F.col("t"))).alias("chars"),
     )
 
@@ -119,19 +119,20 @@ def profile_means(spark, sf_dir):
 
 
 def path_inside(spark, sf_dir):
-    n = F.col("doc_id")
-    path = (
-        F.when(n % 5 == 0, F.concat(F.lit("a/../"), "source")).when(n % 5 == 1, F.concat(F.lit("../"), "source")).when(n % 5 == 2, F.lit("/data/in/x.txt")).when(n % 5 == 3, F.lit("/data/inner/x")).otherwise(F.lit("a\\..\\..\\b"))
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", build.inside(path, "/data/in").alias("inside"))
+    """Every document's words as a path: those of two letters or fewer step up, those of three stay; French ones are parted by backslashes, German ones begin at the root."""
+    step = lambda w: F.when(F.length(w) <= 2, "..").when(F.length(w) == 3, ".").otherwise(w)
+    parts = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0)), step)
+    path = F.when(F.col("lang") == "fr", F.array_join(parts, "\\")).when(F.col("lang") == "de", F.concat(F.lit("/data/in/"), F.array_join(parts, "/"))).otherwise(F.array_join(parts, "/"))
+    return documents(spark, sf_dir).select("doc_id", build.inside(path, "/data/in").alias("inside"))
 
 
 def envelope(spark, sf_dir):
-    """Whole documents as tool results, within 400 characters of JSON: what is kept is a prefix, and no longer one would fit."""
+    """Whole documents as tool results, within 400 characters of JSON: what is kept is a prefix, and the longest that fits."""
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("call_id"), F.lit("t").alias("tool"), F.lit("q").alias("query"), F.lit(True).alias("ok"), F.col("text").alias("data"))
     made = context.envelope(rows, 400).join(rows.select("call_id", "data"), "call_id")
     preview = F.get_json_object("content", "$.data.preview")
-    return made.select("call_id", (F.length("content") <= 400).alias("fits"), F.coalesce(F.startswith("data", preview), F.col("data").isNull() | (F.get_json_object("content", "$.data") == F.col("data"))).alias("is_prefix"))
+    is_prefix = F.coalesce(F.startswith("data", preview), F.col("data").isNull() | (F.get_json_object("content", "$.data") == F.col("data")))
+    return made.select("call_id", F.length("content").alias("chars"), F.length(preview).alias("preview_chars"), is_prefix.alias("is_prefix"))
 
 
 def excerpts(spark, sf_dir):
@@ -178,16 +179,16 @@ def _trace(broken: bool = False) -> str:
       LEFT JOIN (SELECT query_id, max(s) AS t FROM be GROUP BY ALL) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS f FROM fi GROUP BY ALL) USING (query_id)"""
 
 
-_VALUES = ", ".join(f"({n}, '{t}')" for n, t in enumerate(ODD))
-
 ORACLES = {
     "search_results": f"WITH {_search_cte()} SELECT * FROM fi",
     "search_trace": _trace(),
     "search_degraded": _trace(True),
     "search_cached": f"""SELECT query_id, CASE WHEN hit THEN 'semantic_cache_hit' ELSE stage END AS stage, hit AS cache_hit, CASE WHEN hit THEN 0.75 ELSE top_score END AS top_score
       FROM (SELECT *, query_id % 8 = 3 AS hit FROM ({_trace()}))""",
-    "odd_text": f"""SELECT n, sha256(lower(trim(t, '@BLANK@'))) AS query_hash, lower(translate(t, '@BLANK@,，', '')) AS compact, substr(sha256(coalesce(nullif(trim(t, '@BLANK@'), ''), 'unknown')), 1, 24) AS key_digest,
-      length(trim(t, '@BLANK@')) AS chars, CASE WHEN trim(t, '@BLANK@') = '' THEN 'empty_response' WHEN n IN (2, 3, 8) THEN 'abstention' ELSE 'judge_error' END AS verdict FROM (VALUES {_VALUES}) v(n, t)""",
+    "odd_text": f"""WITH r AS (SELECT doc_id, source, coalesce(text, '') AS text, CASE lang WHEN 'en' THEN '　信息不足 ' || chr(10) WHEN 'de' THEN '，同比增长5%，资料不足以判断 ' ELSE chr(9) || '无法根据资料判断 3 月　' END AS remark FROM documents),
+      t AS (SELECT DISTINCT doc_id, unnest([' ' || chr(9) || text || remark, '　' || source || remark, ' ' || chr(10)]) AS t FROM r), s AS (SELECT doc_id, t, trim(t, '@BLANK@') AS s FROM t)
+      SELECT doc_id, sha256(lower(s)) AS query_hash, sha256(lower(translate(t, '@BLANK@,，', ''))) AS compact, substr(sha256(coalesce(nullif(s, ''), 'unknown')), 1, 24) AS key_digest, length(s) AS chars,
+        CASE WHEN s = '' THEN 'empty_response' WHEN length(s) <= 180 AND regexp_matches(s, '信息不足|资料不足|无法根据') AND NOT regexp_matches(s, '(^| )[0-9]+ *[%月]') THEN 'abstention' ELSE 'judge_error' END AS verdict FROM s""",
     "evidence_units": """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS o FROM lineitem),
       n AS (SELECT s, o AS x, lead(o) OVER (PARTITION BY s ORDER BY o // 60, o) AS y FROM c), p AS (SELECT s, x AS a, y AS b, md5('0|' || s || '|' || x || '|' || y) AS h FROM n WHERE y IS NOT NULL AND y // 60 - x // 60 <= 1),
       k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) AS k FROM p),
@@ -206,8 +207,17 @@ ORACLES = {
       FROM documents, (VALUES (1), (2)) a(p), (VALUES (0), (3)) b(o) WHERE p = 1 OR trim(lang, '@BLANK@') <> ''""",
     "profile_means": """SELECT l_orderkey AS source_file, count(*) AS sampled_pages, round(avg(l_quantity), 6) AS text_chars_per_page, round(avg(l_tax), 6) AS image_area_ratio,
       round(avg((l_returnflag = 'R')::INT), 6) AS table_like_pages_ratio, round(avg((l_linestatus = 'F')::INT), 6) AS multi_column_pages_ratio FROM lineitem GROUP BY l_orderkey""",
-    "path_inside": "SELECT doc_id, doc_id % 5 IN (0, 2) AS inside FROM documents",
-    "envelope": "SELECT doc_id AS call_id, true AS fits, true AS is_prefix FROM documents",
+    "path_inside": """WITH w AS (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[a-z]+') AS w FROM documents),
+      s AS (SELECT doc_id, lang, list_transform(w, lambda x: CASE WHEN length(x) <= 2 THEN '..' WHEN length(x) = 3 THEN '.' ELSE x END) AS s FROM w),
+      u AS (SELECT doc_id, sum(CASE x WHEN '..' THEN -1 WHEN '.' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s)),
+      m AS (SELECT doc_id, min(depth) AS least FROM u GROUP BY doc_id)
+      SELECT s.doc_id, CASE WHEN lang = 'de' THEN NOT contains('/data/in/' || array_to_string(s, '/'), '/../') ELSE coalesce(least >= 0, true) END AS inside FROM s LEFT JOIN m USING (doc_id)""",
+    "envelope": r"""WITH c AS (SELECT doc_id, i, CASE WHEN regexp_matches(c, '["\\\n\r\t\x08\x0C]') THEN 2 WHEN regexp_matches(c, '[\x00-\x1F]') THEN 6 ELSE 1 END AS cost
+        FROM (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, substr(text, i, 1) AS c FROM documents)),
+      n AS (SELECT doc_id, sum(cost) AS escaped FROM c GROUP BY doc_id), d AS (SELECT doc_id, text, coalesce(escaped, 0) + CASE WHEN text IS NULL THEN length('{"ok":true,"tool":"t","query":"q"}') ELSE length('{"ok":true,"tool":"t","query":"q","data":""}') END AS whole FROM documents LEFT JOIN n USING (doc_id)),
+      r AS (SELECT *, length('{"ok":true,"tool":"t","query":"q","data":{"preview":"","context_truncated":true},"meta":{"context_truncated":true,"original_chars":}}') + length(CAST(whole AS VARCHAR)) AS frame FROM d),
+      p AS (SELECT doc_id, max(i) AS k, max(so_far) AS used FROM (SELECT doc_id, i, frame, sum(cost) OVER (PARTITION BY doc_id ORDER BY i) AS so_far FROM c JOIN r USING (doc_id) WHERE i <= 400) WHERE so_far <= 400 - frame GROUP BY doc_id)
+      SELECT doc_id AS call_id, CAST(CASE WHEN whole <= 400 THEN whole ELSE frame + coalesce(used, 0) END AS INT) AS chars, CASE WHEN whole > 400 THEN CAST(coalesce(k, 0) AS INT) END AS preview_chars, true AS is_prefix FROM r LEFT JOIN p USING (doc_id)""",
     "excerpts": """WITH i AS (SELECT l_orderkey AS call_id, l_linenumber AS position, l_quantity::INT AS q, least(l_quantity::INT, 150 // count(*) OVER (PARTITION BY l_orderkey) // 3) AS e FROM lineitem),
       s AS (SELECT *, sum(length('{"chunk_id":"c","content":""}') + e) OVER (PARTITION BY call_id ORDER BY position) AS s, row_number() OVER (PARTITION BY call_id ORDER BY position) AS k FROM i)
       SELECT call_id, position, CASE WHEN s <= 150 THEN e END AS chars, s <= 150 AND e < q AS truncated, CASE WHEN s > 150 THEN 'EVIDENCE_PAYLOAD_TOO_LARGE' END AS error FROM s WHERE s <= 150 OR k = 1""",
