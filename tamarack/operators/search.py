@@ -14,7 +14,7 @@ from tamarack.functions.text import query_hash
 from tamarack.operators import cache, retrieval
 from tamarack.operators import query_cache as cached
 from tamarack.operators.query_cache import Embedder, QueryCache
-from tamarack.session import written
+from tamarack.session import discard, written
 
 #: (query_id, query) to query_id, chunk_id, rank.
 Source = Callable[[DataFrame], DataFrame]
@@ -29,8 +29,12 @@ class Found:
     entries: DataFrame  # cache entries to add, in the columns of a QueryCache
     hits: DataFrame  # query_id, tier (exact or semantic), entry (its query_hash), similarity
 
+    def close(self) -> None:
+        """Delete the four tables from the shared folder, once nothing reads them."""
+        discard([self.results, self.trace, self.entries, self.hits])
 
-def _lists(asked: DataFrame, sources: dict[str, Source]) -> tuple[DataFrame, list[str]]:
+
+def _lists(asked: DataFrame, sources: dict[str, Source], scratch: list[DataFrame]) -> tuple[DataFrame, list[str]]:
     """query_id, list_no, key, rank of every source that works, and the names of those that don't; none working is an error."""
     parts, failed = [], {}
     for number, (name, source) in enumerate(sources.items()):
@@ -40,6 +44,7 @@ def _lists(asked: DataFrame, sources: dict[str, Source]) -> tuple[DataFrame, lis
         except (PySparkException, OSError, RuntimeError, ValueError) as error:
             failed[name] = error
         else:
+            scratch.append(found)
             parts.append(found.withColumn("list_no", F.lit(number)))
     if not parts:
         raise RuntimeError(f"no source works: {failed}")
@@ -68,11 +73,12 @@ def search(
     held = store.live(at) if store else cached.complete(entries if entries is not None else spark.createDataFrame([], cached.SCHEMA)).where(F.col("expires_at") > at)
     held = written(held, "cache-entries")
     vectors = cached.embedded(asked.where("cacheable").select("query_id", "query"), embed)
-    hits = written(cached.lookup(asked.where("cacheable"), held, vectors, store.threshold if store else cached.THRESHOLD), "cache-hits")
-    hits = hits.join(asked.select("query_id", "top_k"), "query_id").withColumnRenamed("top_score", "held_score")
+    found_hits = written(cached.lookup(asked.where("cacheable"), held, vectors, store.threshold if store else cached.THRESHOLD), "cache-hits")
+    scratch = [asked, held, vectors, found_hits]
+    hits = found_hits.join(asked.select("query_id", "top_k"), "query_id").withColumnRenamed("top_score", "held_score")
     opened = asked.join(hits.select("query_id"), "query_id", "left_anti")
 
-    lists, degraded = _lists(opened, sources)
+    lists, degraded = _lists(opened, sources, scratch)
     modes = opened.select("query_id", "mode", "top_k", "filters", "query", "query_hash", "cacheable")
     fused = retrieval.reciprocal_rank_fusion(lists, 2 * k).join(modes.where("mode = 'hybrid'").select("query_id"), "query_id", "left_semi")
     single = lists.join(modes.where("mode <> 'hybrid'").select("query_id"), "query_id", "left_semi")
@@ -84,12 +90,13 @@ def search(
     candidates = written(candidates.select("query_id", "query", "key", "rank", "content", "source_file", "top_k"), "candidates")
     best = retrieval.rerank(candidates, score, top_n=10, threshold=threshold, cap=CANDIDATES).where(F.col("position") <= F.greatest(F.col("top_k"), F.lit(RERANKED)))
     best = written(best.select("query_id", "key", "position", "score", "content", "source_file", "top_k"), "reranked")
+    scratch += [candidates, best]
 
     replayed = hits.select("query_id", "top_k", F.posexplode("chunk_ids").alias("position", "key")).withColumn("position", F.col("position") + 1)
     replayed = replayed.join(known.drop("meta"), "key")
     names = ["query_id", F.col("position").alias("rank"), F.col("key").alias("chunk_id"), "source_file", "content", "top_k"]
     rows = best.select(*names).unionByName(replayed.select(*names)).where(F.col("rank") <= F.col("top_k")).drop("top_k")
-    results = retrieval.project(rows, 10, content_limit)
+    results = written(retrieval.project(rows, 10, content_limit), "results")
 
     met = candidates.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("rank") <= CANDIDATES).alias("reranked"))
     kept = best.groupBy("query_id").agg(F.max("score").alias("best_score"), F.array_sort(F.collect_list(F.struct("position", "key"))).alias("kept"))
@@ -102,6 +109,7 @@ def search(
     stage = F.when(hit, "semantic_cache_hit").when(F.col("candidates").isNull(), F.concat(prefix, F.lit("_retrieve_empty"))).otherwise(F.concat(prefix, F.lit("_retrieve+rerank")))
     top_score = F.coalesce("held_score", "best_score", F.lit(0.0))
     trace = written(trace.withColumns({"stage": stage, "hit": hit, "top": top_score}), "search-trace")
+    scratch.append(trace)
     added = trace.where(F.col("cacheable") & ~F.col("hit"))
     n = F.coalesce(F.size("kept"), F.lit(0))
     ids = F.coalesce(F.transform("kept", lambda x: x["key"].cast("string")), F.array().cast("array<string>"))
@@ -109,15 +117,13 @@ def search(
     admitted = cache.admission(F.greatest(n, F.lit(0)), F.col("top"))
     added = added.where(admitted != "none").join(vectors, "query_id", "left").withColumn("vector", F.when(admitted == "both", F.col("embedding")))
     added = added.select("query_hash", "query", "vector", ids.alias("chunk_ids"), F.col("top").alias("top_score"), at.alias("inserted_at"), expiry.alias("expires_at"))
+    added = written(added, "cache-added")
     if store:
-        added = written(added, "cache-added")
         store.put(added, now)
-    return Found(
-        results,
-        trace.select(
-            "query_id", "stage", F.col("hit").alias("cache_hit"), zero(F.col("candidates")).alias("candidates"), zero(F.col("reranked")).alias("reranked"),
-            zero(F.col("returned")).alias("returned"), F.round("top", 6).alias("top_score"), F.lit(",".join(degraded)).alias("degraded"),
-        ),
-        added,
-        hits.select("query_id", "tier", "entry", "similarity"),
+    trace = trace.select(
+        "query_id", "stage", F.col("hit").alias("cache_hit"), zero(F.col("candidates")).alias("candidates"), zero(F.col("reranked")).alias("reranked"),
+        zero(F.col("returned")).alias("returned"), F.round("top", 6).alias("top_score"), F.lit(",".join(degraded)).alias("degraded"),
     )
+    found = Found(results, written(trace, "trace"), added, written(hits.select("query_id", "tier", "entry", "similarity"), "hits"))
+    discard(scratch)
+    return found
