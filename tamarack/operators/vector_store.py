@@ -22,8 +22,8 @@ from tamarack.sources.writers import ChunkStore
 
 #: Vectors that centroids are trained on, at most, and rounds of training.
 SAMPLE, ROUNDS = 20_000, 12
-#: Cells that a search reads for each query by default.
-PROBES = 8
+#: Share of a sample's ten nearest neighbours that the default number of probes finds, and how many of the sample ask for theirs.
+RECALL, ASKING, NEIGHBOURS = 0.95, 512, 10
 #: Vectors of a cell, and queries, that meet in one task, about.
 SHARD, BLOCK = 16_384, 2_048
 #: The cell of vectors that match nothing: null, zero, not finite, or of another size.
@@ -50,6 +50,24 @@ def train(vectors: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
+def probes_for(vectors: np.ndarray, centroids: np.ndarray, recall: float = RECALL) -> int:
+    """The least number of cells that hold `recall` of the nearest neighbours, within the sample, of its first ASKING vectors.
+
+    A whole table's neighbours are nearer than a sample's, so that more of them lie in as many cells.
+    """
+    asking = vectors[:ASKING]
+    near = asking @ vectors.T
+    near[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+    count = min(NEIGHBOURS, len(vectors) - 1)
+    if count < 1:
+        return len(centroids)
+    best = np.argpartition(-near, count - 1, axis=1)[:, :count]
+    own = np.argmax(vectors @ centroids.T, axis=1)
+    place = np.argsort(np.argsort(-(asking @ centroids.T), axis=1, kind="stable"), axis=1, kind="stable")  # of each cell, for each vector that asks
+    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
 class VectorStore:
     """(vec_id, embedding) under `path`; ids of any type that orders.
 
@@ -79,14 +97,16 @@ class VectorStore:
         _, units = _units(drawn, "vec_id")
         if not units:
             raise ValueError("no vector to train on")
-        centroids = train(max(units.values(), key=lambda found: len(found[0]))[1], cells)  # the commonest size is the store's
+        seen = max(units.values(), key=lambda found: len(found[0]))[1]  # the commonest size is the store's
+        seen = seen[np.random.default_rng(0).permutation(len(seen))]
+        centroids = train(seen, cells)
         folder = uuid.uuid4().hex
         kept = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
         kept.coalesce(1).write.parquet(f"{self.path}/{folder}/centroids")
         schema = f"vec_id {self.key_type}, embedding array<float>, cell int"
         store = ChunkStore(self.spark, f"{self.path}/{folder}/cells", schema, buckets=min(256, len(centroids) + 1), place="cell")
         store.replace_all(self._placed(usable, centroids, 1, "vec_id"), "vec_id")
-        while not self.trained.commit(self.trained.latest() + 1, {"folder": folder, "cells": len(centroids)}):
+        while not self.trained.commit(self.trained.latest() + 1, {"folder": folder, "cells": len(centroids), "probes": probes_for(seen, centroids)}):
             pass  # the last training holds
 
     def _placed(self, rows: DataFrame, centroids: np.ndarray, probes: int, key: str) -> DataFrame:
@@ -124,14 +144,21 @@ class VectorStore:
     def read(self) -> DataFrame:
         return self._index()[0].read().where("embedding is not null").select("vec_id", "embedding")
 
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+    def probes(self) -> int:
+        """Cells that a search reads for each query by default, as measured when the store was trained."""
+        return self.trained.read(self.trained.latest())["probes"]
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, embedding) -> query_id, vec_id, score, rank by cosine among the vectors of the nearest `probes` cells.
 
+        As many probes as cells give the exact result; without a number, :meth:`probes` holds: few
+        in tables with clusters, most cells where vectors lie evenly.
+
         A cell meets its queries in shards of about SHARD vectors and blocks of about
         BLOCK queries, so a cell that holds very many vectors, or is asked for by very many queries, is many tasks' work.
         """
         store, centroids = self._index()
-        asked = written(self._placed(queries.where("query_id is not null and embedding is not null"), centroids, probes, "query_id").where(F.col("cell") != NOWHERE), "probes")
+        asked = written(self._placed(queries.where("query_id is not null and embedding is not null"), centroids, probes or self.probes(), "query_id").where(F.col("cell") != NOWHERE), "probes")
         held = store.read().where((F.col("cell") != NOWHERE) & F.col("embedding").isNotNull())
         # One row for each cell.
         sizes = held.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")

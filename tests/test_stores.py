@@ -160,12 +160,15 @@ def test_the_vector_store_is_exact_at_full_probe(spark, tmp_path, monkeypatch):
     assert ids_of(store.search(queries, 5, probes=9)) == plain_topk(usable, vectors_of(now.items()), 5)
 
 
-def test_recall_at_the_default_probes(spark, tmp_path):
+@pytest.mark.parametrize("spread", [0.5, 50.0])
+def test_recall_at_the_default_probes(spark, tmp_path, spread):
+    """Clusters and next to none: few probes for the one, most cells for the other, nine in ten neighbours in both."""
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(200, 32))
-    rows = [(i, [float(x) for x in centres[i % 200] + rng.normal(size=32) * 0.5]) for i in range(6_000)]
+    rows = [(i, [float(x) for x in centres[i % 200] + rng.normal(size=32) * spread]) for i in range(6_000)]
     store = vector_store.VectorStore(spark, f"file://{tmp_path}/v")
     store.build(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 64, sample=2_000)
+    assert store.probes() <= 12 if spread < 1 else store.probes() > 20
     asked = [r for r in rows if r[0] % 100 == 0]
     got = ids_of(store.search(spark.createDataFrame(asked, "query_id bigint, embedding array<float>"), 10))
     want = plain_topk(asked, vectors_of(rows), 10)
