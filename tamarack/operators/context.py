@@ -83,6 +83,35 @@ FITS, FIXED_OVER, USER_OVER, TURN_OVER = "within_budget", "FIXED_CONTEXT_TOO_LAR
 HALVINGS = 20
 
 
+#: What goes into a request beside its messages; the evidence of the current turn lies within its messages.
+PARTS = ("system_tokens", "directive_tokens", "tool_schema_tokens", "summary_tokens", "historical_evidence_tokens")
+# Why a request was cut, by what was taken from it.
+CUTS = {"tool_content_chars_removed": "tool_payload_budget", "evidence_excerpt_chars_removed": "evidence_excerpt_budget", "evidence_records_omitted": "evidence_record_budget"}
+
+
+def budget_report(messages: DataFrame, requests: DataFrame, overhead: int = 4) -> DataFrame:
+    """The sums of each thread's request: its parts, the history, the current user message, the rest of the current turn, and all.
+
+    messages (thread_id, idx, type, content); requests (thread_id, limit, the columns of
+    PARTS, evidence_tokens, and of CUTS). evidence_tokens of the result are those of the
+    current turn and of history. A request without messages has zeros; nulls count as 0.
+    """
+    rows = turns(messages.withColumn("content", F.coalesce("content", F.lit("")))).withColumn("_t", token_estimate(F.col("content")) + overhead)
+    by_turn = rows.groupBy("thread_id", "turn").agg(F.sum("_t").alias("_t"), F.min_by("_t", "idx").alias("_first"))
+    last = F.struct("_t", "_first")
+    sums = by_turn.groupBy("thread_id").agg(F.sum("_t").alias("_all"), F.max_by(last, "turn").alias("_last"))
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    given = requests.select("thread_id", *map(zero, ("limit", *PARTS, "evidence_tokens", *CUTS)))
+    history, user = F.coalesce(F.col("_all") - F.col("_last._t"), F.lit(0)), F.coalesce("_last._first", F.lit(0))
+    other = F.coalesce(F.col("_last._t") - F.col("_last._first"), F.lit(0))
+    total = sum((F.col(c) for c in PARTS), F.coalesce("_all", F.lit(0)))
+    reasons = F.filter(F.array(*(F.when(F.col(c) > 0, reason) for c, reason in CUTS.items())), F.isnotnull)
+    return given.join(sums, "thread_id", "left").select(
+        "thread_id", F.col("limit").alias("input_limit_tokens"), total.alias("estimated_input_tokens"), *PARTS, user.alias("current_user_tokens"), other.alias("current_turn_other_tokens"),
+        (F.col("evidence_tokens") + F.col("historical_evidence_tokens")).alias("evidence_tokens"), history.alias("recent_history_tokens"), (total <= F.col("limit")).alias("within"), reasons.alias("projection_reasons"),
+    )
+
+
 def fit_budget(messages: DataFrame, budgets: DataFrame, overhead: int = 4) -> DataFrame:
     """The mildest way to bring each thread's next request within its limit, and what the request then holds.
 

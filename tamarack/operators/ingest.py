@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip
+from tamarack.operators.running import running_sums
 
 # File suffixes by parser.
 SUFFIXES = {"pdf": ["pdf"], "basic": ["docx", "txt", "md", "markdown", "py"], "table": ["csv", "xlsx", "xls"]}
@@ -118,12 +119,17 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: lis
 def batch_cut(chunks: DataFrame, size: int, file: str, order: list[str], lane: str | None = None) -> DataFrame:
     """With batch and done_batch: chunks in order in batches of `size`; a file is done with the batch of its last chunk.
 
-    Batches are numbered within a lane (one writer's share); without one, all rows are one lane.
+    Batches are numbered within a lane (one writer's share); without one, all
+    rows are one sequence, numbered in two levels, and `order` is to be unique.
     """
-    lane_of = [lane] if lane else [F.lit(0)]
-    running = F.row_number().over(Window.partitionBy(*lane_of).orderBy(*order))
-    rows = chunks.withColumn("batch", F.floor((running - 1) / size).cast("long"))
-    return rows.withColumn("done_batch", F.max("batch").over(Window.partitionBy(*([lane] if lane else []), file)))
+    if lane:
+        running = F.row_number().over(Window.partitionBy(lane).orderBy(*order))
+        rows = chunks.withColumn("batch", F.floor((running - 1) / size).cast("long"))
+        return rows.withColumn("done_batch", F.max("batch").over(Window.partitionBy(lane, file)))
+    numbered = running_sums(chunks, [], order, {"_n": F.lit(1).cast("long")})
+    rows = numbered.withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
+    done = rows.groupBy(F.col(file).alias("_file")).agg(F.max("batch").alias("done_batch"))
+    return rows.join(done, F.col(file).eqNullSafe(F.col("_file"))).drop("_file")
 
 
 def page_segments(pages: Column, size: int = 3) -> Column:

@@ -30,15 +30,19 @@ def tariff(called_at: Column, zone: str, weekdays: list[int], ranges: list[tuple
     return F.when((F.weekday(local) + 1).isin(weekdays) & inside, "peak").otherwise("off_peak")
 
 
-def cost(usage: DataFrame, aliases: DataFrame, rates: DataFrame, zone: str, weekdays: list[int], ranges: list[tuple[int, int]], unit: int = 1_000_000) -> DataFrame:
+def cost(usage: DataFrame, aliases: DataFrame, rates: DataFrame, zone: str, weekdays: list[int], ranges: list[tuple[int, int]], unit: int = 1_000_000, windows: dict | None = None) -> DataFrame:
     """usage with canonical, tariff, status and amount.
 
     usage: model, called_at, cache_hit_tokens, cache_miss_tokens, completion_tokens, and what else it has.
     aliases: alias, canonical. rates: canonical, tariff, effective_from, hit_rate, miss_rate, output_rate.
     The card that was in force at the call holds (as-of); no model or none in force is unpriced, a negative count invalid.
+    `windows` gives a canonical model weekdays and ranges of its own.
     """
     named = usage.withColumn("_alias", normalise_model(F.col("model"))).join(aliases.withColumnRenamed("alias", "_alias"), "_alias", "left")
-    named = named.withColumn("tariff", tariff(F.col("called_at"), zone, weekdays, ranges))
+    at = tariff(F.col("called_at"), zone, weekdays, ranges)
+    for model, own in (windows or {}).items():
+        at = F.when(F.col("canonical") == model, tariff(F.col("called_at"), zone, *own)).otherwise(at)
+    named = named.withColumn("tariff", at)
     # One card interval per version: a call meets one at most.
     versions = Window.partitionBy("canonical", "tariff").orderBy("effective_from")
     cards = rates.withColumn("_until", F.lead("effective_from").over(versions))
