@@ -224,17 +224,24 @@ def metric_block(rows: DataFrame, keys: list[str], means: list[str], k: int) ->
     )
 
 
-def run(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, judged: DataFrame, path: str, k: int = 5) -> DataFrame:
-    """One evaluation run: details as CSV and the summary as one JSON object under `path`; gives the summary, one row.
+def run(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, judged: DataFrame | None, path: str, k: int = 5, ok: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """One evaluation run: details as CSV, sorted over as many files as there are tasks, and the summary as one JSON object under `path`; gives the summary, one row.
 
-    judged (case_id, answerable, behavior) are the answers' verdicts.
+    judged (case_id, answerable, behavior) are the answers' verdicts; without
+    them only retrieval is summed up. ok (case_id, retrieve_ok) tells which
+    retrievals worked: a case that it lacks failed; without it all worked. `more` are columns by case_id that go with the details and, if they are metrics, into the summary.
     """
     measured = rank_metrics(cases, retrieved, gold, k)
-    answers = judged.select("case_id", outcome(F.col("answerable"), F.col("behavior")).alias("outcome"))
-    details = written(measured.join(answers, "case_id", "left"), "evaluation")
-    details.orderBy("case_id").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/details")
-    timed = measured.withColumn("retrieve_ok", F.lit(True))
-    both = retrieval_summary(timed).select(F.struct("*").alias("retrieval")).crossJoin(answer_summary(judged).select(F.struct("*").alias("answers")))  # a row each
-    summary = both.select(F.lit(k).alias("k"), "retrieval", "answers")
+    worked = F.coalesce("retrieve_ok", F.lit(False))
+    measured = measured.withColumn("retrieve_ok", F.lit(True)) if ok is None else measured.join(ok.select("case_id", "retrieve_ok"), "case_id", "left").withColumn("retrieve_ok", worked)
+    if more is not None:
+        measured = measured.join(more, "case_id", "left")
+    if judged is not None:
+        measured = measured.join(judged.select("case_id", outcome(F.col("answerable"), F.col("behavior")).alias("outcome")), "case_id", "left")
+    details = written(measured, "evaluation")
+    details.orderBy("case_id").write.mode("overwrite").option("header", True).csv(f"{path}/details")
+    summary = retrieval_summary(details).select(F.lit(k).alias("k"), F.struct("*").alias("retrieval"))
+    if judged is not None:
+        summary = summary.crossJoin(answer_summary(judged).select(F.struct("*").alias("answers")))  # a row each
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     return summary
