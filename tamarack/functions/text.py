@@ -160,6 +160,10 @@ def strip_fence(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
+#: The sections of a document that :func:`markdown_document` takes.
+SECTIONS = "array<struct<level:int,heading:string,content:string,bullets:array<string>,headers:array<string>,rows:array<array<string>>>>"
+
+
 def markdown_cell(text: Column) -> Column:
     return strip(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", "<br>"))
 
@@ -170,6 +174,45 @@ def markdown_row(cells: Column, width: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(padded, markdown_cell), " | "), F.lit(" |"))
 
 
+def table_markdown(cells: Column) -> Column:
+    """array<array<string>>, the first the header, as a Markdown table: white space is one space, rows are padded or cut to the header; empty without one."""
+    width = F.size(F.get(cells, F.lit(0)))
+    clean = lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE}+", " "))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width), clean), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    rows = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), row)
+    return F.when(width > 0, F.array_join(F.concat(F.array(row(F.get(cells, F.lit(0))), rule), rows), "\n")).otherwise("")
+
+
+def markdown_document(title: Column, facts: Column, sections: Column) -> Column:
+    """A Markdown text of a title, facts (array<struct<name, value>>, may be null) and sections.
+
+    sections: array<struct<level int, heading string, content string, bullets
+    array<string>, headers array<string>, rows array<array<string>>>>; what is null or empty is left out,
+    cells' pipes are escaped, short rows padded and long ones cut to the headers.
+    """
+    none = F.array().cast("array<string>")
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def table(s: Column) -> Column:
+        width = F.size(s["headers"])
+        fitted = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+        rows = F.transform(F.coalesce(s["rows"], F.array().cast("array<array<string>>")), lambda r: line(F.transform(fitted(r), cell)))
+        head = F.array(line(F.transform(s["headers"], cell)), line(F.array_repeat(F.lit("---"), width)))
+        return F.when(F.coalesce(width, F.lit(0)) > 0, F.concat(head, rows, F.array(F.lit("")))).otherwise(none)
+
+    def lines(s: Column) -> Column:
+        heading = F.when(F.coalesce(s["heading"], F.lit("")) != "", F.array(F.concat(F.repeat(F.lit("#"), F.coalesce(s["level"], F.lit(2))), F.lit(" "), s["heading"], F.lit("\n")))).otherwise(none)
+        content = F.when(F.coalesce(s["content"], F.lit("")) != "", F.array(F.concat(s["content"], F.lit("\n")))).otherwise(none)
+        bullets = F.when(F.coalesce(F.size(s["bullets"]), F.lit(0)) > 0, F.concat(F.transform(s["bullets"], lambda b: F.concat(F.lit("- "), F.coalesce(b, F.lit("")))), F.array(F.lit("")))).otherwise(none)
+        return F.concat(heading, content, bullets, table(s))
+
+    listed = F.transform(facts, lambda f: F.concat(F.lit("**"), f["name"], F.lit("**："), F.coalesce(f["value"], F.lit(""))))
+    block = F.when(F.coalesce(F.size(facts), F.lit(0)) > 0, F.concat(F.array(F.lit("---")), listed, F.array(F.lit("---\n")))).otherwise(none)
+    return F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.coalesce(title, F.lit("")), F.lit("\n"))), block, F.flatten(F.transform(F.coalesce(sections, F.array().cast(SECTIONS)), lines))), "\n")
+
+
 def safe_name(text: Column, n: int = 40) -> Column:
     return F.left(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r'[\\/:*?"<>|\s]+', "_"), F.lit("_")), F.lit(n))
 

@@ -107,6 +107,33 @@ def corpus_quality(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     )
 
 
+# Characters a page of a scan, of a page that is an image, and of a text whose script is judged; shares; the flags' words.
+SCAN_CHARS, IMAGE_CHARS, JUDGED_CHARS, IMAGE_SHARE, LEAST_CJK = 100, 50, 50, 0.3, 0.1
+SCAN, PART_SCAN, GARBLED = "全量扫描版", "部分扫描(%s%%页为图片)", "疑似乱码(中文仅占%s%%)"
+
+
+def scan_quality(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages (key, text, images) -> key, pages, total_chars, avg_chars, cjk_ratio, image_ratio, issues.
+
+    A page of few characters with an image on it is an image page. A document
+    with few characters a page is a scan; else it may be a scan in part, and garbled where
+    little of it is CJK. Shares in the flags are rounded half-up; null texts are empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    image = (F.length(strip(text)) < IMAGE_CHARS) & (F.coalesce("images", F.lit(0)) > 0)
+    cjk = F.length(F.regexp_replace(text, "[^\u4e00-\u9fff]", ""))
+    sums = pages.groupBy(key).agg(F.count("*").alias("pages"), F.sum(F.length(text)).alias("total_chars"), F.sum(cjk).alias("_cjk"), F.count_if(image).alias("_images"))
+    share = F.coalesce(F.try_divide("_cjk", "total_chars"), F.lit(0.0))
+    rows = sums.withColumns({"_share": share, "image_ratio": F.col("_images") / F.col("pages"), "_scan": F.col("total_chars") < SCAN_CHARS * F.col("pages")})
+    percent = lambda value, places: F.format_string(f"%.{places}f", F.round(value * 100, places))
+    flagged = lambda form, value, places: F.format_string(form, percent(F.col(value), places))
+    issues = F.array(
+        F.when(F.col("_scan"), SCAN), F.when(~F.col("_scan") & (F.col("image_ratio") > IMAGE_SHARE), flagged(PART_SCAN, "image_ratio", 0)),
+        F.when(~F.col("_scan") & (F.col("total_chars") >= JUDGED_CHARS) & (F.col("_share") < LEAST_CJK), flagged(GARBLED, "_share", 1)),
+    )
+    return rows.select(key, "pages", "total_chars", F.floor(F.col("total_chars") / F.col("pages")).alias("avg_chars"), F.round("_share", 4).alias("cjk_ratio"), F.round("image_ratio", 4).alias("image_ratio"), F.filter(issues, F.isnotnull).alias("issues"))
+
+
 def manifest(records: DataFrame) -> DataFrame:
     """Counts that go with a bundle."""
     yes = ~F.col("answerable").eqNullSafe(F.lit(False))

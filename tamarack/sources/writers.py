@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,6 +216,28 @@ def append_same_header(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_table(rows: DataFrame, path: str, mode: str = "timestamp", kind: str = "csv", now: datetime | None = None) -> str:
+    """Rows as a table of files with headers; gives the folder they are in.
+
+    timestamp: a new folder beside `path`, named by the time, never one that is
+    there; overwrite: `path` anew; append: onto `path`, whose columns must be the same in the same order, or `path` made where there is none.
+    """
+    spark = rows.sparkSession
+    options = {"header": True} if kind == "csv" else {}
+    if mode == "timestamp":
+        path = f"{path.rstrip('/')}_{now or datetime.now():%Y%m%d_%H%M%S}"
+    elif mode == "append":
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            have = spark.read.format(kind).options(**options).load(path).columns
+            if have != rows.columns:
+                raise ValueError(f"columns differ: {have} and {rows.columns}")
+    elif mode != "overwrite":
+        raise ValueError(f"no such mode: {mode}")
+    rows.write.format(kind).options(**options).mode({"timestamp": "errorifexists"}.get(mode, mode)).save(path)
+    return path
+
+
 def insert_processed(store: ChunkStore, rows: DataFrame, key: str) -> int:
     """Insert or replace by key."""
     return store.upsert(rows, key)
