@@ -44,16 +44,22 @@ def balanced_subset(records: DataFrame, buckets: list[str], size: int, seed: str
     return rows.orderBy("turn", "_g", *buckets, "case_id").limit(size).drop("_h", "_g")
 
 
+#: Neighbours that are a pair.
+NEAR = "next_id is not null and abs(next_page - page) <= 1"
+
+
 def adjacent_pairs(chunks: DataFrame) -> DataFrame:
     """Unordered pairs of neighbours of a source whose pages differ by one at most.
 
     (source_file, page, chunk_id) -> source_file, a, b with a < b. Order within a
     source is by page, nulls last, then chunk id; a null page pairs with nothing.
     """
+    return _with_next(chunks).where(NEAR).select("source_file", F.least("chunk_id", "next_id").alias("a"), F.greatest("chunk_id", "next_id").alias("b")).distinct()
+
+
+def _with_next(chunks: DataFrame) -> DataFrame:
     order = Window.partitionBy("source_file").orderBy(F.col("page").asc_nulls_last(), "chunk_id")
-    rows = chunks.select("source_file", "page", "chunk_id", F.lead("chunk_id").over(order).alias("next_id"), F.lead("page").over(order).alias("next_page"))
-    near = rows.where("next_id is not null and abs(next_page - page) <= 1")
-    return near.select("source_file", F.least("chunk_id", "next_id").alias("a"), F.greatest("chunk_id", "next_id").alias("b")).distinct()
+    return chunks.select("source_file", "page", "chunk_id", F.lead("chunk_id").over(order).alias("next_id"), F.lead("page").over(order).alias("next_page"))
 
 
 def validate_pairs(pairs: DataFrame) -> DataFrame:
@@ -171,13 +177,40 @@ def disjoint_pairs(pairs: DataFrame, size: int | None = None, seed: str | None =
     return (taken if size is None else taken.orderBy("_at").limit(size)).drop("_at")
 
 
-def evidence_units(chunks: DataFrame, pairs: DataFrame, ratio: float, seed: str = "0") -> DataFrame:
+def disjoint_neighbours(chunks: DataFrame, size: int | None = None, seed: str | None = None) -> DataFrame:
+    """What `disjoint_pairs` takes of `adjacent_pairs`: source_file, a, b; chunk ids are unique in their source.
+
+    The pairs of a source lie in a row, and each shares a chunk with the one
+    before and the one behind at most. From a pair that both of these come after, which is
+    taken, every second one is taken while the marks ascend; where two ascents meet, the pair
+    is taken if both would take it. So windows over each source's order tell it without rounds: one
+    shuffle by source, whatever the length of the chains.
+    """
+    source = Window.partitionBy("source_file")
+    ahead, back = source.orderBy(F.col("page").asc_nulls_last(), "chunk_id"), source.orderBy(F.col("page").desc_nulls_first(), F.desc("chunk_id"))
+    rows = _with_next(chunks).select("source_file", "page", "chunk_id", F.when(F.expr(NEAR), F.struct(F.least("chunk_id", "next_id").alias("a"), F.greatest("chunk_id", "next_id").alias("b"))).alias("pair"))
+    rows = rows.select("*", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+    drawn = [] if seed is None else [shuffle_key("source_file", "a", "b", seed=seed).alias("drawn")]
+    rows = rows.withColumn("mark", F.when(F.col("pair").isNotNull(), F.struct(*drawn, "a", "b"))).drop("pair")
+    rows = rows.withColumns({"n": F.row_number().over(ahead), "before": F.lag("mark").over(ahead), "behind": F.lead("mark").over(ahead)})
+    starts = lambda other: F.when(F.col("mark").isNotNull() & (F.col(other).isNull() | (F.col(other) > F.col("mark"))), F.col("n"))
+    rows = rows.withColumns({"from_left": starts("before"), "from_right": starts("behind")}).drop("before", "behind")
+    rows = rows.withColumn("from_left", F.last("from_left", True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("from_right", F.last("from_right", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = rows.where(F.col("mark").isNotNull() & ((F.col("n") - F.col("from_left")) % 2 == 0) & ((F.col("from_right") - F.col("n")) % 2 == 0))
+    if size is not None:
+        taken = taken.orderBy(*(["mark.drawn"] if drawn else []), "source_file", "a", "b").limit(size)
+    return taken.select("source_file", "a", "b")
+
+
+def evidence_units(chunks: DataFrame, pairs: DataFrame | None, ratio: float, seed: str = "0") -> DataFrame:
     """(source_file, chunk_id) with scope and unit: chunks of taken pairs go together, the others alone.
 
-    As many pairs are taken as `ratio` of the chunks, between 0 and 0.5.
+    As many pairs are taken as `ratio` of the chunks, between 0 and 0.5. Without `pairs`
+    they are neighbours: chunks have a page then, and ids unique in their source.
     """
     wanted = round(chunks.count() * max(0.0, min(ratio, 0.5)))
-    taken = disjoint_pairs(pairs, wanted, seed)
+    taken = disjoint_neighbours(chunks, wanted, seed) if pairs is None else disjoint_pairs(pairs, wanted, seed)
     unit = F.concat_ws("+", "a", "b")
     pairs_of = taken.select("source_file", unit.alias("unit"), F.explode(F.array("a", "b")).alias("chunk_id"))
     met = chunks.select("source_file", "chunk_id").join(pairs_of, ["source_file", "chunk_id"], "left")

@@ -148,14 +148,14 @@ def seeded_sample(spark, sf_dir):
 def disjoint_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_file"), F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_orderkey").alias("page"))
     rows = rows.withColumn("page", (F.col("page") / 60).cast("int"))
-    return dataset.disjoint_pairs(dataset.adjacent_pairs(rows), seed="0")
+    return dataset.disjoint_neighbours(rows, seed="0")
 
 
 def disjoint_pairs_unordered(spark, sf_dir):
     """Pages that don't follow the ids, so that pairs of a source meet in any order."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_file"), F.col("l_orderkey").alias("chunk_id")).agg(F.min("l_orderkey").alias("page"))
     rows = rows.withColumn("page", (F.col("page") * 7919 % 211).cast("int"))
-    return dataset.disjoint_pairs(dataset.adjacent_pairs(rows), seed="0")
+    return dataset.disjoint_neighbours(rows, seed="0")
 
 
 def rejection_counts(spark, sf_dir):
