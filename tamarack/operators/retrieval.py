@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip, tokens, trim_after
-from tamarack.session import written
+from tamarack.session import discard, written
 from tamarack.sources.commits import CommitLog, StaleWrite
 
 #: A text column to its list of terms, such as `tokens` or `search_tokens`.
 Tokenizer = Callable[[Column], Column]
 #: Scores are compared to nine places, so that a sum's order can't decide a rank.
 PLACES = 9
+#: Tokens counted at a time.
+COUNTED_TOKENS = 1_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
@@ -36,10 +38,6 @@ def _listed(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer) -> DataF
     return rows.select("doc", "terms", F.size("terms").alias("dl"))
 
 
-def document_frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
-
-
 def corpus_statistics(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """One row: n_docs, n_tokens, avgdl."""
     return _statistics(_listed(docs, key, text, tokenizer).select(F.col("dl").cast("long").alias("dl")))
@@ -55,29 +53,43 @@ def _wanted(queries: DataFrame, query: tuple[str, str], tokenizer: Tokenizer) ->
     return long.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def query_postings(
-    queries: DataFrame, docs: DataFrame, query: tuple[str, str] = ("query_id", "query"), doc: tuple[str, str] = ("doc_id", "text"), tokenizer: Tokenizer = tokens,
-    whole: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Postings of the queries' terms alone, or of all with `whole`, and the corpus' one row of statistics.
+def counted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
+    """doc, dl, n_terms, terms, tfs: a row of `docs` each, with its distinct terms and how often it has them.
 
-    Texts are tokenized once. Terms that no query has go before the first
-    shuffle; an empty term for every document carries its length along, so the
-    statistics need no second pass. What is left is written, since scores read it more than once.
+    Texts are tokenized once and counted where they are read, without a shuffle;
+    the rows are written, since scores read them more than once.
     """
-    listed = _listed(docs, *doc, tokenizer)
-    long = listed.select("doc", F.col("dl").cast("long").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
-    if not whole:
-        vocabulary = queries.select(F.explode(F.concat(F.coalesce(tokenizer(F.col(query[1])), F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
-        every = queries.sparkSession.createDataFrame([("",)], "term string")
-        long = long.join(written(vocabulary.unionByName(every).distinct(), "query-terms"), "term", "left_semi")
-    found = written(long.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")), "query-postings")
-    # Documents of one key and length would be one row: the empty term counts them.
-    sizes = found.where("term = ''").agg(F.sum("tf").alias("n_docs"), F.sum(F.col("dl") * F.col("tf")).alias("n_tokens"))
-    whole_corpus = sizes.select(
-        F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("n_docs"), F.lit(0.0)).alias("avgdl")
-    )
-    return found.where("term <> ''"), whole_corpus
+    listed = _listed(docs, key, text, tokenizer).select("doc", F.col("dl").cast("long").alias("dl"), "terms")
+    kind = listed.schema["doc"].dataType.simpleString()
+    return written(listed.mapInArrow(_counted, f"doc {kind}, dl bigint, n_terms int, terms array<string>, tfs array<int>"), "counted-documents")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(batch.column(1).to_numpy())
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COUNTED_TOKENS, "right")))
+            rows = batch.slice(begin, end - begin)
+            begin = end
+            coded = rows.column(2).flatten().dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            own = np.repeat(np.arange(rows.num_rows), rows.column(1).to_numpy())
+            found, tfs = np.unique(own * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            starts = np.searchsorted(found, np.arange(rows.num_rows + 1) * kinds)
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+            parts = [rows.column(0), rows.column(1), pa.array(np.diff(starts), pa.int32()), lists(coded.dictionary.take(pa.array(found % kinds))), lists(pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(parts, ["doc", "dl", "n_terms", "terms", "tfs"])
+
+
+def document_frequencies(counted: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """term, df: documents that have it, of the `vocabulary` (term) alone if given. Rows of one key are one document."""
+    pairs = counted.select("doc", F.explode("terms").alias("term"))
+    if vocabulary is not None:
+        pairs = pairs.join(vocabulary, "term", "left_semi")
+    repeated = counted.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    again = pairs.join(repeated, "doc", "left_semi").groupBy("doc", "term").agg((1 - F.count("*")).alias("df")).select("term", "df")
+    return pairs.groupBy("term").agg(F.count("*").alias("df")).unionByName(again).groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def bm25_topk(
@@ -87,50 +99,125 @@ def bm25_topk(
     """query_id, doc_id, score, rank: the k best of positive score, ties by id.
 
     Okapi BM25 over all query tokens, repeats included. Negative idf values
-    become `epsilon` times the mean idf of all terms, which needs the whole
-    vocabulary; with None they stay, and only the queries' terms are counted.
+    become `epsilon` times the mean idf of all terms, which needs the document frequencies of
+    the whole vocabulary; with None they stay, and only the queries' terms are counted.
     """
-    posts, statistics = query_postings(queries, docs, query, doc, tokenizer, whole=epsilon is not None)
-    return score_postings(queries, posts, statistics, k, k1, b, epsilon, query, tokenizer)
+    return score_postings(queries, counted_documents(docs, *doc, tokenizer), k, k1, b, epsilon, query, tokenizer)
 
 
 def score_postings(
-    queries: DataFrame, posts: DataFrame, statistics: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25,
+    queries: DataFrame, counted: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25,
     query: tuple[str, str] = ("query_id", "query"), tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
-    """BM25 from postings and their one row of statistics.
-
-    Postings outside the queries' vocabulary are left out before the join, and a
-    query term meets only documents that have it.
-    """
+    """BM25 from documents as `counted_documents` gives them."""
     wanted = _wanted(queries, query, tokenizer)
-    vocabulary = wanted.select("term").distinct()
-    whole = statistics.select("n_docs", "avgdl").first()
+    whole = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = whole.n_docs, whole.avgdl or 1.0
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    if epsilon is not None:
-        mean = document_frequencies(posts).agg(F.avg(idf)).first()[0] or 0.0
+    if epsilon is None:
+        met = document_frequencies(counted, wanted.select("term").distinct())
+    else:
+        met = written(document_frequencies(counted), "document-frequencies")
+        mean = met.agg(F.avg(idf)).first()[0] or 0.0
         idf = F.when(idf < 0, epsilon * mean).otherwise(idf)
-    met = posts.join(vocabulary, "term", "left_semi")
-    weighted = document_frequencies(met).select("term", idf.alias("idf"))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = met.join(weighted, "term").join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("qf") * F.col("idf") * gain).alias("score"))
-    return ranked(scored.select("query_id", F.col("doc").alias("doc_id"), F.round("score", PLACES).alias("score")).where("score > 0"), k)
+    weights = wanted.join(met, "term").select("query_id", "term", (F.col("qf") * idf).alias("weight"))
+    return _best_documents(weights, counted, k, lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
 
 
-def overlap_topk(queries: DataFrame, posts: DataFrame, k: int, query: tuple[str, str] = ("query_id", "query"), tokenizer: Tokenizer = tokens) -> DataFrame:
+def overlap_topk(queries: DataFrame, counted: DataFrame, k: int, query: tuple[str, str] = ("query_id", "query"), tokenizer: Tokenizer = tokens) -> DataFrame:
     """The k documents with the most distinct query terms."""
-    met = posts.join(_wanted(queries, query, tokenizer).select("query_id", "term"), "term")
-    return ranked(met.groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.count("*").cast("double").alias("score")), k)
+    weights = _wanted(queries, query, tokenizer).select("query_id", "term", F.lit(1.0).alias("weight"))
+    return _best_documents(weights, counted, k, lambda tf, dl: np.ones(len(tf)))
+
+
+def _best_documents(weights: DataFrame, counted: DataFrame, k: int, gain: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 1_024, shard: int = 1_000_000) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best sums of weight (query_id, term, weight) times gain(tf, dl), above zero, ties by id.
+
+    Queries are dealt to blocks of about `block`, documents to shards of about
+    `shard` postings, and each block meets each shard in one task, which gives k rows a
+    query. So no row of a query and a document, which are nearly as many as all such pairs, leaves its task.
+    """
+    weights = written(weights, "query-weights")
+    blocks = max(1, -(-weights.select("query_id").distinct().count() // block))
+    shards = max(1, -(-(counted.agg(F.sum("n_terms")).first()[0] or 0) // shard))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = weights.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
+    right = counted.where("n_terms > 0").select("doc", "dl", "terms", "tfs").withColumn("shard", deal("doc", shards)).withColumn("block", every(blocks))
+    kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, doc_id {counted.schema['doc'].dataType.simpleString()}, score double"
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(best_rows(k, gain), kinds)
+    return ranked(found, k)
+
+
+def best_rows(k: int, gain: Callable[[np.ndarray, np.ndarray], np.ndarray], cells: int = 1 << 20) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of two tables, (query_id, term, weight) and (doc, dl, terms, tfs): the k best of the second for each query of the first."""
+
+    def score(one: pa.Table, other: pa.Table) -> pa.Table:
+        names, ids = _coded(one.column("query_id"))
+        vocabulary, terms = _coded(one.column("term"))
+        docs, own = _coded(other.column("doc"))
+        order = pc.array_sort_indices(docs).to_numpy()  # ties fall to the least id
+        docs, place = docs.take(pa.array(order)), np.argsort(order)
+        own = place[own] if len(own) else own
+        dl = np.bincount(own, other.column("dl").to_numpy(), len(docs))
+        lists = other.column("terms").combine_chunks()
+        at = pc.index_in(lists.flatten(), value_set=vocabulary)
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        rows = np.repeat(own, pc.list_value_length(lists).to_numpy(zero_copy_only=False))[known]
+        key = rows * len(vocabulary) + at.drop_null().to_numpy()
+        # Rows of one key are one document.
+        key, back = np.unique(key, return_inverse=True)
+        tf = np.bincount(back, other.column("tfs").combine_chunks().flatten().to_numpy()[known], len(key))
+        rows, codes = np.divmod(key, max(1, len(vocabulary)))
+        gains = gain(tf, dl[rows])
+        present, starts = np.unique(rows, return_index=True)
+        starts = np.append(starts, len(rows))
+        values = one.column("weight").to_numpy()
+        parts = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+        for first in range(0, len(names), 256):
+            inside = (ids >= first) & (ids < first + 256)
+            width = min(256, len(names) - first)
+            matrix = np.zeros((len(vocabulary), width))
+            matrix[terms[inside], ids[inside] - first] = values[inside]
+            least = np.zeros(width)  # a later document must be above it
+            begin = 0
+            while begin < len(present):
+                end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + cells // width, "right")) - 1)
+                span = slice(starts[begin], starts[end])
+                sums = np.round(np.add.reduceat(matrix[codes[span]] * gains[span, None], starts[begin:end] - starts[begin], axis=0), PLACES)
+                row, column = np.nonzero(sums > least)
+                found = _first(column, sums[row, column], row, k)
+                parts.append((column[found] + first, present[begin + row[found]], sums[row[found], column[found]]))
+                if end - begin >= k:
+                    least = np.maximum(least, np.partition(sums, end - begin - k, axis=0)[end - begin - k])
+                begin = end
+        column, row, total = (np.concatenate(p) for p in zip(*parts))
+        best = _first(column, total, row, k)
+        return pa.table([names.take(pa.array(column[best])), docs.take(pa.array(row[best])), pa.array(total[best])], ["query_id", "doc_id", "score"])
+
+    return score
+
+
+def _first(group: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+    """Places of each group's k greatest values, the least tie first."""
+    order = np.lexsort((tie, -value, group))
+    begin = np.searchsorted(group[order], group[order], "left")
+    return order[np.arange(len(order)) - begin < k]
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values, and the place among them of each row's."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class LexicalIndex:
-    """Postings and corpus statistics on disk, for each fingerprint of corpus version and tokenizer.
+    """Counted documents on disk, for each fingerprint of corpus version and tokenizer.
 
     A reader pins the fingerprint it asks for; an index of another version is no
     match and is built anew. A build is saved as the next generation after the one it
-    began with: if the index was cleared meanwhile, the save is refused. Postings
-    are clustered by term, so that a query reads the row groups of its own terms.
+    began with: if the index was cleared meanwhile, the save is refused. It holds a
+    row for each document, with its terms and their counts, so a batch of queries is one scan.
     """
 
     TOKENIZER = "lower;[\\p{L}\\p{N}]+;1"
@@ -159,10 +246,10 @@ class LexicalIndex:
         generation = self.log.latest()
         if self.exists():
             return
-        posts, statistics = query_postings(docs, docs, doc=(key, text), tokenizer=self.tokenizer, whole=True)
         folder = uuid.uuid4().hex
-        posts.repartition("term").sortWithinPartitions("term", "doc").write.parquet(f"{self.path}/{folder}/postings")
-        statistics.write.parquet(f"{self.path}/{folder}/statistics")
+        counted = counted_documents(docs, key, text, self.tokenizer)
+        counted.write.parquet(f"{self.path}/{folder}/documents")
+        discard([counted])
         if not self.log.commit(generation + 1, {"folder": folder}):
             path, files = self.log.fs(f"{self.path}/{folder}")
             files.delete(path, True)
@@ -170,8 +257,7 @@ class LexicalIndex:
                 raise StaleWrite(f"the index of generation {generation} was cleared while it was built")
 
     def topk(self, queries: DataFrame, k: int, **options) -> DataFrame:
-        at = f"{self.path}/{self._folder()}"
-        return score_postings(queries, self.spark.read.parquet(f"{at}/postings"), self.spark.read.parquet(f"{at}/statistics"), k, tokenizer=self.tokenizer, **options)
+        return score_postings(queries, self.spark.read.parquet(f"{self.path}/{self._folder()}/documents"), k, tokenizer=self.tokenizer, **options)
 
 
 def ranked(scored: DataFrame, k: int, query: str = "query_id", ties: str = "doc_id") -> DataFrame:

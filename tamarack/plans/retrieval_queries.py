@@ -61,8 +61,8 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_and_overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """BM25, and as a second ranked list how many distinct query terms a document has; both from one tokenization."""
     asked = questions(spark, sf_dir)
-    posts, statistics = retrieval.query_postings(asked, documents(spark, sf_dir))
-    return retrieval.score_postings(asked, posts, statistics, K, epsilon=None), retrieval.overlap_topk(asked, posts, K)
+    counted = retrieval.counted_documents(documents(spark, sf_dir))
+    return retrieval.score_postings(asked, counted, K, epsilon=None), retrieval.overlap_topk(asked, counted, K)
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
