@@ -172,7 +172,7 @@ def disjoint_pairs(pairs: DataFrame, size: int | None = None, seed: str | None =
     rows = written(pairs.withColumn("_at", mark), "pairs")
     ends = rows.select("source_file", "_at", F.explode(F.array("a", "b")).alias("chunk"))
     links = ends.withColumnRenamed("_at", "left_id").join(ends.withColumnRenamed("_at", "right_id"), ["source_file", "chunk"]).where("left_id < right_id")
-    kept = greedy_keep(rows, written(links.select("left_id", "right_id").distinct(), "pair-links"), "_at").where("kept")
+    kept = greedy_keep(rows, links.select("left_id", "right_id").distinct(), "_at").where("kept")
     taken = rows.join(kept.select("_at"), "_at", "left_semi")
     return (taken if size is None else taken.orderBy("_at").limit(size)).drop("_at")
 

@@ -172,12 +172,12 @@ def bundle_manifest(spark, sf_dir):
 
 
 def semantic_dedup_pairs(spark, sf_dir):
-    return cache.semantic_pairs(table(spark, sf_dir, "embeddings"), 0.5).withColumn("score", F.round("score", 6))
+    return cache.semantic_pairs(table(spark, sf_dir, "embeddings"), 0.5, most=None).withColumn("score", F.round("score", 6))
 
 
 def semantic_dedup_keep(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return cache.greedy_keep(vectors, cache.semantic_pairs(vectors, 0.5))
+    return cache.greedy_keep(vectors, cache.semantic_pairs(vectors, 0.5, most=None))
 
 
 QUERIES = {
