@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -259,14 +260,32 @@ def search_tokens(text: Column) -> Column:
     return _search(text)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _search(texts: pd.Series) -> pd.Series:
-    return texts.map(_searched)
+#: Characters of texts whose words are Python objects at a time.
+HELD_CHARS = 1_000_000
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(_folded)
+def _lists(texts: pa.Array, cut: Callable[[str | None], list[str]]) -> pa.Array:
+    """A list of words for each text; a few texts at a time are Python objects, whatever the batch's size."""
+    kind = pa.list_(pa.string())
+    parts, held, room = [pa.array([], kind)], [], HELD_CHARS
+    for value in texts:
+        whole = value.as_py()
+        held.append(cut(whole))
+        room -= len(whole or "")
+        if room <= 0:
+            parts.append(pa.array(held, kind))
+            held, room = [], HELD_CHARS
+    return pa.concat_arrays([*parts, pa.array(held, kind)])
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _search(texts: pa.Array) -> pa.Array:
+    return _lists(texts, _searched)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return _lists(texts, _folded)
 
 
 def critical_sentences(text: Column, pattern: str, most: int = 500) -> Column:

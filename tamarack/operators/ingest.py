@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import strip
+from tamarack.functions.text import HELD_CHARS, strip
 from tamarack.operators.running import running_sums
 
 # File suffixes by parser.
@@ -87,12 +87,22 @@ def split_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...]
 def split_text(docs: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
     """key, seq, chunk_id, content: each whole text in pieces; ids are key::basic_000000 and on."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, p) for k, t in zip(frame["k"], frame["t"]) if t for i, p in enumerate(split_pieces(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["k", "seq", "content"])
-
-    cuts = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(cut, "k string, seq int, content string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("k", pa.string()), ("seq", pa.int32()), ("content", pa.string())])
+        for batch in batches:
+            held: list[tuple[str, int, str]] = []
+            room = HELD_CHARS
+            for k, t in zip(batch.column(0), batch.column(1)):
+                whole = t.as_py()
+                held += [(k.as_py(), i, p) for i, p in enumerate(split_pieces(whole, size, overlap))] if whole else []
+                room -= len(whole or "")
+                if held and room <= 0:  # a few texts at a time, whatever the batch's size
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+                    held, room = [], HELD_CHARS
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+
+    cuts = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(cut, "k string, seq int, content string")
     return cuts.select("k", "seq", F.concat("k", F.lit("::basic_"), F.lpad(F.col("seq").cast("string"), 6, "0")).alias("chunk_id"), "content")
 
 
