@@ -27,7 +27,7 @@ from tamarack.llm.common import drop_tables, materialize
 LEAST_DOCS, TERM_RANKS = 10, 10
 UNIT = 1_000_000_000
 #: Bytes of text counted at a time; rows that a task combines before it hands them on; terms, entries and bytes of terms of a chunk; cells of a dense block.
-SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 2_000_000, 500_000, 4_096, 1 << 18, 1 << 22, 1 << 20
+SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 1_000_000, 500_000, 4_096, 1 << 18, 1 << 22, 1 << 20
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("df", pa.int64())])
 
@@ -71,7 +71,7 @@ def _slice_counts(langs: list[str], sources: list[str], texts: pa.BinaryArray) -
 
 
 def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
-    summed = pa.Table.from_batches(parts, _COUNTS).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("df", "sum")])
+    summed = pa.Table.from_batches(parts, _COUNTS).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
     return summed.rename_columns({"n_sum": "n", "df_sum": "df"}).select(_COUNTS.names)
 
 
