@@ -298,10 +298,11 @@ def nearest_rows(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             (rows, unit), (places, matrix) = sought[size], given[size]
             for start in range(0, len(rows), 256):
                 cos = np.round(unit[start : start + 256] @ matrix.T, PLACES)
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]  # vectors come by id, so ties fall to the least
-                found = np.take_along_axis(cos, best, 1)
-                own = np.repeat(rows[start : start + 256], best.shape[1])
-                parts.append(pa.table([ids.take(pa.array(own)), names.take(pa.array(places[best.ravel()])), pa.array(found.ravel())], ["query_id", "vec_id", "score"]))
+                least = np.partition(cos, -k, axis=1)[:, -k, None] if cos.shape[1] > k else -np.inf
+                row, column = np.nonzero(cos >= least)
+                best = _first(row, cos[row, column], column, k)  # vectors come by id, so ties fall to the least
+                row, column = row[best], column[best]
+                parts.append(pa.table([ids.take(pa.array(rows[start + row])), names.take(pa.array(places[column])), pa.array(cos[row, column])], ["query_id", "vec_id", "score"]))
         none = pa.table([ids.slice(0, 0), names.slice(0, 0), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
         return pa.concat_tables(parts) if parts else none
 
