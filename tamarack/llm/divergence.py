@@ -1,11 +1,13 @@
 """Audit of how far the sources of a language diverge in their words.
 
 Terms are encoded as integers throughout: a slice of texts counts its words with
-one bincount for each group over the slice's own dictionary, and each language's kept
-terms form one sorted dictionary that is cut into chunks. In a chunk, ids come by
+one bincount for each group over the slice's own dictionary, a task holds its counts
+under such codes, and each language's kept terms are dealt by hash into chunks of
+bounded size. In a chunk, the terms form one sorted dictionary, ids come by
 searchsorted, and every group is a dense vector of counts. Ids are in the order
 of the terms' UTF-8 bytes, so a stable sort by value breaks ties rightly. Chunks
-are scored apart; their sums and their best terms are put together by Spark.
+are scored apart, one at a time in a task; their sums and their best terms are put
+together by Spark.
 
 All arithmetic is in whole numbers of 64 bits, exact while a language has fewer
 than 9e15 occurrences.
@@ -26,10 +28,12 @@ from tamarack.llm.common import drop_tables, materialize
 #: Documents of a language that must hold a term, and ranks of terms that are given.
 LEAST_DOCS, TERM_RANKS = 10, 10
 UNIT = 1_000_000_000
-#: Bytes of text counted at a time; rows that a task combines before it hands them on; terms, entries and bytes of terms of a chunk; cells of a dense block.
-SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 1_000_000, 500_000, 4_096, 1 << 18, 1 << 22, 1 << 20
+#: Bytes of text counted at a time; rows that a task combines before it hands them on; terms, entries and bytes of the entries' terms of a chunk, on average; cells of a dense block.
+SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 1_000_000, 500_000, 4_096, 1 << 17, 1 << 22, 1 << 17
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("df", pa.int64())])
+#: The same rows while a task holds them: a term or name is there once, a row has its codes.
+_CODED = pa.schema([(f.name, pa.dictionary(pa.int32(), f.type) if k < 3 else f.type) for k, f in enumerate(_COUNTS)])
 
 
 def _words(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
@@ -50,29 +54,54 @@ def _words(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
 
 
 def _slice_counts(langs: list[str], sources: list[str], texts: pa.BinaryArray) -> list[pa.RecordBatch]:
-    """Counts of one slice of documents, a batch for each group."""
+    """Counts of one slice of documents, coded; one batch, or none without words."""
     words, at = _words(texts)
     if not len(words):
         return []
     coded = words.dictionary_encode()
-    terms, k, ids = coded.dictionary, len(coded.dictionary), coded.indices.to_numpy()
+    k, ids = len(coded.dictionary), coded.indices.to_numpy()
     groups: dict[tuple[str, str], list[int]] = {}
     for i, key in enumerate(zip(langs, sources)):
         groups.setdefault(key, []).append(i)
-    out = []
-    for (lang, source), docs in groups.items():
+    found = []
+    for docs in groups.values():
         runs = [ids[at[i] : at[i + 1]] for i in docs]
         n = np.bincount(np.concatenate(runs), minlength=k)
         df = np.bincount(np.concatenate([np.unique(run) for run in runs]), minlength=k)
         there = np.flatnonzero(n)
-        same = lambda v: pa.repeat(pa.scalar(v, pa.string()), len(there))
-        out.append(pa.RecordBatch.from_arrays([same(lang), same(source), terms.take(pa.array(there)), pa.array(n[there]), pa.array(df[there])], schema=_COUNTS))
-    return out
+        found.append((there, n[there], df[there]))
+    term, n, df = (np.concatenate(x) for x in zip(*found))
+    of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    names = [pa.array(x, pa.string()).dictionary_encode().take(pa.array(of)) for x in zip(*groups)]
+    return [pa.RecordBatch.from_arrays([*names, _coded(term, coded.dictionary), pa.array(n, pa.int64()), pa.array(df, pa.int64())], schema=_CODED)]
+
+
+def _coded(codes: np.ndarray, values: pa.Array) -> pa.DictionaryArray:
+    return pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), values)
+
+
+def _summed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The coded rows of several batches with one row for each lang, source and term."""
+    table = pa.Table.from_batches(parts, _CODED).unify_dictionaries()
+    if not table.num_rows:
+        return pa.RecordBatch.from_pylist([], _CODED)
+    keys = [(np.concatenate([c.indices.to_numpy() for c in column.chunks]), column.chunk(0).dictionary) for column in table.columns[:3]]
+    key = np.zeros(table.num_rows, np.int64)
+    for codes, values in keys:
+        key = key * len(values) + codes
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = [pa.array(np.add.reduceat(table[name].to_numpy()[order], first)) for name in ("n", "df")]
+    return pa.RecordBatch.from_arrays([*(_coded(codes[order[first]], values) for codes, values in keys), *sums], schema=_CODED)
+
+
+def _plain(coded: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(c.dictionary_decode() for c in coded.columns[:3]), *coded.columns[3:]], schema=_COUNTS)
 
 
 def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
-    summed = pa.Table.from_batches(parts, _COUNTS).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
-    return summed.rename_columns({"n_sum": "n", "df_sum": "df"}).select(_COUNTS.names)
+    return pa.Table.from_batches([_plain(_summed(parts))])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -80,6 +109,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for begin in range(0, held[0].num_rows, 50_000):
+                yield _plain(held[0].slice(begin, 50_000))
+
         for batch in batches:
             langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             ends = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -92,13 +126,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 held += new
                 rows += sum(x.num_rows for x in new)
                 if rows >= COMBINED_ROWS:
-                    held = _combined(held).to_batches()
-                    rows = sum(x.num_rows for x in held)
+                    held = [_summed(held)]
+                    rows = held[0].num_rows
                     if rows >= COMBINED_ROWS // 2:
-                        yield from pa.Table.from_batches(held, _COUNTS).to_batches(max_chunksize=50_000)
+                        yield from handed_on()
                         held, rows = [], 0
         if held:
-            yield from _combined(held).to_batches(max_chunksize=50_000)
+            held = [_summed(held)]
+            yield from handed_on()
 
     given = docs.select(_or_empty("lang"), _or_empty("source"), _or_empty("text").cast("binary").alias("text"))
     return given.mapInArrow(scan, "lang string, source string, term binary, n bigint, df bigint")
@@ -119,35 +154,6 @@ def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return judged.where(F.col("docs") >= least_docs).select("lang", "term", "source", "n", "first")
 
 
-def chunks(kept: DataFrame) -> DataFrame:
-    """Sorted runs of a language's kept terms: lang, terms, and the entries' own term, source and n."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, terms, entries, size = None, [], [], 0
-
-        def row() -> pa.RecordBatch:
-            owners, sources, counts = zip(*entries)
-            kinds = [pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([lang, terms, list(owners), list(sources), list(counts)], kinds)], ["lang", "terms", "owners", "sources", "counts"])
-
-        for batch in batches:
-            for this, term, source, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                fresh = this != lang or not terms or term != terms[-1]
-                if terms and fresh and (this != lang or len(terms) >= CHUNK_TERMS or len(entries) >= CHUNK_ENTRIES or size >= CHUNK_BYTES):
-                    yield row()
-                    terms, entries, size = [], [], 0
-                lang = this
-                if fresh:
-                    terms.append(term)
-                    size += len(term)
-                entries.append((term, source, n))
-        if terms:
-            yield row()
-
-    dealt = kept.select("lang", "term", "source", "n").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return dealt.mapInArrow(cut, "lang string, terms array<binary>, owners array<binary>, sources array<string>, counts array<bigint>")
-
-
 def _parts_of(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """1 + floor(UNIT * counts / whole) in 64 bits: three digits at a time, as counts are not above their whole."""
     out, rest = np.zeros(np.broadcast(counts, whole).shape, np.int64), counts
@@ -195,6 +201,26 @@ def score_chunk(terms: list[bytes], owners: list[bytes], sources: list[str], cou
             yield source, "pair", groups[j].encode(), int(pairs[i, j])
 
 
+def scores(kept: DataFrame, langs: DataFrame) -> DataFrame:
+    """lang, source, part, item, value of each chunk of kept terms: what :func:`score_chunk` gives.
+
+    langs: lang, groups, sizes, kept and the number of chunks, that terms are dealt into by their hash.
+    """
+    entries = kept.join(langs.select("lang", "chunks"), "lang").select("lang", F.pmod(F.xxhash64("term"), "chunks").alias("chunk"), "term", "source", "n")
+    told = langs.where("chunks > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "groups", "sizes", "kept")
+
+    def score(entries: pa.Table, told: pa.Table) -> pa.Table:
+        if not entries.num_rows:
+            return out.empty_table()
+        language = told.to_pylist()[0]
+        found = list(score_chunk(sorted(entries["term"].unique().to_pylist()), *(entries[c].to_pylist() for c in ("term", "source", "n")), *(language[c] for c in ("groups", "sizes", "kept"))))
+        source, part, item, value = zip(*found) if found else [()] * 4
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(([language["lang"]] * len(source), source, part, item, value), out)], schema=out)
+
+    out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.binary()), ("value", pa.int64())])
+    return entries.groupBy("lang", "chunk").cogroup(told.groupBy("lang", "chunk")).applyInArrow(score, "lang string, source string, part string, item binary, value bigint")
+
+
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, part, item, value, rank: how far each group lies from the others, and the terms it has more of than its language.
 
@@ -206,23 +232,15 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     spark = docs.sparkSession
     kept = materialize(kept_terms(term_counts(docs), least_docs), "kept-terms")
     groups = docs.select(_or_empty("lang"), _or_empty("source")).distinct()
-    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    vocabulary = kept.where("first").groupBy("lang").agg(F.count("*").alias("kept"))
+    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count("*").alias("entries"), F.sum(F.length("term")).alias("bytes"), F.count_if("first").alias("kept"))
     # One row for each language; its list is as long as the rows of pairs that each of its groups must give.
-    listed = groups.join(sizes, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("g"))
-    langs = listed.join(vocabulary, "lang", "left").select("lang", F.col("g.source").alias("groups"), F.col("g.n").alias("sizes"), F.coalesce("kept", F.lit(0)).alias("kept"))
-    langs = materialize(langs, "languages")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = list(score_chunk(*(row[c] for c in ("terms", "owners", "sources", "counts", "groups", "sizes", "kept"))))
-                for begin in range(0, len(found), 50_000):
-                    source, part, item, value = zip(*found[begin : begin + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(source)), pa.array(source), pa.array(part), pa.array(item, pa.binary()), pa.array(value, pa.int64())], ["lang", "source", "part", "item", "value"])
-
-    scored = chunks(kept).join(langs, "lang").mapInArrow(score, "lang string, source string, part string, item binary, value bigint")
-    scored = materialize(scored.withColumn("item", F.col("item").cast("string")), "scored")
+    listed = groups.join(sizes, ["lang", "source"], "left").groupBy("lang").agg(
+        F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("g"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kept", "entries", "bytes")),
+    )
+    most = F.greatest(F.col("kept") / CHUNK_TERMS, F.col("entries") / CHUNK_ENTRIES, F.col("bytes") / CHUNK_BYTES)
+    langs = materialize(listed.select("lang", F.col("g.source").alias("groups"), F.col("g.n").alias("sizes"), "kept", F.ceil(most).alias("chunks")), "languages")
+    scored = materialize(scores(kept, langs).withColumn("item", F.col("item").cast("string")), "scored")
     once = scored.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     other = once.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     bare = langs.where("kept = 0").select("lang", F.explode("groups").alias("source"), "groups").select("lang", "source", F.explode("groups").alias("item"), F.lit(0).cast("long").alias("value")).where("source <> item")

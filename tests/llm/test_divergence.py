@@ -91,3 +91,28 @@ def test_large_counts_stay_exact():
     whole = 9 * 10**15
     for count in (1, 12_345_678_901, whole - 1, whole):
         assert divergence._parts_of(np.array([count]), np.array([whole]))[0] == 1 + 10**9 * count // whole
+
+
+def test_a_task_holds_a_long_term_once():
+    texts = pa.array([b"z" * 30_000] * 100)
+    parts = divergence._slice_counts(["l"] * 100, [f"s{i}" for i in range(100)], texts)
+    assert sum(b.num_rows for b in parts) == 100
+    assert sum(b.nbytes for b in parts) < 2 * 30_000
+    assert divergence._summed(parts * 3).nbytes < 2 * 30_000
+    assert divergence._combined(parts * 3).to_pylist()[99] == {"lang": "l", "source": "s99", "term": b"z" * 30_000, "n": 3, "df": 3}
+
+
+def test_small_chunks_give_the_plain_audit(spark, monkeypatch):
+    docs = odd_docs()
+    for name, value in (("CHUNK_TERMS", 2), ("CHUNK_ENTRIES", 5), ("CHUNK_BYTES", 9_000)):
+        monkeypatch.setattr(divergence, name, value)
+    assert rows_of(divergence.audit(frame_of(spark, docs))) == plain(docs, 10)
+
+
+def test_scoring_runs_one_chunk_at_a_time(spark):
+    """One Python worker for each task, and groups, not whole partitions, go to it."""
+    kept = spark.createDataFrame([("l", b"a", "s", 3, True), ("l", b"b", "s", 3, True)], "lang string, term binary, source string, n bigint, first boolean")
+    langs = spark.createDataFrame([("l", ["s", "t"], [6, 0], 2, 2)], "lang string, groups array<string>, sizes array<bigint>, kept bigint, chunks bigint")
+    plan = divergence.scores(kept, langs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
+    assert divergence.scores(kept, langs).where("part = 'pair'").groupBy("source", "item").sum("value").count() == 1
