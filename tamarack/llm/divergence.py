@@ -28,8 +28,9 @@ from tamarack.llm.common import drop_tables, materialize
 #: Documents of a language that must hold a term, and ranks of terms that are given.
 LEAST_DOCS, TERM_RANKS = 10, 10
 UNIT = 1_000_000_000
-#: Bytes of text counted at a time; rows that a task combines before it hands them on; terms, entries and bytes of the entries' terms of a chunk, on average; cells of a dense block.
-SLICE_BYTES, COMBINED_ROWS, CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 1_000_000, 500_000, 4_096, 1 << 17, 1 << 22, 1 << 17
+#: Bytes of text counted at a time; rows, and bytes, that a task combines before it hands them on; rows handed on at once; terms, entries and bytes of the entries' terms of a chunk, on average; cells of a dense block.
+SLICE_BYTES, COMBINED_ROWS, COMBINED_BYTES, BATCH_ROWS = 1_000_000, 500_000, 1 << 25, 50_000
+CHUNK_TERMS, CHUNK_ENTRIES, CHUNK_BYTES, CELLS = 4_096, 1 << 17, 1 << 22, 1 << 17
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("df", pa.int64())])
 #: The same rows while a task holds them: a term or name is there once, a row has its codes.
@@ -104,39 +105,49 @@ def _combined(parts: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches([_plain(_summed(parts))])
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, text) -> lang, source, term, n, df, pre-aggregated within each task; a key may come from several."""
+def _runs(sizes: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of at most `rows` and, where more than one, not above `most` in size."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        done = ends[begin - 1] if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, done + most, "right"))))
+        yield begin, end
+        begin = end
+
+
+def _handed_on(coded: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in plain batches, none of many bytes unless one term is."""
+    term = coded.column(2)
+    lengths = pc.binary_length(term.dictionary).to_numpy()[term.indices.to_numpy()]
+    for begin, end in _runs(lengths, SLICE_BYTES, BATCH_ROWS):
+        yield _plain(coded.slice(begin, end - begin))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, text -> their counts, combined as far as a bounded number of rows and bytes goes."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for begin, end in _runs(pc.binary_length(texts).to_numpy(), SLICE_BYTES, len(langs)):
+            new = _slice_counts(langs[begin:end], sources[begin:end], texts.slice(begin, end - begin))
+            held += new
+            rows += sum(x.num_rows for x in new)
+            size += sum(x.nbytes for x in new)
+            if rows >= COMBINED_ROWS or size >= COMBINED_BYTES:
+                held = [_summed(held)]
+                rows, size = held[0].num_rows, held[0].nbytes
+                if rows >= COMBINED_ROWS // 2 or size >= COMBINED_BYTES // 2:
+                    yield from _handed_on(held[0])
+                    held, rows, size = [], 0, 0
+    if held:
+        yield from _handed_on(_summed(held))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def handed_on() -> Iterator[pa.RecordBatch]:
-            for begin in range(0, held[0].num_rows, 50_000):
-                yield _plain(held[0].slice(begin, 50_000))
-
-        for batch in batches:
-            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            ends = np.cumsum(pc.binary_length(texts).to_numpy())
-            begin = 0
-            while begin < len(langs):
-                done = ends[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
-                new = _slice_counts(langs[begin:end], sources[begin:end], texts.slice(begin, end - begin))
-                begin = end
-                held += new
-                rows += sum(x.num_rows for x in new)
-                if rows >= COMBINED_ROWS:
-                    held = [_summed(held)]
-                    rows = held[0].num_rows
-                    if rows >= COMBINED_ROWS // 2:
-                        yield from handed_on()
-                        held, rows = [], 0
-        if held:
-            held = [_summed(held)]
-            yield from handed_on()
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, text) -> lang, source, term, n, df, pre-aggregated within each task; a key may come from several."""
     given = docs.select(_or_empty("lang"), _or_empty("source"), _or_empty("text").cast("binary").alias("text"))
-    return given.mapInArrow(scan, "lang string, source string, term binary, n bigint, df bigint")
+    return given.mapInArrow(counted, "lang string, source string, term binary, n bigint, df bigint")
 
 
 def _or_empty(column: str):

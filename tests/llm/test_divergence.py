@@ -116,3 +116,19 @@ def test_scoring_runs_one_chunk_at_a_time(spark):
     plan = divergence.scores(kept, langs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
     assert divergence.scores(kept, langs).where("part = 'pair'").groupBy("source", "item").sum("value").count() == 1
+
+
+def test_long_terms_are_handed_on_before_they_fill_a_task():
+    taken = []
+
+    def batches():
+        for i in range(1_200):
+            taken.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(["l"]), pa.array(["s"]), pa.array([b"z" * 100_000 + "é".encode() * (i + 1)], pa.binary())], ["lang", "source", "text"])
+
+    out = divergence.counted(batches())
+    rows = [next(out)]
+    assert len(taken) * 100_000 < 2 * divergence.COMBINED_BYTES
+    rows += out
+    assert sum(b.num_rows for b in rows) == 1_200 and max(b.nbytes for b in rows) < 1_200_000
+    assert list(divergence._runs(np.array([3, 9, 1, 1, 1, 1]), 4, 3)) == [(0, 1), (1, 2), (2, 5), (5, 6)]
