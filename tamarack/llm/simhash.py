@@ -43,6 +43,8 @@ SAMPLE = 32_768
 FITTED = 32
 #: Members that a leaf should have.
 LEAF = 2_000
+#: Rows on their way to leaves that are handed on together, but for the last leaf's.
+ROUTED = 50_000
 #: Rows of a leaf that one task holds twice at most.
 BLOCK = 20_000
 #: Bins of a sketch, a byte each.
@@ -170,7 +172,8 @@ class Forest:
             yield number, rows, home
             return
         if node is None:  # a seeded vantage point for all nodes of the level
-            vantage, cut, below = int(np.random.default_rng([SEED, level]).integers(0, 1 << 63) * 2 % (1 << self.width)), self.width // 2, (None, None)
+            drawn = int(np.random.default_rng([SEED, level]).integers(0, 1 << 64, dtype=np.uint64))
+            vantage, cut, below = drawn % (1 << self.width), self.width // 2, (None, None)
         else:
             vantage, cut, below = node[0], node[1], node[2:]
         away = np.bitwise_count(codes[rows] ^ np.uint64(vantage)).astype(np.int64)
@@ -281,17 +284,32 @@ def near_links(
     made = [Forest(seeds, p, radius, depth) for p in ((parts,) if parts else (1, 2, 4) if depth else (1,))]
     trees = min(made, key=lambda f: f.visits(seeds[:4_096], depth)) if len(made) > 1 else made[0]
 
+    names = ["band", "tree", "leaf", "home", "fp", *extra]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["band", "tree", "leaf", "home", "fp", *extra]
         for batch in batches:
             codes, bands = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(batch.num_columns - 1))
+            held, n = [], 0
             for own in np.unique(bands):
                 rows = np.flatnonzero(bands == own)
                 for to in (own,) if least is None else (own, own + 1):
                     for tree, number, some, home in trees.routes(codes[rows], depths[to]) if to in depths else ():
-                        taken = [batch.column(k).take(pa.array(rows[some])) for k in range(batch.num_columns - 1)]
-                        place = [pa.array(np.full(len(some), v), k) for v, k in ((to, pa.int32()), (tree, pa.int32()), (number, pa.int64()))]
-                        yield pa.RecordBatch.from_arrays([*place, pa.array(home & (to == own)), *taken], names)
+                        held.append((to, tree, number, rows[some], home & (to == own)))
+                        n += len(some)
+                        if n >= ROUTED:
+                            yield placed(batch, held)
+                            held, n = [], 0
+            if held:
+                yield placed(batch, held)
+
+    def placed(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        """One batch for the rows of many leaves."""
+        bands, numbers, leaves, rows, homes = zip(*held)
+        counts = [len(some) for some in rows]
+        place = [np.repeat(np.array(v, k), counts) for v, k in ((bands, np.int32), (numbers, np.int32), (leaves, np.int64))]
+        taken = pa.array(np.concatenate(rows))
+        columns = [*map(pa.array, place), pa.array(np.concatenate(homes)), *(batch.column(k).take(taken) for k in range(batch.num_columns - 1))]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     kinds = ", ".join(f"{c} {prints.schema[c].dataType.simpleString()}" for c in ("fp", *extra))
     routed = prints.mapInArrow(route, f"band int, tree int, leaf bigint, home boolean, {kinds}")

@@ -99,6 +99,23 @@ def test_tree_search_is_exact_whatever_its_shape(spark):
         assert sorted(map(sorted, got.values())) == components(brute_components(prints, radius))
 
 
+@pytest.mark.parametrize("parts", [None, 1])
+def test_trees_deeper_than_their_sample_lose_no_link(spark, monkeypatch, parts):
+    """Below what the sample can fit, nodes share a seeded vantage point of the tree's width, one tree of all 64 bits included."""
+    monkeypatch.setattr(simhash, "ROUTED", 70, raising=False)
+    rng = np.random.default_rng(11)
+    some = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    near = some[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 100, dtype=np.uint64))
+    prints = np.unique(np.concatenate([some, near]))
+    assert simhash.Forest(prints[:40], 1, 3, 8).visits(prints, 8) >= len(prints)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp bigint")
+    found = simhash.near_links(frame, 3, parts, sample=40, leaf=5).collect()
+    bits = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    want = {(int(prints[i]), int(prints[j])) for i, j in zip(*np.nonzero(np.triu(bits <= 3, 1)))}
+    got = {tuple(sorted(int(np.int64(v).astype(np.uint64)) for v in (r.a, r.b))) for r in found}
+    assert got == want and len(want) >= 90
+
+
 def test_links_are_held_against_shingles(spark):
     rng = random.Random(31)
     rows = []
